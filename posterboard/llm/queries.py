@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality_classifier, quality_rules, url_reputation
+from . import chat, packing, pieces, quality_classifier, quality_rules, url_reputation, warc
 
 QUERIES = {
     "op2_url_reputation": url_reputation.op2_url_reputation,
+    "op4_warc": warc.op4_warc,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_packing": packing.op8_packing,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
