@@ -2,8 +2,8 @@
 
 1. Each text's set of n-gram hashes is made; equal sets are one node from then on.
 2. Two sets of x and y n-grams that link share at least T = ceil(J / (1 + J) * (x + y)) of them. Of the first n - ceil(J * n) + l(n) hashes of
-   each, ascending, they share l at least; and of these, with the rarest first, one is among the first few of both (the prefix rule, applied twice).
-   So only a fifth of the hashes is counted, and hashes that a single set has - nearly all - go no further.
+   each, ascending, they share l at least, l a small part of n; and of these, with the rarest first, one is among the first few of both (the prefix rule, applied twice).
+   So only a small part of the hashes is counted, and hashes that a single set has - nearly all - go no further.
 3. Sets that share such a hash form groups. Sets of different groups can't link. A large group is dealt into blocks, and each pair of blocks is a unit of work.
 4. In a unit, inverted lists are made of whole sets. For each query set the longest lists are put aside; the others are merged, sets that occur T - L
    times are kept, and looked up in the L long lists by binary search.
@@ -29,6 +29,8 @@ THRESHOLD = 90
 WORDS = 3
 #: Least rows of a block of a large group.
 BLOCK = 128
+#: Percent of a set by which its first part is longer than the prefix rule asks for; so many n-grams two first parts share.
+MARGIN = 5
 #: Weight of a binary search against a step of the merge, in the rule that says how many lists are long.
 MU = 0.02
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -55,19 +57,13 @@ def least_common(x: int, threshold: int) -> int:
     return -(-threshold * x // 100)
 
 
-def margin(x: int, threshold: int) -> int:
-    """l(x): how many common n-grams the first part of a set has at least."""
-    return -(-(100 - threshold) * x // 100) if x else 0
+def margin(x: int) -> int:
+    """l(x): how many n-grams the first parts of a set and one it links to share at least."""
+    return max(1, -(-MARGIN * x // 100))
 
 
 def first_part(x: int, threshold: int) -> int:
-    return min(x, x - least_common(x, threshold) + max(1, margin(x, threshold)))
-
-
-def index_part(x: int, threshold: int) -> int:
-    """How many of the first part's rarest n-grams have to be indexed: partners may be shorter, down to threshold percent, and their l less."""
-    smaller = max(1, margin(-(-threshold * x // 100), threshold))
-    return x - least_common(x, threshold) + max(1, margin(x, threshold)) - smaller + 1
+    return min(x, x - least_common(x, threshold) + margin(x))
 
 
 def _sets(docs: DataFrame, threshold: int, n: int) -> DataFrame:
@@ -93,12 +89,13 @@ def _groups(sets: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     grams = nodes.select("row", "n", F.explode("first").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = grams.join(shared, "gram").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))  # within a document
-    t, up = threshold, lambda e: F.ceil(e / 100.0).cast("int")
-    least, l = up(t * F.col("n")), F.greatest(F.lit(1), up((100 - t) * F.col("n")))
-    smaller = F.greatest(F.lit(1), up((100 - t) * least))
     n = F.col("n").cast("int")
-    spare = F.least(n, n - least + l) - F.size("grams")  # n-grams of this set alone, which come first
-    take = F.greatest(n - least + l - smaller + 1 - spare, F.lit(0))
+    percent = lambda p, of: F.floor((F.lit(p) * of + 99) / 100).cast("int")  # noqa: E731  rounded up
+    least = percent(threshold, n)
+    common = lambda of: F.greatest(F.lit(1), percent(MARGIN, of))
+    spare = F.least(n, n - least + common(n)) - F.size("grams")  # n-grams of this set alone, which come first
+    # a partner may be as short as least, and share as few as that length's margin
+    take = F.greatest(n - least + common(n) - common(least) + 1 - spare, F.lit(0))
     index = written(mine.select("row", F.explode(F.slice("grams", F.lit(1), take)).alias("g")).select("row", F.col("g.gram").alias("gram")), "index")
     hubs = index.groupBy("gram").agg(F.min("row").alias("hub"))
     links = index.join(hubs, "gram").where("row != hub").select("row", "hub")
@@ -248,5 +245,16 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD, n: int = WOR
     )
 
 
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, n: int = WORDS) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their class, all columns; of repeated rows one stays. Rows with a null doc_id stay."""
+    classes = similarity_classes(docs, threshold, n)
+    first = written(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "first-of-class")
+    again = first.where("rows > 1").select("doc_id")
+    kept = docs.join(first.where("rows = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if not again.isEmpty():
+        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))

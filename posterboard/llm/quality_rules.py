@@ -85,7 +85,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float
 
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """docs: doc_id, text and the host column. Returns doc_id, the counts, words_left, base_failed, kept.
+    """docs: doc_id, text and the host column. Returns doc_id, the counts, words_left, base_failed, kept, text_hash.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed,
     and at least MIN_KEPT_SHARE of the words, and MIN_WORDS of them, are left after frequent lines are removed.
@@ -101,11 +101,18 @@ def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("words_left") >= MIN_WORDS) & (F.col("words_left") >= MIN_KEPT_SHARE * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", kept.alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", kept.alias("kept"), "text_hash")
+
+
+def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The rows of docs that apply_rules keeps, with all their columns."""
+    key = lambda text_hash: F.xxhash64("doc_id", text_hash)
+    good = apply_rules(docs, host).where("kept").select(key("text_hash").alias("_key"))
+    return docs.withColumn("_key", key(F.xxhash64("text"))).join(good, "_key", "left_semi").drop("_key")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(table(spark, sf_dir, "documents"))
+    return apply_rules(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP7_SQL = r"""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, ngram_join, packing, pieces, quality_classifier, quality_rules, spotsigs, url_reputation, warc
+from . import chat, katz, ngram_join, packing, pieces, quality_classifier, quality_rules, spotsigs, url_reputation, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_url_reputation": url_reputation.op2_url_reputation,
+    "op3_katz": katz.op3_katz,
     "op4_warc": warc.op4_warc,
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_sentencepiece": pieces.op6_sentencepiece,
