@@ -27,10 +27,11 @@ from .components import components
 #: Percent: two sets link if 100 * common >= THRESHOLD * union.
 THRESHOLD = 90
 WORDS = 3
-#: Least rows of a block of a large group.
-BLOCK = 128
-#: Percent of a set by which its first part is longer than the prefix rule asks for; so many n-grams two first parts share.
-MARGIN = 5
+#: Rows of a block of a large group: a group has at most BLOCKS blocks until they have LARGE rows, so a set goes to at most BLOCKS units till then.
+BLOCK, BLOCKS, LARGE = 128, 8, 4096
+#: How much longer a set's first part is than the prefix rule asks for: a percentage of the set, and some n-grams more, which short sets need
+#: to have enough n-grams of their own beside a passage that many share. Two sets that link share so many n-grams of their first parts.
+MARGIN, EXTRA = 8, 16
 #: Weight of a binary search against a step of the merge, in the rule that says how many lists are long.
 MU = 0.02
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -57,13 +58,13 @@ def least_common(x: int, threshold: int) -> int:
     return -(-threshold * x // 100)
 
 
-def margin(x: int) -> int:
+def margin(x: int, threshold: int) -> int:
     """l(x): how many n-grams the first parts of a set and one it links to share at least."""
-    return max(1, -(-MARGIN * x // 100))
+    return min(-(-MARGIN * x // 100) + EXTRA, least_common(x, threshold))
 
 
 def first_part(x: int, threshold: int) -> int:
-    return min(x, x - least_common(x, threshold) + margin(x))
+    return min(x, x - least_common(x, threshold) + margin(x, threshold))
 
 
 def _sets(docs: DataFrame, threshold: int, n: int) -> DataFrame:
@@ -92,7 +93,7 @@ def _groups(sets: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     n = F.col("n").cast("int")
     percent = lambda p, of: F.floor((F.lit(p) * of + 99) / 100).cast("int")  # noqa: E731  rounded up
     least = percent(threshold, n)
-    common = lambda of: F.greatest(F.lit(1), percent(MARGIN, of))
+    common = lambda of: F.least(percent(MARGIN, of) + EXTRA, percent(threshold, of))
     spare = F.least(n, n - least + common(n)) - F.size("grams")  # n-grams of this set alone, which come first
     # a partner may be as short as least, and share as few as that length's margin
     take = F.greatest(n - least + common(n) - common(least) + 1 - spare, F.lit(0))
@@ -212,7 +213,7 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD, n: int = WOR
 
     # units of work
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / F.greatest(F.lit(float(BLOCK)), 4 * F.sqrt("m"))).cast("int")
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("m") / LARGE)).cast("int")
     members = groups.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     facts = sets.select("row", "doc_id", "text_hash", "d1", "d2").join(members, "row").join(copies.select("d1", "d2", "weight"), ["d1", "d2"], "left")
     facts = written(facts.select("row", "doc_id", "text_hash", "grp", "blocks", "block", F.coalesce("weight", F.lit(1)).alias("weight")), "members")
@@ -222,7 +223,8 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD, n: int = WOR
             yield pdf.drop(columns="text").assign(set=[ngram_set(t, n).tobytes() for t in pdf["text"]])
 
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("_id")).withColumn("_h", F.xxhash64("text"))
-    whole = facts.join(text, (facts["text_hash"] == text["_h"]) & facts["doc_id"].eqNullSafe(text["_id"])).select("row", "weight", "grp", "blocks", "block", "text")
+    # the table of members grows with the input, so it isn't broadcast
+    whole = facts.hint("merge").join(text, (facts["text_hash"] == text["_h"]) & facts["doc_id"].eqNullSafe(text["_id"])).select("row", "weight", "grp", "blocks", "block", "text")
     whole = whole.mapInPandas(hashed, "row long, weight long, grp long, blocks int, block int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = whole.select("row", "weight", "set", "grp", "blocks", "block", other).select(
