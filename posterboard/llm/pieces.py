@@ -16,15 +16,19 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 SPACE_SIGN = "▁"
 #: Words that one Python worker remembers in each of two generations, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 300_000
+#: Rows that are encoded at a time.
+ROWS = 256
 _NORMAL, _UNKNOWN_TYPE, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -111,7 +115,7 @@ class PieceTable:
                 limit, a = ra, self.halves[a][1]
             else:
                 limit, b = rb + 1, self.halves[b][0]
-        if len(self.pairs) >= 2_000_000:
+        if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
@@ -204,31 +208,27 @@ def piece_table(path: str) -> PieceTable:
     return _tables[path]
 
 
-def encode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """Adds ids array<int> to docs, which needs text; a null or empty text has no ids. model: a path that all executors have.
+def encode_documents(docs: DataFrame, model: str, decode: bool = False) -> DataFrame:
+    """Adds ids array<int> to docs, which needs text, and decoded, which is made from the ids, if asked for. model: a path that all executors have.
 
-    Whole texts are encoded; other columns pass through. Each row is on its own, so ties, repeated rows and empty tables are nothing special.
+    Whole texts are encoded; a null or empty text has no ids. Other columns pass through, but for ones of these names. Each row is on its own, so
+    ties, repeated rows and empty tables are nothing special.
     """
+    docs = docs.drop("ids", "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = piece_table(model)
-        for batch in texts:
-            yield pd.Series([np.array(t.encode(x), dtype=np.int32) for x in batch], dtype=object)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                ids = [np.array(t.encode(x), dtype=np.int32) for x in part.column("text").to_pylist()]
+                columns = [*part.columns, pa.array(ids, type=pa.list_(pa.int32()))]
+                if decode:
+                    columns.append(pa.array([t.decode(x) for x in ids], type=pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.withColumn("ids", ids("text"))
-
-
-def decode_documents(docs: DataFrame, model: str) -> DataFrame:
-    """Adds decoded string to docs, which needs ids array<int>."""
-
-    @F.pandas_udf("string")
-    def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = piece_table(model)
-        for batch in ids:
-            yield pd.Series([t.decode(x) if x is not None else None for x in batch], dtype=object)
-
-    return docs.withColumn("decoded", decoded("ids"))
+    return docs.mapInArrow(run, schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +236,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode_documents(encode_documents(docs, model).drop("text"), model)
+    out = encode_documents(docs, model, decode=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
