@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, fresh_path, table, written
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_500_000
+#: Ranges of a count table, at least; a session with more shuffle partitions gets as many.
+MIN_RANGES = 64
 #: Counts up to CUT are discounted.
 CUT = 5
 #: A word with over 1/HOT of all training tokens is very frequent; there are fewer than HOT of them.
@@ -229,7 +231,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(MIN_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = fresh_path(spark, "chunks")
 
     def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
