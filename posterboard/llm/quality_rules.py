@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, ascii_lower, n_words, table
+from .common import SPACE, WORD, ascii_lower, n_words, table, written
 
 MIN_LINE_DOCS = 20
 MAX_LINE_SHARE = 0.02
@@ -107,7 +107,8 @@ def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that apply_rules keeps, with all their columns."""
     key = lambda text_hash: F.xxhash64("doc_id", text_hash)
-    good = apply_rules(docs, host).where("kept").select(key("text_hash").alias("_key"))
+    # verdicts are a table of their own: a filter on them would be pushed into the counts, and compute them again and again
+    good = written(apply_rules(docs, host).select(key("text_hash").alias("_key"), "kept"), "verdicts").where("kept").select("_key")
     return docs.withColumn("_key", key(F.xxhash64("text"))).join(good, "_key", "left_semi").drop("_key")
 
 
