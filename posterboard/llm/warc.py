@@ -28,6 +28,7 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 64 << 20
 #: A reading task's byte range.
 SPLIT_BYTES = 4 << 20
+MAX_READ_TASKS = 100_000
 #: Payloads of at least so many bytes become revisits of an equal payload.
 MIN_REVISIT_BYTES = 0
 LEVEL = 5
@@ -206,7 +207,9 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    return ranges.repartition(F.xxhash64("path", "start")).mapInPandas(read, RECORD)
+    # a stated number of partitions: small rows that stand for much work must not be put together
+    parts = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(parts), MAX_READ_TASKS), "path", "start").mapInPandas(read, RECORD)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
