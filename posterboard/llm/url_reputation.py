@@ -54,27 +54,35 @@ def suffix(host: Column) -> Column:
 def _strength(level: str) -> str:
     """Method of moments over a parent's children: how many outcomes the parent's mean is worth to each of them."""
     return f"""
-      SELECT parent, CASE WHEN var_between > 0 THEN least({STRENGTH[1]}, greatest({STRENGTH[0]}, p * (1 - p) / var_between - 1)) ELSE {STRENGTH[1]} END AS strength
-      FROM (SELECT parent, p, (sum(n * pow(bad / n - p, 2)) - (count(*) - 1) * p * (1 - p)) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS var_between
+      SELECT parent, children, CASE WHEN var_between > 0 THEN least({STRENGTH[1]}, greatest({STRENGTH[0]}, p * (1 - p) / var_between - 1)) ELSE {STRENGTH[1]} END AS strength
+      FROM (SELECT parent, count(*) AS children, p, (sum(n * pow(bad / n - p, 2)) - (count(*) - 1) * p * (1 - p)) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS var_between
             FROM {level} GROUP BY parent, p)"""
 
 
+def _posterior(level: str, k: str) -> str:
+    """mean and total (in outcomes) of a child's posterior. A prior is worth no more than what is known of the parent; an only child is its parent, whose outcomes are the same."""
+    prior = f"least({k}.strength, {level}.worth)"
+    return f"""
+      CASE WHEN {k}.children = 1 AND {level}.parent <> '' THEN {level}.p ELSE ({level}.bad + {prior} * {level}.p) / ({level}.n + {prior}) END AS mean,
+      CASE WHEN {k}.children = 1 AND {level}.parent <> '' THEN {level}.worth ELSE {level}.n + {prior} END AS total"""
+
+
 #: Plain SQL on both engines: page(page_id, host, domain, suffix, rule, rule_verdict, bad) -> the result. bad: 0, 1 or null.
 REPUTATION_SQL = f"""
 h AS (SELECT host, domain, suffix, sum(CAST(bad AS DOUBLE)) AS bad, CAST(count(bad) AS DOUBLE) AS n FROM page WHERE bad IS NOT NULL GROUP BY host, domain, suffix),
 d AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
 g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS p0 FROM s),
-s1 AS (SELECT 1 AS parent, suffix, bad, n, (SELECT p0 FROM g) AS p FROM s),
+s1 AS (SELECT '' AS parent, suffix, bad, n, (SELECT p0 FROM g) AS p, CAST({STRENGTH[1]} AS DOUBLE) AS worth FROM s),
 ks AS ({_strength("s1")}),
-s2 AS (SELECT suffix, (s1.bad + ks.strength * s1.p) / (s1.n + ks.strength) AS p FROM s1 JOIN ks ON s1.parent = ks.parent),
-d1 AS (SELECT d.suffix AS parent, d.domain, d.bad, d.n, s2.p FROM d JOIN s2 ON d.suffix = s2.suffix),
+s2 AS (SELECT suffix, {_posterior("s1", "ks")} FROM s1 JOIN ks ON s1.parent = ks.parent),
+d1 AS (SELECT d.suffix AS parent, d.domain, d.bad, d.n, s2.mean AS p, s2.total AS worth FROM d JOIN s2 ON d.suffix = s2.suffix),
 kd AS ({_strength("d1")}),
-d2 AS (SELECT d1.domain, (d1.bad + kd.strength * d1.p) / (d1.n + kd.strength) AS p FROM d1 JOIN kd ON d1.parent = kd.parent),
-h1 AS (SELECT h.domain AS parent, h.host, h.bad, h.n, d2.p FROM h JOIN d2 ON h.domain = d2.domain),
+d2 AS (SELECT d1.domain, {_posterior("d1", "kd")} FROM d1 JOIN kd ON d1.parent = kd.parent),
+h1 AS (SELECT h.domain AS parent, h.host, h.bad, h.n, d2.mean AS p, d2.total AS worth FROM h JOIN d2 ON h.domain = d2.domain),
 kh AS ({_strength("h1")}),
-h2 AS (SELECT h1.host, (h1.bad + kh.strength * h1.p) / (h1.n + kh.strength) AS mean, h1.n + kh.strength + 1 AS total FROM h1 JOIN kh ON h1.parent = kh.parent),
-rep AS (SELECT host, mean, mean - {Z} * sqrt(mean * (1 - mean) / total) AS low FROM h2),
+h2 AS (SELECT h1.host, {_posterior("h1", "kh")} FROM h1 JOIN kh ON h1.parent = kh.parent),
+rep AS (SELECT host, mean, mean - {Z} * sqrt(mean * (1 - mean) / (total + 1)) AS low FROM h2),
 judged AS (SELECT host, mean AS bad_rate, CASE WHEN low > (SELECT greatest({MIN_BAD}, {TIMES} * p0) FROM g) THEN 'block' ELSE 'allow' END AS verdict FROM rep)"""
 
 
