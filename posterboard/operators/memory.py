@@ -30,9 +30,9 @@ def near_hash_pairs(left: DataFrame, right: DataFrame, key: str, other: str, has
     For shorter hashes see near_hash_short.
     """
     long = F.length(hash_col) == 64
-    l = left.where(long).select(key, F.col(hash_col).alias("a"), F.explode(hashing.bands(F.col(hash_col))).alias("band"))
-    r = right.where(long).select(other, F.col(hash_col).alias("b"), F.explode(hashing.bands(F.col(hash_col))).alias("band"))
-    pairs = l.join(r, "band").withColumn("bits", hashing.hamming(F.col("a"), F.col("b"))).where(F.col("bits") <= max_bits)
+    l = left.where(long).select(key, F.col(hash_col).alias("_l"), F.explode(hashing.bands(F.col(hash_col))).alias("band"))
+    r = right.where(long).select(other, F.col(hash_col).alias("_r"), F.explode(hashing.bands(F.col(hash_col))).alias("band"))
+    pairs = l.join(r, "band").withColumn("bits", hashing.hamming(F.col("_l"), F.col("_r"))).where(F.col("bits") <= max_bits)
     return pairs.select(key, other, "bits").distinct()
 
 
@@ -47,8 +47,8 @@ def near_hash_short(left: DataFrame, right: DataFrame, key: str, other: str, has
         parts = F.array(*[F.concat(F.lit(f"{k}:"), F.substr("bin", F.lit(cut[k] + 1), F.lit(cut[k + 1] - cut[k]))) for k in range(max_bits + 1)])
         return df.select(c, name, F.explode(parts).alias("band"))
 
-    pairs = banded(left, key, "a").join(banded(right, other, "b"), "band")
-    pairs = pairs.withColumn("bits", hashing.hamming(F.col("a"), F.col("b"), digits)).where(F.col("bits") <= max_bits)
+    pairs = banded(left, key, "_l").join(banded(right, other, "_r"), "band")
+    pairs = pairs.withColumn("bits", hashing.hamming(F.col("_l"), F.col("_r"), digits)).where(F.col("bits") <= max_bits)
     return pairs.select(key, other, "bits").distinct()
 
 

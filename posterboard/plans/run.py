@@ -13,6 +13,7 @@ from ..functions import hashing
 from ..functions import text as T
 from ..operators import enrich, linkage, memory
 from ..schemas import RECORD
+from ..session import ensure_checkpoints
 
 
 @dataclass
@@ -48,11 +49,13 @@ def collect(sources: dict[str, DataFrame], only: list[str] | None = None) -> Dat
 
 def run(sources: dict[str, DataFrame], ledger: DataFrame, live: DataFrame, as_of: dt.date, stamp: dt.datetime, only: list[str] | None = None) -> Result:
     """live: the LISTING columns. Order: enrich, disposition, collapse, memory, live, queue; cheap tests come before dear ones."""
+    ensure_checkpoints(ledger.sparkSession)
     rows = enrich.tidy(enrich.fill_from_text(collect(sources, only), as_of, "ocr"))
     topic = T.topic_tenths(enrich.all_text())
-    rows = rows.withColumn("confidence", enrich.confidence(topic)).withColumn("disposition", enrich.disposition(as_of, topic))
+    # each of the tables that several branches read is made once, in the folder that the cluster's checkpoints share
+    rows = rows.withColumn("confidence", enrich.confidence(topic)).withColumn("disposition", enrich.disposition(as_of, topic)).checkpoint()
     lost = rows.where("disposition != 'keep'")
-    merged = linkage.collapse(rows.where("disposition = 'keep'").drop("disposition"))
+    merged = linkage.collapse(rows.where("disposition = 'keep'").drop("disposition")).checkpoint()
     lost = lost.unionByName(merged.where("merged_into IS NOT NULL").drop("merged_into").withColumn("disposition", F.lit("merged")))
     kept = merged.where("merged_into IS NULL").drop("merged_into")
     kept = kept.withColumns({
@@ -60,10 +63,10 @@ def run(sources: dict[str, DataFrame], ledger: DataFrame, live: DataFrame, as_of
         "match_key": hashing.match_key(F.col("start_date"), F.col("location")),
     }).dropDuplicates(["fingerprint"])
     fresh = memory.judge_image_twins(memory.unseen(kept, ledger), ledger).where("image_verdict != 'drop'").drop("image_verdict", "twin_date")
-    fresh = memory.unseen_key(fresh, ledger)
+    fresh = memory.unseen_key(fresh, ledger).checkpoint()
     seen = kept.join(fresh.select("fingerprint"), "fingerprint", "left_anti").withColumn("disposition", F.lit("seen"))
     site = live.select("id", "title", "start_date", "location", F.lit(None).cast("string").alias("flyer_phash"), (F.coalesce("report_count", F.lit(0)) >= 3).alias("flagged"))
-    routed = linkage.route(fresh, linkage.best_live_match(fresh, site), site)
+    routed = linkage.route(fresh, linkage.best_live_match(fresh, site), site).checkpoint()
     columns = [c for c in lost.columns]
     every = lost.select(*columns).unionByName(seen.select(*columns)).unionByName(routed.select(*columns))
     new = routed.select("fingerprint", "title", "start_date", "match_key", F.col("flyer_phash").alias("phash"), "source", "source_url", "outcome")

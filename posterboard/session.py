@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,10 @@ def get_session(name: str = "posterboard", master: str | None = None) -> SparkSe
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     builder = builder.config("spark.sql.execution.arrow.pyspark.enabled", "true")
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Sets a folder for checkpoints only where the session has none, as in tests; a cluster names its own shared one in spark.checkpoint.dir."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
