@@ -22,7 +22,21 @@ ANCHORS = (
     "de la que el en los se del las un por con una su para es al lo no "
     "le les et du une est dans qui pour pas sur au plus par il elle"
 ).split()
-_ANY = "(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ")"
+
+
+def _prefix_tree(words: list[str]) -> str:
+    """A pattern for any of the words that looks at each character once, the longest first."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            first.setdefault(w[0], []).append(w[1:])
+    parts = [ch + _prefix_tree(rest) for ch, rest in sorted(first.items())]
+    if not parts:
+        return ""
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in words else "")
+
+
+_ANY = _prefix_tree(sorted(set(ANCHORS)))
 _DROPPED = ".,;:!?\"'()[]"
 #: Rows that share a window when each document meets the next.
 CELL_ROWS = 512
