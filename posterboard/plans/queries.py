@@ -9,7 +9,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import dates, fuzzy, hashing
 from ..functions import text as T
