@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MAX_ACCEPTED, WINDOW_MS = 3, 3_600_000
+#: Stretches of a client's attempts that one group goes through.
+BREAKS_A_GROUP = 1_000
 BREAK_AT, MAX_DELAY, MAX_RETRY_AFTER = 3, 30.0, 60.0
 
 
@@ -44,7 +46,8 @@ def rate_limited(attempts: DataFrame, most: int = MAX_ACCEPTED, window: int = WI
 
     order = Window.partitionBy("client").orderBy("ms", "seq")
     gap = F.col("ms") - F.lag("ms").over(order)
-    rows = attempts.select("client", "ms", "seq").withColumn("part", F.sum(F.when(gap >= window, 1).otherwise(0)).over(order))
+    breaks = F.sum(F.when(gap >= window, 1).otherwise(0)).over(order)
+    rows = attempts.select("client", "ms", "seq").withColumn("part", F.floor(breaks / BREAKS_A_GROUP))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ms", "seq"])
