@@ -5,11 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fuzzy
 from ..functions.text import location_state, normalize_key, normalize_location
 
+GROUPS_A_PARTITION = 8
 FIELDS = ("start_date", "location", "title", "flyer_phash")
 
 
@@ -128,13 +130,9 @@ def collapse(rows: DataFrame, schema: str | None = None) -> DataFrame:
             kept["warnings"] = [*kept["warnings"], f"also listed at {row['source_url']}"]
         kept["confidence"] = max(kept["confidence"] or 0, row["confidence"] or 0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.sort_values(["confidence", "filled", "ordinal"], ascending=[False, False, True], kind="stable")
+    def one_island(order: list[dict]) -> None:
         kept: list[dict] = []
-        out: list[dict] = []
-        for row in order.astype(object).where(order.notna(), None).to_dict("records"):
-            row["warnings"] = list(row["warnings"]) if row["warnings"] is not None else []
-            row["merged_into"] = None
+        for row in order:
             best, score = None, 0.0
             for other in kept:
                 if (s := alike(row, other)) > score:
@@ -148,14 +146,23 @@ def collapse(rows: DataFrame, schema: str | None = None) -> DataFrame:
                     for one, other in ((row, twin), (twin, row)):
                         one["warnings"].append(f"same flyer image as another event in this batch ({other['start_date']}) - check which date is right")
                 kept.append(row)
-            out.append(row)
-        return pd.DataFrame(out)[columns]
 
-    from pyspark.sql import types as T
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        rows.sort(key=lambda r: (-(r["confidence"] or 0), -r["filled"], r["ordinal"]))
+        groups: dict[tuple, list[dict]] = {}
+        for r in rows:
+            r["warnings"], r["merged_into"] = list(r["warnings"]) if r["warnings"] is not None else [], None
+            groups.setdefault((r["island"], r["part"]), []).append(r)
+        for order in groups.values():
+            one_island(order)
+        return pd.DataFrame(rows)[columns]
 
     ready = ready.withColumn("key_title", normalize_key(F.col("title")))
     returned = T.StructType([*rows.schema.fields, T.StructField("merged_into", T.LongType())])
-    return ready.groupBy("island", "part").applyInPandas(run, returned)
+    # islands are small and many, so several share a group
+    groups = GROUPS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ready.groupBy(F.pmod(F.xxhash64("island", "part"), F.lit(groups))).applyInPandas(run, returned)
 
 
 def image_twins(kept: DataFrame) -> DataFrame:
