@@ -84,32 +84,57 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_LINE_DOCS, share: float
     return lines, frequent.select("host", "line_hash", "n_texts", "first_doc")
 
 
-def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """docs: doc_id, text and the host column. Returns doc_id, the counts, words_left, base_failed, kept, text_hash.
+def _line_key(host: Column, line_hash: Column) -> Column:
+    """A line of a host: the same line of another host has its own limit."""
+    return F.xxhash64(host, line_hash)
 
-    base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed,
-    and at least MIN_KEPT_SHARE of the words, and MIN_WORDS of them, are left after frequent lines are removed.
-    A null or empty text fails; a null host is a host of its own; repeated rows get the same verdict each; other columns are ignored.
-    An empty table gives no rows.
-    """
+
+def _judged(docs: DataFrame, host: str) -> DataFrame:
+    """What apply_rules returns, with lines_gone: the keys of the document's lines that are removed, null where there are none."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.col(host).cast("string")).alias("host"))
     lines, frequent = frequent_lines(docs)
     gone = lines.join(frequent, ["host", "line_hash"]).where(F.col("doc_id") != F.col("first_doc"))
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("words_gone"))
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("words_gone"), F.collect_list(_line_key(F.col("host"), F.col("line_hash"))).alias("lines_gone"))
     counts = document_counts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = counts.join(gone, ["doc_id", "text_hash"], "left").withColumn("words_left", F.col("n_words") - F.coalesce("words_gone", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("words_left") >= MIN_WORDS) & (F.col("words_left") >= MIN_KEPT_SHARE * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", kept.alias("kept"), "text_hash")
+    return out.withColumn("kept", kept)
+
+
+def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+    """docs: doc_id, text and the host column. Returns doc_id, the counts, words_left, base_failed, kept, text_hash.
+
+    base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed,
+    and at least MIN_KEPT_SHARE of the words, and MIN_WORDS of them, are left after frequent lines are removed.
+    A null or empty text fails; a null host is a host of its own; repeated rows get the same verdict each; other columns are ignored.
+    An empty table gives no rows.
+    """
+    return _judged(docs, host).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept", "text_hash")
+
+
+def text_without(text: Column, host: Column, lines_gone: Column) -> Column:
+    """text without the lines whose keys are in lines_gone, the others in their order; the text itself where that is null.
+
+    host: the hash that apply_rules counts by. Lines without a word are never removed.
+    """
+    key = lambda x: _line_key(host, F.xxhash64(normal_line(x)))
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(lines_gone, key(x))))
+    return F.when(lines_gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that apply_rules keeps, with all their columns."""
+    """The rows of docs that apply_rules keeps, with all their columns; in text, the frequent lines are removed.
+
+    The first document that holds a frequent line keeps it. The words of a text are then those that words_left counts.
+    """
     key = lambda text_hash: F.xxhash64("doc_id", text_hash)
     # verdicts are a table of their own: a filter on them would be pushed into the counts, and compute them again and again
-    good = written(apply_rules(docs, host).select(key("text_hash").alias("_key"), "kept"), "verdicts").where("kept").select("_key")
-    return docs.withColumn("_key", key(F.xxhash64("text"))).join(good, "_key", "left_semi").drop("_key")
+    good = written(_judged(docs, host).select(key("text_hash").alias("_key"), "kept", "lines_gone"), "verdicts").where("kept")
+    good = good.select("_key", F.col("lines_gone").alias("_lines_gone")).dropDuplicates(["_key"])
+    out = docs.withColumn("_key", key(F.xxhash64("text"))).join(good, "_key")
+    return out.withColumn("text", text_without(F.col("text"), F.xxhash64(F.col(host).cast("string")), F.col("_lines_gone"))).select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

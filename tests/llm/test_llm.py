@@ -311,6 +311,25 @@ def test_frequent_lines(spark, awkward, nothing):
     assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in every.where("kept").collect()}
 
 
+def test_frequent_lines_leave_the_text(spark):
+    letters = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    body = lambda i: [" ".join(f"w{letters(i)}x{letters(j)}x{letters(k)}" for k in range(30)) for j in range(3)]
+    menu = "Home | News 7"  # digits, case and spaces don't matter to the count
+    made = {i: "\n".join([body(i)[0], "", menu.replace("7", str(i % 10)), body(i)[1], "  HOME  | news 5 ", body(i)[2], " \t", ""]) for i in range(1, 41)}
+    rows = [(i, t, "s", 1) for i, t in made.items()] + [(7, made[7], "s", 2), (100, "\n".join([*body(100), menu]), "t", 1), (101, "\n".join(body(101)), "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    out = quality_rules.keep_good(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    got = {(r.doc_id, r.copy): r.text for r in out.collect()}
+    assert got[1, 1] == made[1]  # the first document keeps its lines
+    for i in range(2, 41):
+        assert got[i, 1] == "\n".join([body(i)[0], "", body(i)[1], body(i)[2], " \t", ""])  # in order, blank lines too
+    assert got[7, 2] == got[7, 1]  # repeated rows alike
+    assert got[100, 1] == rows[-2][1] and got[101, 1] == rows[-1][1]  # rare on this host; nothing to remove
+    left = {r.doc_id: r.words_left for r in quality_rules.apply_rules(docs.where("copy = 1")).collect()}
+    assert all(len(words(t)) == left[d] for (d, _), t in got.items())
+
+
 def test_bucket_bounds_are_optimal():
     rng = random.Random(3)
     for _ in range(40):
