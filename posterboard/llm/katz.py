@@ -1,13 +1,14 @@
-"""LM scoring: a Katz back-off bigram model. Good-Turing discounted counts, and back-off weights that normalise exactly.
+"""LM scoring: a Katz back-off model of any order, trigrams by default. Good-Turing discounted counts, and back-off weights that normalise exactly.
 
-    P(w | h) = d(c(h w)) c(h w) / N(h)  if the pair was seen,  else  alpha(h) P(w);      P(w) = d(c(w)) c(w) / N, the rest being the unknown word's
-    alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over seen w)
+    P(w | h) = d(c(h w)) c(h w) / N(h)  if h w was seen,  else  alpha(h) P(w | h'), h' being h without its first word;  P(w) = d(c(w)) c(w) / N, the rest being the unknown word's
+    alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h') over seen w)
 
-Where the work is: texts are cut into chunks of about CHUNK_TOKENS tokens, which are tokenised once, into a file each in the shared folder. A chunk asks
-for the counts of its distinct words, then of its distinct pairs: its sorted word hashes are cut into ranges, and each range's slice goes to the task which
-holds that range of the count table, and comes back with the counts over all chunks. So what moves are distinct words and pairs of chunks as compressed arrays,
-not a row per token. The slices of the count tables are Parquet tables, partitioned by range. Very frequent words, a bounded number, have
-their pairs spread over all ranges, and their sums are added up apart.
+Where the work is: texts are cut into chunks of about CHUNK_TOKENS tokens, which are tokenised once, into a file each in the shared folder. A chunk asks for the counts
+of its distinct words, then of its distinct pairs, then of its distinct triples: n-grams are dealt by their history into ranges, each range's slice goes to the task which holds that
+range of the count table, and comes back with the counts over all chunks and with what alpha needs of each history, all of it as whole numbers, so that the discounts, which
+only the finished table tells, are applied at the end. What moves are distinct n-grams of chunks as compressed arrays of word numbers, not a row per token. Each level's table is a
+Parquet table of slices. How many ranges there are goes by the size of the text, so a range doesn't grow with the corpus. Very frequent histories, a bounded number, have their n-grams
+spread over all ranges, and their sums are added up apart.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, fresh_path, table, written
 
-CHUNK_TOKENS = 2_500_000
-#: Ranges of a count table, at least; a session with more shuffle partitions gets as many.
-MIN_RANGES = 64
+ORDER = 3
+CHUNK_TOKENS = 1_500_000
+#: Ranges of a count table: one for so many characters of text, and so many at least.
+RANGE_CHARS = 32_000_000
+MIN_RANGES = 128
 #: Counts up to CUT are discounted.
 CUT = 5
-#: A word with over 1/HOT of all training tokens is very frequent; there are fewer than HOT of them.
+#: A history with over 1/HOT of all training tokens is very frequent; there are fewer than HOT of them.
 HOT = 400
 END = np.uint64(0x9AE16A3B2F90404F)
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -44,11 +49,16 @@ def _small(a: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps([(a.dtype.str, a.tobytes()) for a in arrays], protocol=5), 3)
+    """First bytes of all values, then second bytes and so on: small numbers compress better."""
+    return zstandard.compress(pickle.dumps([(a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in map(np.ascontiguousarray, arrays)], protocol=5), 3)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype=kind) for kind, b in pickle.loads(zstandard.decompress(blob))]
+    out = []
+    for kind, data in pickle.loads(zstandard.decompress(blob)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1))
+    return out
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -71,6 +81,10 @@ class Level:
     def discounted(self, counts: np.ndarray) -> np.ndarray:
         return self.discount[np.minimum(counts, CUT + 1).astype(np.int64)] * counts
 
+    def mass(self, by_count: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        """Discounted count of types of which by_count[:, r - 1] were seen r times, and the others beyond times together."""
+        return (by_count * (self.discount[1 : CUT + 1] * np.arange(1, CUT + 1))).sum(axis=1) + beyond
+
     @staticmethod
     def of(total: int, types: int, n: list[int]) -> Level:
         """n: how many types were seen once, twice, ... CUT + 1 times.
@@ -99,6 +113,7 @@ class Level:
 @dataclass(frozen=True)
 class Unigrams:
     level: Level
+    seen: float = 0.0  # sum of discounted counts
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
         """Of words with these training counts; 0 is the unknown word."""
@@ -107,8 +122,6 @@ class Unigrams:
             return np.ones(len(counts))
         return np.where(counts > 0, level.discounted(counts) / self.whole, self.unknown)
 
-    seen: float = 0.0  # sum of discounted counts
-
     @property
     def whole(self) -> float:
         """The denominator: one more where no count is discounted, so that something is left."""
@@ -119,16 +132,6 @@ class Unigrams:
         return 1 - self.seen / self.whole if self.level.total else 1.0
 
 
-def backoff(level: Level, total: np.ndarray, n_r: np.ndarray, seen_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(denominator, alpha) of histories with these token counts, types by count 1 to CUT, and sums of P(w) over seen w."""
-    r = np.arange(1, CUT + 1)
-    mass = (n_r * (level.discount[1 : CUT + 1] * r)).sum(axis=1) + (total - (n_r * r).sum(axis=1))
-    whole = total + (mass >= total)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = (1 - mass / whole) / (1 - seen_p)
-    return np.maximum(whole, 1), np.where(total > 0, alpha, 1.0)
-
-
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -178,175 +181,278 @@ def _cut(words: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(words, np.array([k * step for k in range(ranges)], dtype=np.uint64)), [len(words)]])
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk at one level, sorted by range, history and word; histories and suffixes are places in the level below."""
+
+    hist: np.ndarray
+    word: np.ndarray
+    suffix: np.ndarray
+    part: np.ndarray
+    count: np.ndarray  # in this chunk's training texts
+    total: np.ndarray | None = None  # over all chunks, once that is known
+
+
 class Chunk:
-    """A chunk's file, and what it asks of the pair tables."""
+    """A chunk's file, and what it asks of the count tables, level by level."""
 
-    def __init__(self, folder: str, chunk: int):
+    def __init__(self, folder: str, chunk: int, ranges: int):
         fs, root = _filesystem(folder)
         with fs.open_input_file(f"{root}/{chunk}") as f:
-            self.ids, blob = pickle.loads(f.read())
+            self.doc_ids, blob = pickle.loads(f.read())
         lengths, train, self.words, local = _unpack(blob)
-        self.lengths, self.train, self.local = lengths.astype(np.int64), train > 0, local.astype(np.int64)
+        self.ranges, self.lengths, self.train, self.local = ranges, lengths.astype(np.int64), train > 0, local.astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-
-    def pairs(self, counts: np.ndarray, ranges: int, hot_count: float) -> None:
-        """Distinct pairs (h, w as places in words), by range; of each token, which pair it ends (-1: the first of a text)."""
+        self.place = np.arange(len(self.local)) - np.repeat(self.starts, self.lengths)  # in its text
+        self.in_train = np.repeat(self.train, self.lengths)
+        self.levels: dict[int, Grams] = {}
+        self.at = {1: self.local}  # of each token, the n-gram that it ends; -1 where the text hasn't begun early enough
+        self.total: dict[int, np.ndarray] = {}
+        self.key: dict[int, np.ndarray] = {}
+
+    def answer_words(self, blobs: list[list[np.ndarray]], of_range: list[int]) -> None:
+        """Global counts and numbers of the words; frequent words have small numbers."""
+        self.total[1] = np.concatenate([b[0] for b in blobs]).astype(np.int64)
+        self.number = np.concatenate([b[1].astype(np.int64) * self.ranges + k for b, k in zip(blobs, of_range, strict=True)])
+        self.key[1] = self.number.astype(np.uint64) * _P
+
+    def grams(self, k: int, hot_count: float) -> Grams:
+        """Makes level k from the level below, whose totals are known."""
+        below = self.at[k - 1]
+        at = np.flatnonzero(self.place >= k - 1)
         v = len(self.words)
-        follows = np.ones(len(self.local), dtype=bool)
-        follows[self.starts] = False
-        at = np.flatnonzero(follows)
-        keys, inverse = np.unique(self.local[at - 1] * v + self.local[at], return_inverse=True)
-        h, w = keys // v, keys % v
-        in_range = np.searchsorted(_cut(self.words, ranges)[1:], np.arange(v), side="right")
-        part = in_range[h]
-        self.is_hot = counts > hot_count
-        hot = self.is_hot[h]
-        part[hot] = (part[hot] + (self.words[w[hot]] % np.uint64(ranges)).astype(np.int64)) % ranges
+        keys, inverse = np.unique(below[at - 1] * v + self.local[at], return_inverse=True)
+        hist, word = keys // v, keys % v
+        self.hot = self.total[k - 1] > hot_count
+        part, hot = self.key[k - 1][hist], self.hot[hist]
+        part = ((part ^ (part >> np.uint64(31))) % np.uint64(self.ranges)).astype(np.int64)
+        spread = self.key[1][word[hot]]
+        part[hot] = (part[hot] + ((spread ^ (spread >> np.uint64(29))) % np.uint64(self.ranges)).astype(np.int64)) % self.ranges
         order = np.argsort(part, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.h, self.w, self.part = h[order], w[order], part[order]
-        self.pair = np.full(len(self.local), -1)
-        self.pair[at] = place[inverse]
-        seen = np.repeat(self.train, self.lengths)[at]
-        self.count = np.bincount(place[inverse[seen]], minlength=len(keys))
-
-    def slices(self, ranges: int) -> Iterator[tuple[int, slice]]:
-        cut = np.searchsorted(self.part, np.arange(ranges + 1))
-        for k in range(ranges):
-            if cut[k] < cut[k + 1]:
-                yield k, slice(cut[k], cut[k + 1])
-
+        suffix = np.empty(len(keys), dtype=np.int64)
+        suffix[place[inverse]] = below[at]
+        self.at[k] = np.full(len(self.local), -1)
+        self.at[k][at] = place[inverse]
+        seen = self.in_train[at]
+        self.levels[k] = out = Grams(hist[order], word[order], suffix, part[order], np.bincount(place[inverse[seen]], minlength=len(keys)))
+        mixed = (self.key[k - 1][out.hist] ^ (self.key[1][out.word] >> np.uint64(7))) * _P
+        self.key[k] = mixed ^ (mixed >> np.uint64(33))
+        return out
+
+    def spell(self, k: int, which: np.ndarray) -> list[np.ndarray]:
+        """The word numbers of these n-grams, a column per word."""
+        if k == 1:
+            return [self.number[which]]
+        level = self.levels[k]
+        return [*self.spell(k - 1, level.hist[which]), self.number[level.word[which]]]
+
+    def slices(self, k: int) -> Iterator[tuple[int, slice]]:
+        cut = np.searchsorted(self.levels[k].part, np.arange(self.ranges + 1))
+        for r in range(self.ranges):
+            if cut[r] < cut[r + 1]:
+                yield r, slice(cut[r], cut[r + 1])
+
+
+@dataclass
+class Histories:
+    """Of each history of a level: its tokens N, how many types follow it once, twice, ... CUT times; and the same of these types' counts one level below."""
+
+    total: np.ndarray
+    n: np.ndarray
+    below: np.ndarray
+    below_beyond: np.ndarray
 
-def _gathered(pdf: pd.DataFrame) -> list[list[np.ndarray]]:
-    """The blobs of a chunk, by range."""
-    return [_unpack(b) for b in pdf.sort_values("range")["blob"]]
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
+    @staticmethod
+    def empty(m: int) -> Histories:
+        return Histories(np.zeros(m, dtype=np.int64), np.zeros((m, CUT), dtype=np.int64), np.zeros((m, CUT), dtype=np.int64), np.zeros(m, dtype=np.int64))
+
+    def put(self, at, columns: list) -> None:
+        self.total[at], self.below_beyond[at] = columns[0], columns[-1]
+        for r in range(CUT):
+            self.n[at, r], self.below[at, r] = columns[1 + r], columns[1 + CUT + r]
+
+
+#: Numbers of a history in an answer.
+FACTS = 2 * CUT + 2
+
+
+def codes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, first): which distinct row each row is, from 0, and where each distinct row is found first."""
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        values, dense = np.unique(c, return_inverse=True)
+        _, code = np.unique(code * len(values) + dense, return_inverse=True)
+    return code, np.unique(code, return_index=True)[1]
+
+
+ANSWER = "level int, range int, chunk long, blob binary, facts array<long>"
+
+
+def _row(level: int, range_: int, chunk: int, blob: bytes, facts=None) -> tuple:
+    return level, range_, chunk, blob, facts
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["level", "range", "chunk", "blob", "facts"])
+
+
+def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    asked = [_unpack(b) for b in pdf["blob"]]
+    words, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    counts = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]).astype(np.float64)).astype(np.int64)
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+    rows, at = [], 0
+    for k, chunk, (mine, _) in zip(pdf["range"], pdf["chunk"], asked, strict=True):
+        which = inverse[at : at + len(mine)]
+        rows.append(_row(1, k, chunk, _pack(_small(counts[which]), _small(rank[which]))))
+        at += len(mine)
+    rows.append(_row(1, -1, -1, b"", [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, CUT + 2))]))
+    return _frame(rows)
+
+
+def count_grams(k: int):
+    return lambda pdf: _count_grams(pdf, k)
+
+
+def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The counts of one range of level k. Of a slice: its histories' words, whether they are spread, their n-grams; then each n-gram's word, count one level below and count."""
+    parts = []
+    for blob in pdf["blob"]:
+        *spelled, hot, runs, numbers, which, lower, count = _unpack(blob)
+        which = which.astype(np.int64)
+        parts.append((spelled, hot, runs.astype(np.int64), numbers.astype(np.int64)[which], lower.astype(np.int64)[which] if k == 2 else lower.astype(np.int64), count.astype(np.int64)))
+    spelled = [np.concatenate([p[0][i] for p in parts]).astype(np.int64) for i in range(k - 1)]
+    h_at, first = codes(spelled)
+    m = len(first)
+    hot = np.zeros(m, dtype=bool)
+    hot[h_at] = np.concatenate([p[1] for p in parts]) > 0
+    h = np.repeat(h_at, np.concatenate([p[2] for p in parts]))
+    w, lower, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+    values, w = np.unique(w, return_inverse=True)
+    _, kind_first, kind = np.unique(h * len(values) + w, return_index=True, return_inverse=True)
+    counts = np.bincount(kind, weights=count.astype(np.float64)).astype(np.int64)
+    seen = counts > 0
+    th, tlower, c = h[kind_first][seen], lower[kind_first][seen], counts[seen]
+    tally = lambda which: np.bincount(th[which], minlength=m)
+    total = np.bincount(th, weights=c.astype(np.float64), minlength=m).astype(np.int64)
+    large = tlower > CUT
+    beyond = np.bincount(th[large], weights=tlower[large].astype(np.float64), minlength=m).astype(np.int64)
+    facts = [total, *(tally(c == r) for r in range(1, CUT + 1)), *(tally(tlower == r) for r in range(1, CUT + 1)), beyond]
+    of_gram, rows, a, b = counts[kind], [], 0, 0
+    for r, chunk, part in zip(pdf["range"], pdf["chunk"], parts, strict=True):
+        at, n = h_at[a : a + len(part[1])], len(part[3])
+        rows.append(_row(k, r, chunk, _pack(_small(of_gram[b : b + n]), *[_small(f[at]) for f in facts])))
+        a, b = a + len(at), b + n
+    rows.append(_row(k, -1, -1, b"", [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, CUT + 2))]))
+    rows += [_row(k, -2, -2, b"", [*(int(s[first[i]]) for s in spelled), *(int(f[i]) for f in facts)]) for i in np.flatnonzero(hot)]
+    return _frame(rows)
+
+
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """docs: doc_id, text, train (learn from this row?). Returns doc_id, train, n_tokens, n_known, train_tokens, base_score, score: a row per row.
 
-    Scores are log10 probabilities, of an add-one unigram model (base) and of the back-off model. A null or empty text is one end token. Repeated rows
-    are counted and scored each; a null train is no training. Without training rows every token is the unknown word, with probability 1. Other
+    Scores are log10 probabilities, of an add-one unigram model (base) and of the back-off model over n-grams up to order. A null or empty text is one end token. Repeated rows
+    are counted and scored each; a null train is no training. Without training rows every token is the unknown word, with probability 1. A long text stays whole in its chunk. Other
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    ranges = max(MIN_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = max(MIN_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     folder = fresh_path(spark, "chunks")
-
-    def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [_unpack(b) for b in pdf["blob"]]
-        words, inverse = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        counts = np.bincount(inverse, weights=np.concatenate([a[1] for a in asked]).astype(np.float64)).astype(np.int64)
-        back = np.split(counts[inverse], np.cumsum([len(a[0]) for a in asked])[:-1])
-        out = pd.DataFrame({"range": pdf["range"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "blob": [_pack(_small(b)) for b in back], "facts": None})
-        facts = [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, CUT + 2))]
-        return pd.concat([out, pd.DataFrame({"range": [-1], "chunk": [-1], "blob": [b""], "facts": [facts]})])
-
-    answer = "range int, chunk long, blob binary, facts array<long>"
-    asked = _chunks(docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train")), folder, ranges)
-    words = written(asked.groupBy("range").applyInPandas(count_words, answer), "word-counts")
-
-    def facts_of(answers: DataFrame) -> list[int]:
-        sums = answers.where("chunk = -1").agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(CUT + 3)]).first()
-        return [int(x or 0) for x in sums]
-
-    total, types, *n_r = facts_of(words)
-    level = Level.of(total, types, n_r)
-    r = np.arange(1, CUT + 1)
-    seen = float((np.array(n_r[:CUT]) * r * level.discount[1 : CUT + 1]).sum() + total - (np.array(n_r[:CUT]) * r).sum())
-    unigrams = Unigrams(level, seen)
-    hot_count = max(total / HOT, 50)
-
-    def ask_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(folder, int(pdf["chunk"].iloc[0]))
-        counts = np.concatenate([a[0] for a in _gathered(pdf)]).astype(np.int64)
-        chunk.pairs(counts, ranges, hot_count)
-        rows = []
-        for k, s in chunk.slices(ranges):
-            h, runs = np.unique(chunk.h[s], return_counts=True)
-            w, which = np.unique(chunk.w[s], return_inverse=True)
-            short = np.ascontiguousarray(chunk.words[w].view(np.uint8).reshape(-1, 8)[:, 2:])  # 48 bits tell the words after one word apart
-            blob = _pack(chunk.words[h], _small(runs), short.reshape(-1), _small(counts[w]), _small(which), _small(chunk.count[s]), chunk.is_hot[h].astype(np.uint8))
-            rows.append((k, int(pdf["chunk"].iloc[0]), blob))
-        return pd.DataFrame(rows, columns=["range", "chunk", "blob"])
-
-    def count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for blob in pdf["blob"]:
-            h, runs, short, cw, which, count, hot = _unpack(blob)
-            w = np.zeros((len(cw), 8), dtype=np.uint8)
-            w[:, 2:] = short.reshape(-1, 6)
-            w = w.reshape(-1).view(np.uint64)
-            parts.append((h, hot, runs.astype(np.int64), w[which], cw.astype(np.int64)[which], count.astype(np.int64)))
-        histories, h_at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        hot = np.zeros(len(histories), dtype=bool)
-        hot[h_at] = np.concatenate([p[1] for p in parts]) > 0
-        h = np.repeat(h_at, np.concatenate([p[2] for p in parts]))
-        w, cw, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
-        order = np.lexsort((w, h))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
-        kind = np.cumsum(new) - 1
-        counts = np.bincount(kind, weights=count[order].astype(np.float64)).astype(np.int64)
-        of_pair = np.empty(len(order), dtype=np.int64)
-        of_pair[order] = counts[kind]
-        th, tcw = h[order][new], cw[order][new]
-        seen_type = counts > 0
-        th, tcw, c = th[seen_type], tcw[seen_type], counts[seen_type]
-        m = len(histories)
-        totals = np.bincount(th, weights=c.astype(np.float64), minlength=m).astype(np.int64)
-        n_of = [np.bincount(th[c == k], minlength=m) for k in range(1, CUT + 1)]
-        seen_p = np.bincount(th, weights=unigrams.probability(tcw), minlength=m)
-        rows, a, b = [], 0, 0
-        for k, chunk, part in zip(pdf["range"], pdf["chunk"], parts, strict=True):
-            at, pairs = h_at[a : a + len(part[0])], len(part[3])
-            rows.append((k, chunk, _pack(_small(of_pair[b : b + pairs]), _small(totals[at]), *[_small(n[at]) for n in n_of], seen_p[at]), None, None))
-            a, b = a + len(at), b + pairs
-        rows.append((-1, -1, b"", [int(c.sum()), len(c), *(int((c == k).sum()) for k in range(1, CUT + 2))], None))
-        for i in np.flatnonzero(hot):
-            rows.append((-2, -2, b"", [int(histories[i].astype(np.int64)), int(totals[i]), *(int(n[i]) for n in n_of)], float(seen_p[i])))
-        return pd.DataFrame(rows, columns=["range", "chunk", "blob", "facts", "seen_p"])
-
-    wanted = words.where("chunk >= 0").groupBy("chunk").applyInPandas(ask_pairs, "range int, chunk long, blob binary")
-    pairs = written(wanted.groupBy("range").applyInPandas(count_pairs, answer + ", seen_p double"), "pair-counts")
-    pair_total, pair_types, *pair_n = facts_of(pairs)
-    pair_level = Level.of(pair_total, pair_types, pair_n)
-    sums = pairs.where("chunk = -2").groupBy(F.col("facts")[0].alias("h")).agg(F.sum("seen_p").alias("p"), *[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(1, CUT + 2)])
-    hot_facts = {int(np.int64(x["h"]).astype(np.uint64)): (x["f1"], [x[f"f{i}"] for i in range(2, CUT + 2)], x["p"]) for x in sums.collect()}  # fewer than HOT rows
-
-    def score(mine: pd.DataFrame, of_words: pd.DataFrame) -> pd.DataFrame:
-        n = int(of_words["chunk"].iloc[0])
-        chunk = Chunk(folder, n)
-        counts = np.concatenate([a[0] for a in _gathered(of_words)]).astype(np.int64)
-        chunk.pairs(counts, ranges, hot_count)
-        p1 = unigrams.probability(counts)
-        token_p = p1[chunk.local]
-        if len(mine):
-            v = len(chunk.words)
-            total, n_of, seen_p, count = np.zeros(v, dtype=np.int64), np.zeros((v, CUT), dtype=np.int64), np.zeros(v), []
-            for (_, s), got in zip(chunk.slices(ranges), _gathered(mine), strict=True):
-                h = np.unique(chunk.h[s])
-                count.append(got[0].astype(np.int64))
-                total[h], seen_p[h] = got[1], got[-1]
-                n_of[h] = np.stack(got[2:-1], axis=1)
-            for i in np.flatnonzero(chunk.is_hot):
-                if (found := hot_facts.get(int(chunk.words[i]))) is not None:
-                    total[i], n_of[i], seen_p[i] = found
-            whole, alpha = backoff(pair_level, total, n_of, seen_p)
-            c = np.concatenate(count)
-            pair_p = np.where(c > 0, pair_level.discounted(c) / whole[chunk.h], alpha[chunk.h] * p1[chunk.w])
-            follows = chunk.pair >= 0
-            token_p[follows] = pair_p[chunk.pair[follows]]
+    answers = {1: written(_chunks(docs, folder, ranges).groupBy("range").applyInPandas(count_words, ANSWER), "counts-1")}
+
+    def facts_of(k: int) -> Level:
+        sums = answers[k].where("chunk = -1").agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(CUT + 3)]).first()
+        total, types, *n_r = [int(x or 0) for x in sums]
+        numbers[k] = n_r
+        return Level.of(total, types, n_r)
+
+    numbers: dict[int, list[int]] = {}
+    levels = {1: facts_of(1)}
+    total_tokens = levels[1].total
+    by_count = np.array([numbers[1][:CUT]])
+    unigrams = Unigrams(levels[1], float(levels[1].mass(by_count, total_tokens - (by_count * np.arange(1, CUT + 1)).sum())[0]))
+    hot_count = max(total_tokens / HOT, 50)
+    hot: dict[int, dict[tuple, list]] = {}
+
+    def opened(pdf: pd.DataFrame, upto: int) -> tuple[Chunk, dict[int, list[list[np.ndarray]]]]:
+        """The chunk with its levels below upto and their totals; the answers by level."""
+        chunk = Chunk(folder, int(pdf["chunk"].iloc[0]), ranges)
+        pdf = pdf.sort_values(["level", "range"])
+        got = {k: [_unpack(b) for b in g["blob"]] for k, g in pdf.groupby("level")}
+        chunk.answer_words(got[1], list(pdf.loc[pdf["level"] == 1, "range"]))
+        for k in range(2, upto):
+            chunk.grams(k, hot_count)
+            chunk.total[k] = np.concatenate([g[0] for g in got.get(k, [])] or [np.zeros(0)]).astype(np.int64)
+        return chunk, got
+
+    def asking(k: int):
+        def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+            chunk, _ = opened(pdf, k)
+            level, rows = chunk.grams(k, hot_count), []
+            lower = chunk.total[k - 1]
+            for r, s in chunk.slices(k):
+                new = np.flatnonzero(np.diff(level.hist[s], prepend=-1))
+                h = level.hist[s][new]
+                w, which = np.unique(chunk.number[level.word[s]], return_inverse=True)
+                below = lower[level.suffix[s]]
+                if k == 2:  # the word's own count
+                    below_w = np.zeros(len(w), dtype=np.int64)
+                    below_w[which] = below
+                    below = below_w
+                runs = np.diff(np.append(new, s.stop - s.start))
+                blob = _pack(*map(_small, chunk.spell(k - 1, h)), chunk.hot[h].astype(np.uint8), _small(runs), _small(w), _small(which), _small(below), _small(level.count[s]))
+                rows.append((r, int(pdf["chunk"].iloc[0]), blob))
+            return pd.DataFrame(rows, columns=["range", "chunk", "blob"])
+
+        return ask
+
+    def known(upto: int) -> DataFrame:
+        """The answers of the levels below upto, by chunk."""
+        return reduce(DataFrame.unionByName, [answers[k].where("chunk >= 0").select("level", "range", "chunk", "blob") for k in range(1, upto)]).groupBy("chunk")
+
+    for k in range(2, order + 1):
+        asked = known(k).applyInPandas(asking(k), "range int, chunk long, blob binary")
+        answers[k] = written(asked.groupBy("range").applyInPandas(count_grams(k), ANSWER), f"counts-{k}")
+        levels[k] = facts_of(k)
+        sums = answers[k].where("chunk = -2").groupBy(F.slice("facts", 1, k - 1).alias("h")).agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(k - 1, k - 1 + FACTS)])
+        hot[k] = {tuple(x["h"]): list(x)[1:] for x in sums.collect()}  # fewer than HOT rows
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk, got = opened(pdf, order + 1)
+        p = unigrams.probability(chunk.total[1])
+        token_p, whole_below, suffix_below = p[chunk.local], np.full(1, unigrams.whole), None
+        for k in range(2, order + 1):
+            level, histories, m = chunk.levels[k], Histories.empty(len(chunk.total[k - 1])), levels[k]
+            for (_, s), answer in zip(chunk.slices(k), got.get(k, []), strict=True):
+                histories.put(level.hist[s][np.flatnonzero(np.diff(level.hist[s], prepend=-1))], answer[1:])
+            spread = np.flatnonzero(chunk.total[k - 1] > hot_count)
+            for i, name in zip(spread, zip(*chunk.spell(k - 1, spread), strict=True), strict=True):
+                if (found := hot[k].get(tuple(map(int, name)))) is not None:
+                    histories.put(i, found)
+            mass = m.mass(histories.n, histories.total - (histories.n * np.arange(1, CUT + 1)).sum(axis=1))
+            whole = np.maximum(histories.total + (mass >= histories.total), 1)
+            # what the types that follow a history have one level below, where the history is a word shorter
+            seen_below = levels[k - 1].mass(histories.below, histories.below_beyond) / (whole_below[suffix_below] if suffix_below is not None else whole_below)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alpha = np.where(histories.total > 0, (1 - mass / whole) / (1 - seen_below), 1.0)
+            c = chunk.total[k]
+            p = np.where(c > 0, m.discounted(c) / whole[level.hist], alpha[level.hist] * p[level.suffix])
+            there = chunk.at[k] >= 0
+            token_p[there] = p[chunk.at[k][there]]
+            whole_below, suffix_below = whole, level.suffix
+        counts = chunk.total[1]
         by_text = lambda x: np.add.reduceat(x, chunk.starts)
         return pd.DataFrame({
-            "doc_id": chunk.ids, "train": chunk.train, "n_tokens": chunk.lengths, "n_known": by_text((counts[chunk.local] > 0).astype(np.int64)), "train_tokens": total_tokens,
-            "base_score": by_text(np.log10((counts + 1) / (total_tokens + level.types + 1))[chunk.local]), "score": by_text(np.log10(token_p)),
+            "doc_id": chunk.doc_ids, "train": chunk.train, "n_tokens": chunk.lengths, "n_known": by_text((counts[chunk.local] > 0).astype(np.int64)), "train_tokens": total_tokens,
+            "base_score": by_text(np.log10((counts + 1) / (total_tokens + levels[1].types + 1))[chunk.local]), "score": by_text(np.log10(token_p)),
         })
 
-    total_tokens = level.total
-    both = pairs.where("chunk >= 0").select("range", "chunk", "blob").groupBy("chunk").cogroup(words.where("chunk >= 0").select("range", "chunk", "blob").groupBy("chunk"))
-    out = both.applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = known(order + 1).applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

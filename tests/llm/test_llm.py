@@ -109,49 +109,65 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_urls(pages.limit(0)).count() == 0
 
 
-def brute_katz(rows, discount):
+def brute_katz(rows, discount, order):
     toks = [[w.encode() for w in words(t)] + [None] for _, t, _ in rows]
-    one, two = collections.Counter(), collections.Counter()
+    seen = [collections.Counter() for _ in range(order)]
     for x, (_, _, train) in zip(toks, rows, strict=True):
-        if train:
-            one.update(x)
-            two.update(zip(x, x[1:], strict=False))
-    n, v = sum(one.values()), len(one)
-    levels = [discount(c) for c in (one, two)]
+        for k in range(order):
+            if train:
+                seen[k].update(zip(*(x[i:] for i in range(k + 1)), strict=False))
+    levels = [discount(c) for c in seen]
     d = lambda k, c: levels[k][c - 1] if c <= katz.CUT else 1.0
-    seen = sum(d(0, c) * c for c in one.values())
-    whole1 = n + (seen >= n)
-    p1 = lambda w: 1.0 if not n else (d(0, one[w]) * one[w] / whole1 if w in one else 1 - seen / whole1)
-    total, mass, below = collections.Counter(), collections.Counter(), collections.Counter()
-    for (h, w), c in two.items():
-        total[h] += c
-        mass[h] += d(1, c) * c
-        below[h] += p1(w)
+    one = seen[0]
+    n, v = sum(one.values()), len(one)
+    mass1 = sum(d(0, c) * c for c in one.values())
+    whole1 = n + (mass1 >= n)
+    after = collections.defaultdict(list)
+    for c in seen[1:]:
+        for g in c:
+            after[g[:-1]].append(g[-1])
+    kept, facts = {}, {}
+
+    def history(h):
+        """(denominator, alpha) of a history that was seen."""
+        if h not in facts:
+            c = seen[len(h)]
+            total = sum(c[*h, x] for x in after[h])
+            mass = sum(d(len(h), c[*h, x]) * c[*h, x] for x in after[h])
+            whole = total + (mass >= total)
+            facts[h] = whole, (1 - mass / whole) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return facts[h]
 
     def p(h, w):
-        if not total[h]:
-            return p1(w)
-        whole = total[h] + (mass[h] >= total[h])
-        c = two.get((h, w), 0)
-        return d(1, c) * c / whole if c else (1 - mass[h] / whole) / (1 - below[h]) * p1(w)
-
-    scores = [sum(math.log10(p(x[i - 1], x[i]) if i else p1(x[0])) for i in range(len(x))) for x in toks]
-    base = [sum(math.log10((one[w] + 1) / (n + v + 1)) for w in x) for x in toks]
-    norm = [sum(p(h, w) for w in one) + p(h, b"<never>") for h in list(total)[:25]]
-    return n, scores, base, [sum(w in one for w in x) for x in toks], norm
-
-
-@pytest.mark.parametrize("chunk", [50, 10_000_000])
-def test_katz(spark, awkward, monkeypatch, chunk):
+        """P(w | h), recursively."""
+        if (h, w) not in kept:
+            if not h:
+                kept[h, w] = 1.0 if not n else d(0, one[w,]) * one[w,] / whole1 if (w,) in one else 1 - mass1 / whole1
+            elif not after[h]:
+                kept[h, w] = p(h[1:], w)
+            else:
+                c, (whole, alpha) = seen[len(h)], history(h)
+                kept[h, w] = d(len(h), c[*h, w]) * c[*h, w] / whole if (*h, w) in c else alpha * p(h[1:], w)
+        return kept[h, w]
+
+    scores = [sum(math.log10(p(tuple(x[max(0, i - order + 1) : i]), x[i])) for i in range(len(x))) for x in toks]
+    base = [sum(math.log10((one[w,] + 1) / (n + v + 1)) for w in x) for x in toks]
+    norm = [sum(p(h, w) for (w,) in one) + p(h, b"<never>") for h in [*list(after)[:15], *list(after)[-15:]]]
+    return n, scores, base, [sum((w,) in one for w in x) for x in toks], norm
+
+
+@pytest.mark.parametrize(("chunk", "order"), [(50, 3), (10_000_000, 3), (50, 2), (400, 4)])
+def test_katz(spark, awkward, monkeypatch, chunk, order):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(katz, "HOT", 20)
+    monkeypatch.setattr(katz, "MIN_RANGES", 9)
     rng = random.Random(chunk)
     made = [(1000 + i, " ".join(rng.choice("a b c d e f g h i j k l m n o p".split()) for _ in range(rng.randint(0, 60)))) for i in range(80)]
     docs = spark.createDataFrame(made, "doc_id long, text string").unionByName(awkward.select("doc_id", "text").where("doc_id IS NOT NULL AND doc_id != 9 AND doc_id != 8"))
     docs = docs.withColumn("train", F.when(F.col("doc_id") % 5 != 0, True))
     rows = [(r.doc_id, r.text, bool(r.train)) for r in docs.collect()]
-    got = {r.doc_id: r for r in katz.score_documents(docs).collect()}
-    n, scores, base, known, norm = brute_katz(rows, lambda c: katz.Level.of(0, 0, [sum(x == r for x in c.values()) for r in range(1, katz.CUT + 2)]).discount[1 : katz.CUT + 1])
+    got = {r.doc_id: r for r in katz.score_documents(docs, order).collect()}
+    n, scores, base, known, norm = brute_katz(rows, lambda c: katz.Level.of(0, 0, [sum(x == r for x in c.values()) for r in range(1, katz.CUT + 2)]).discount[1 : katz.CUT + 1], order)
     assert len(got) == len(rows) and all(abs(x - 1) < 1e-9 for x in norm)
     for (d, t, train), s, b, k in zip(rows, scores, base, known, strict=True):
         r = got[d]
