@@ -342,6 +342,9 @@ def test_frequent_lines_leave_the_text(spark):
         assert got[i, 1] == "\n".join([body(i)[0], "", body(i)[1], body(i)[2], " \t", ""])  # in order, blank lines too
     assert got[7, 2] == got[7, 1]  # repeated rows alike
     assert got[100, 1] == rows[-2][1] and got[101, 1] == rows[-1][1]  # rare on this host; nothing to remove
+    assert quality_rules.keep_good(docs.withColumnsRenamed({"copy": "key"}).withColumn("lines_gone", F.lit(3))).columns[-2:] == ["key", "lines_gone"]
+    twins = quality_rules.keep_good(docs.where("doc_id < 41").unionByName(docs.where("doc_id = 9").withColumns({"doc_id": F.lit(None).cast("long"), "text": F.concat("text", F.lit("end"))})))
+    assert next(r.text for r in twins.collect() if r.doc_id is None) == got[9, 1] + "end"  # a row without an id is a document like any other
     left = {r.doc_id: r.words_left for r in quality_rules.apply_rules(docs.where("copy = 1")).collect()}
     assert all(len(words(t)) == left[d] for (d, _), t in got.items())
 
