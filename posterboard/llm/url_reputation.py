@@ -3,7 +3,8 @@
 Labelled outcomes of pages are counted per host. A beta-binomial prior goes down the levels: all hosts -> suffix ->
 registered domain -> host. Each level's posterior mean becomes the next one's prior mean, worth ``strength`` page outcomes,
 the strength being fitted by the method of moments to how the children of that level differ.
-A url is blocked if the lower bound of its host's posterior bad rate, mean - z * sd, is over a limit.
+A url is blocked if the lower bound of its host's posterior bad rate, mean - z * sd, is over a limit. A host, domain or suffix without labelled pages has its parent's
+mean, worth the prior's strength, and is judged by the same bound: a new host under a domain known to be bad is blocked.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, free_name, table, written
 
 #: (pattern, verdict); the longest that fits wins.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -54,8 +55,9 @@ def suffix(host: Column) -> Column:
 def _strength(level: str) -> str:
     """Method of moments over a parent's children: how many outcomes the parent's mean is worth to each of them."""
     return f"""
-      SELECT parent, children, CASE WHEN var_between > 0 THEN least({STRENGTH[1]}, greatest({STRENGTH[0]}, p * (1 - p) / var_between - 1)) ELSE {STRENGTH[1]} END AS strength
-      FROM (SELECT parent, count(*) AS children, p, (sum(n * pow(bad / n - p, 2)) - (count(*) - 1) * p * (1 - p)) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS var_between
+      SELECT parent, p, children, CASE WHEN var_between > 0 THEN least({STRENGTH[1]}, greatest({STRENGTH[0]}, p * (1 - p) / var_between - 1)) ELSE {STRENGTH[1]} END AS strength
+      FROM (SELECT parent, p, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS children,
+                   (sum(CASE WHEN n > 0 THEN n * pow(bad / n - p, 2) ELSE 0 END) - (sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) - 1) * p * (1 - p)) / nullif(sum(n) - sum(n * n) / nullif(sum(n), 0), 0) AS var_between
             FROM {level} GROUP BY parent, p)"""
 
 
@@ -63,13 +65,14 @@ def _posterior(level: str, k: str) -> str:
     """mean and total (in outcomes) of a child's posterior. A prior is worth no more than what is known of the parent; an only child is its parent, whose outcomes are the same."""
     prior = f"least({k}.strength, {level}.worth)"
     return f"""
-      CASE WHEN {k}.children = 1 AND {level}.parent <> '' THEN {level}.p ELSE ({level}.bad + {prior} * {level}.p) / ({level}.n + {prior}) END AS mean,
-      CASE WHEN {k}.children = 1 AND {level}.parent <> '' THEN {level}.worth ELSE {level}.n + {prior} END AS total"""
+      CASE WHEN {k}.children = 1 AND {level}.n > 0 AND {level}.parent <> '' THEN {level}.p ELSE ({level}.bad + {prior} * {level}.p) / ({level}.n + {prior}) END AS mean,
+      CASE WHEN {k}.children = 1 AND {level}.n > 0 AND {level}.parent <> '' THEN {level}.worth ELSE {level}.n + {prior} END AS total"""
 
 
-#: Plain SQL on both engines: page(page_id, host, domain, suffix, rule, rule_verdict, bad) -> the result. bad: 0, 1 or null.
+#: Labelled outcomes of each host: 0 for hosts without any.
+HOSTS_SQL = "SELECT host, domain, suffix, coalesce(sum(CAST(bad AS DOUBLE)), 0) AS bad, CAST(count(bad) AS DOUBLE) AS n FROM page GROUP BY host, domain, suffix"
+#: Plain SQL on both engines: h(host, domain, suffix, bad, n) -> the result.
 REPUTATION_SQL = f"""
-h AS (SELECT host, domain, suffix, sum(CAST(bad AS DOUBLE)) AS bad, CAST(count(bad) AS DOUBLE) AS n FROM page WHERE bad IS NOT NULL GROUP BY host, domain, suffix),
 d AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
 g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS p0 FROM s),
@@ -87,27 +90,30 @@ judged AS (SELECT host, mean AS bad_rate, CASE WHEN low > (SELECT greatest({MIN_
 
 
 def host_reputation(pages: DataFrame) -> DataFrame:
-    """pages: host, domain, suffix, bad (0, 1, null where unlabelled). Returns host, bad_rate, verdict for each host with a label.
+    """pages: host, domain, suffix, bad (0, 1, null where unlabelled). Returns host, bad_rate, verdict for each host. Repeated rows count each.
 
-    A host without any label has nothing but the prior of its domain, and is allowed. Repeated rows count each.
+    The hosts are a table of their own, as each level of the model reads them several times.
     """
-    return pages.sparkSession.sql("WITH page AS (SELECT * FROM {page}), " + REPUTATION_SQL + " SELECT host, bad_rate, verdict FROM judged", page=pages)
+    hosts = written(pages.sparkSession.sql(HOSTS_SQL.replace("FROM page", "FROM {page}"), page=pages), "hosts")
+    return pages.sparkSession.sql("WITH h AS (SELECT * FROM {h}), " + REPUTATION_SQL + " SELECT host, bad_rate, verdict FROM judged", h=hosts)
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """pages: page_id, url, bad (0, 1 or null: the page's labelled outcome). Adds host, path, rule, bad_rate, verdict.
+    """pages: page_id, url, bad (0, 1 or null: the page's labelled outcome). Adds host, path, rule, bad_rate, verdict, in place of columns of these names.
 
-    A null or unparsable url has the empty host, which is judged as any other host. Other columns pass through; an empty
-    table gives no rows. The reputation is joined by host as an ordinary join, so a host with a third of all pages can be split.
+    A null or unparsable url has the empty host, which is judged as any other host. Of rules of one length the first by name wins. Repeated rows are
+    judged each, and count each. A very long url is taken whole. Other columns pass through; an empty table gives no rows. The reputation is joined by host as an
+    ordinary join, so a host with a third of all pages can be split.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
-    pages = pages.drop("host", "path", "rule", "rule_verdict", "bad_rate", "verdict").withColumns({"host": host, "path": path})
+    pages = pages.drop("host", "path", "rule", "bad_rate", "verdict")
+    said_name, reputation = free_name(pages, "rule_verdict"), free_name(pages, "reputation")
+    pages = pages.withColumns({"host": host, "path": path})
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
-    pages = pages.withColumns({"rule": rule, "rule_verdict": said})
-    known = pages.select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "bad").where("bad IS NOT NULL")
-    judged = host_reputation(known).withColumnRenamed("verdict", "reputation")
-    out = pages.join(judged, "host", "left")
-    return out.withColumn("verdict", F.coalesce("rule_verdict", "reputation", F.lit("allow"))).drop("rule_verdict", "reputation")
+    pages = pages.withColumns({"rule": rule, said_name: said})
+    hosts = pages.select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "bad")
+    out = pages.join(host_reputation(hosts).withColumnRenamed("verdict", reputation), "host", "left")
+    return out.withColumn("verdict", F.coalesce(said_name, reputation)).drop(said_name, reputation)
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,11 +146,13 @@ rules(pattern, h, p, v) AS (VALUES """
 hit AS (SELECT page_id, arg_max(pattern, length(pattern)) AS rule, arg_max(v, length(pattern)) AS rule_verdict
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 page AS (SELECT u.page_id, host, path, rule, rule_verdict, bad.bad,
-  CASE WHEN host = '' THEN '' ELSE array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') END AS domain, list_last(string_split(host, '.')) AS suffix
+  CASE WHEN host = '' THEN '' ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain, list_last(string_split(host, '.')) AS suffix
   FROM u LEFT JOIN hit USING (page_id) LEFT JOIN bad ON u.doc_id = bad.doc_id),
-"""
+h AS ("""
+    + HOSTS_SQL
+    + "), "
     + REPUTATION_SQL
     + r"""
-SELECT page_id, page.host, path, rule, coalesce(rule_verdict, verdict, 'allow') AS verdict FROM page LEFT JOIN judged ON page.host = judged.host
+SELECT page_id, page.host, path, rule, coalesce(rule_verdict, verdict) AS verdict FROM page LEFT JOIN judged ON page.host = judged.host
 """
 )
