@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: The edges of one node are dealt into so many parts wherever they meet that node's row, as a hub may have most of all edges.
+SALT = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) beside least (u, m)."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """edges: two long columns. Returns node, root: the smallest node of each node's component (of nodes that have an edge to another).
@@ -25,9 +34,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not only_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

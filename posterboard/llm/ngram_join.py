@@ -29,6 +29,8 @@ THRESHOLD = 90
 WORDS = 3
 #: Rows of a block of a large group: a group has at most BLOCKS blocks until they have LARGE rows, so a set goes to at most BLOCKS units till then.
 BLOCK, BLOCKS, LARGE = 128, 8, 4096
+#: And n-grams of a block, so that a unit of very long texts fits in memory.
+BLOCK_GRAMS = 3_000_000
 #: How much longer a set's first part is than the prefix rule asks for: a percentage of the set, and some n-grams more, which short sets need
 #: to have enough n-grams of their own beside a passage that many share. Two sets that link share so many n-grams of their first parts.
 MARGIN, EXTRA = 8, 16
@@ -212,8 +214,8 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD, n: int = WOR
     groups = written(_groups(sets, nodes, threshold), "groups")
 
     # units of work
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("m") / LARGE)).cast("int")
+    sizes = groups.join(sets.select("row", "n"), "row").groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams"))
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("m") / LARGE), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     members = groups.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     facts = sets.select("row", "doc_id", "text_hash", "d1", "d2").join(members, "row").join(copies.select("d1", "d2", "weight"), ["d1", "d2"], "left")
     facts = written(facts.select("row", "doc_id", "text_hash", "grp", "blocks", "block", F.coalesce("weight", F.lit(1)).alias("weight")), "members")
