@@ -109,6 +109,57 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_urls(pages.limit(0)).count() == 0
 
 
+def plain_reputation(pages):
+    """The beta-binomial levels in plain loops. pages: host, bad (0, 1 or None)."""
+    low, high = url_reputation.STRENGTH
+    hosts = {h: [float(sum(b for x, b in pages if x == h and b is not None)), float(sum(x == h and b is not None for x, b in pages))] for h, _ in pages}
+    domain = {h: ".".join(h.split(".")[-2:]) for h in hosts}
+    tops = {d: d.split(".")[-1] for d in domain.values()}
+    add = lambda part, below: {k: [sum(below[x][i] for x in below if part[x] == k) for i in (0, 1)] for k in set(part.values())}
+    domains = add(domain, hosts)
+    suffixes = add(tops, domains)
+    p0 = (sum(b for b, _ in suffixes.values()) + 0.5) / (sum(n for _, n in suffixes.values()) + 1)
+
+    def level(children, parent, above):
+        out = {}
+        for q in set(parent.values()):
+            mine = {c: v for c, v in children.items() if parent[c] == q}
+            p, worth = above[q]
+            seen = [(b, n) for b, n in mine.values() if n]
+            total = sum(n for _, n in seen)
+            spread = total - sum(n * n for _, n in seen) / total if total else 0
+            between = (sum(n * (b / n - p) ** 2 for b, n in seen) - (len(seen) - 1) * p * (1 - p)) / spread if spread else 0
+            strength = min(high, max(low, p * (1 - p) / between - 1)) if between > 0 else high
+            prior = min(strength, worth)
+            for c, (b, n) in mine.items():
+                out[c] = (p, worth) if len(seen) == 1 and n and q else ((b + prior * p) / (n + prior), n + prior)
+        return out
+
+    s2 = level(suffixes, dict.fromkeys(suffixes, ""), {"": (p0, high)})
+    d2 = level(domains, tops, s2)
+    h2 = level(hosts, domain, d2)
+    limit = max(url_reputation.MIN_BAD, url_reputation.TIMES * p0)
+    return {h: (m, m - url_reputation.Z * math.sqrt(m * (1 - m) / (t + 1)) > limit) for h, (m, t) in h2.items()}
+
+
+def test_reputation_is_plain_beta_binomial(spark):
+    rng = random.Random(6)
+    pages = []
+    for top in ("org", "net"):
+        for d in range(5):
+            rate = rng.random() ** 3
+            for h in range(5):
+                pages += [(f"h{h}.d{d}.{top}", int(rng.random() < rate) if rng.random() < 0.8 and h else None) for _ in range(rng.randint(1, 25))]
+    pages += [(f"s{i % 30}.bad.org", 1) for i in range(300)] + [("new.bad.org", None), ("new.fresh.org", None), ("only.one.biz", 1), ("first.zone", None)]
+    want = plain_reputation(pages)
+    df = spark.createDataFrame([(i, f"http://{h}/x", b) for i, (h, b) in enumerate(pages)], "page_id long, url string, bad int")
+    got = {r.host: (r.bad_rate, r.verdict == "block") for r in url_reputation.judge_urls(df).select("host", "bad_rate", "verdict").distinct().collect()}
+    assert got.keys() == want.keys()
+    for h, (rate, blocked) in want.items():
+        assert got[h][0] == pytest.approx(rate, rel=1e-9) and got[h][1] == blocked, h
+    assert want["new.bad.org"][1] and not want["new.fresh.org"][1]  # a new host of a bad domain is blocked, one of an unknown domain isn't
+
+
 def brute_katz(rows, discount, order):
     toks = [[w.encode() for w in words(t)] + [None] for _, t, _ in rows]
     seen = [collections.Counter() for _ in range(order)]
@@ -380,9 +431,62 @@ def test_pack(spark, awkward, nothing, monkeypatch):
     assert packing.pack(nothing, "doc_id", packing.n_words(F.col("text"))).count() == 0
 
 
-def test_rounded_length(spark):
-    got = [r.n for r in spark.createDataFrame([(x,) for x in (0, 1, 127, 128, 129, 255, 257, 100_001)], "x long").select(packing.rounded_length(F.col("x")).alias("n")).collect()]
+def test_pack_lengths(spark, monkeypatch):
+    got = [r.n for r in spark.createDataFrame([(x,) for x in (0, 1, 127, 128, 129, 255, 257, 100_001)], "x long").select(packing.rounded_length(F.col("x"), 7).alias("n")).collect()]
     assert got == [0, 1, 127, 128, 130, 256, 260, 100_352]
+    docs = spark.createDataFrame([(i, None if i % 9 == 0 else i * 13 % 700) for i in range(200)], "rows long, n long")
+    exact = packing.pack(docs, "rows", F.col("n"), 4, 300).collect()
+    assert len(exact) == 200 and {r.n_tokens for r in exact if r.rows % 9 == 0} == {0}
+    top = collections.defaultdict(int)
+    for r in exact:
+        top[r.bucket] = max(top[r.bucket], r.n_tokens)
+    assert all(r.bucket_len == top[r.bucket] for r in exact) and any(r.bucket_len > 300 and r.capacity == 1 for r in exact)
+    monkeypatch.setattr(packing, "MAX_LENGTHS", 20)
+    monkeypatch.setattr(packing, "PRECISION", 4)
+    rounded = packing.pack(docs, "rows", F.col("n"), 4, 300).collect()
+    assert len(rounded) == 200 and all(r.n_tokens <= r.bucket_len for r in rounded)
+    with pytest.raises(ValueError, match="key"):
+        packing.pack(docs.withColumnRenamed("rows", "batch"), "batch", F.col("n"))
+
+
+def plain_ftrl(rows, epochs):
+    """FTRL-proximal as published, a weight at a time; rows are dictionaries of values by place."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality_classifier.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality_classifier.L1, z[i])) / ((quality_classifier.BETA + math.sqrt(n[i])) / quality_classifier.ALPHA + quality_classifier.L2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_classifier.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_classifier_is_plain_ftrl(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "SHARDS", 1)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("aa bb cc dd ee ff, !! Gg".split()) for _ in range(rng.randint(0, 25))), i % 2) for i in range(60)]
+    hasher, bias = quality_classifier.Hasher(), quality_classifier._MASK + 1
+    dense = {}
+    for i, t, _ in rows:
+        at, x = hasher.features(t)
+        dense[i] = dict(zip(map(int, at), map(float, x), strict=True)) | {bias: 1.0}
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64(F.lit(7), F.col("doc_id")), "doc_id").collect()]
+    want = plain_ftrl([(dense[i], i % 2) for i in order], quality_classifier.EPOCHS)
+    got = quality_classifier.train(docs, labels)
+    assert {i for i in range(len(got)) if got[i]} == {i for i, w in want.items() if w}
+    assert all(got[i] == pytest.approx(w, rel=1e-4, abs=1e-6) for i, w in want.items())
+    for r in quality_classifier.score(docs.withColumn("score", F.lit("clash")), got).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(want[i] * x for i, x in dense[r.doc_id].items()))), rel=1e-4)
 
 
 def test_classifier_learns(spark, awkward, nothing):
