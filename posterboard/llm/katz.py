@@ -322,8 +322,10 @@ def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     parts = []
     for blob in pdf["blob"]:
         *spelled, hot, runs, numbers, which, lower, count = _unpack(blob)
-        which = which.astype(np.int64)
-        parts.append((spelled, hot, runs.astype(np.int64), numbers.astype(np.int64)[which], lower.astype(np.int64)[which] if k == 2 else lower.astype(np.int64), count.astype(np.int64)))
+        numbers, lower = numbers.astype(np.int64), lower.astype(np.int64)
+        if k == 2:  # a word's number and count come once a slice
+            numbers, lower = numbers[which], lower[which]
+        parts.append((spelled, hot, runs.astype(np.int64), numbers, lower, count.astype(np.int64)))
     spelled = [np.concatenate([p[0][i] for p in parts]).astype(np.int64) for i in range(k - 1)]
     h_at, first = codes(spelled)
     m = len(first)
@@ -398,12 +400,10 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for r, s in chunk.slices(k):
                 new = np.flatnonzero(np.diff(level.hist[s], prepend=-1))
                 h = level.hist[s][new]
-                w, which = np.unique(chunk.number[level.word[s]], return_inverse=True)
-                below = lower[level.suffix[s]]
-                if k == 2:  # the word's own count
-                    below_w = np.zeros(len(w), dtype=np.int64)
-                    below_w[which] = below
-                    below = below_w
+                w, which, below = chunk.number[level.word[s]], np.zeros(0, dtype=np.uint8), lower[level.suffix[s]]
+                if k == 2:  # a word's number and count once a slice
+                    w, first, which = np.unique(w, return_index=True, return_inverse=True)
+                    below = below[first]
                 runs = np.diff(np.append(new, s.stop - s.start))
                 blob = _pack(*map(_small, chunk.spell(k - 1, h)), chunk.hot[h].astype(np.uint8), _small(runs), _small(w), _small(which), _small(below), _small(level.count[s]))
                 rows.append((r, int(pdf["chunk"].iloc[0]), blob))
