@@ -150,9 +150,12 @@ def _chunks(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
         def rows() -> pd.DataFrame:
             words, local = np.unique(np.concatenate(found), return_inverse=True)
             lengths, flags = np.array([len(f) for f in found]), np.array(train, dtype=np.uint8)
+            often = np.argsort(-np.bincount(local), kind="stable")  # frequent words have small numbers in the file
+            rank = np.empty_like(often)
+            rank[often] = np.arange(len(often))
             temporary = f"{root}/_{chunk}-{uuid.uuid4().hex}"
             with fs.open_output_stream(temporary, compression=None) as f:
-                f.write(pickle.dumps((ids, _pack(_small(lengths), flags, words, _small(local)))))
+                f.write(pickle.dumps((ids, _pack(_small(lengths), flags, words[often], _small(rank[local])))))
             fs.move(temporary, f"{root}/{chunk}")  # the same name and content in any attempt
             counts = np.bincount(local[np.repeat(flags, lengths) > 0], minlength=len(words))
             cut = _cut(words, ranges)
@@ -183,70 +186,86 @@ def _cut(words: np.ndarray, ranges: int) -> np.ndarray:
 
 @dataclass
 class Grams:
-    """The distinct n-grams of a chunk at one level, sorted by range, history and word; histories and suffixes are places in the level below."""
+    """The distinct n-grams of a chunk at one level, sorted by range, suffix and first word; histories and suffixes are places in the level below."""
 
     hist: np.ndarray
     word: np.ndarray
     suffix: np.ndarray
+    first: np.ndarray
     part: np.ndarray
     count: np.ndarray  # in this chunk's training texts
-    total: np.ndarray | None = None  # over all chunks, once that is known
+
+
+def _mixed(key: np.ndarray) -> np.ndarray:
+    key = key.astype(np.uint64) * _P
+    return key ^ (key >> np.uint64(31))
 
 
 class Chunk:
     """A chunk's file, and what it asks of the count tables, level by level."""
 
-    def __init__(self, folder: str, chunk: int, ranges: int):
+    def __init__(self, folder: str, chunk: int, ranges: int, total_tokens: int):
         fs, root = _filesystem(folder)
         with fs.open_input_file(f"{root}/{chunk}") as f:
             self.doc_ids, blob = pickle.loads(f.read())
-        lengths, train, self.words, local = _unpack(blob)
-        self.ranges, self.lengths, self.train, self.local = ranges, lengths.astype(np.int64), train > 0, local.astype(np.int64)
+        lengths, train, words, local = _unpack(blob)
+        order = np.argsort(words)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.words, self.local = words[order], place[local]
+        self.ranges, self.total_tokens, self.lengths, self.train = ranges, total_tokens, lengths.astype(np.int64), train > 0
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.place = np.arange(len(self.local)) - np.repeat(self.starts, self.lengths)  # in its text
         self.in_train = np.repeat(self.train, self.lengths)
         self.levels: dict[int, Grams] = {}
         self.at = {1: self.local}  # of each token, the n-gram that it ends; -1 where the text hasn't begun early enough
         self.total: dict[int, np.ndarray] = {}
-        self.key: dict[int, np.ndarray] = {}
+        self.first = {1: np.arange(len(self.words))}  # of each n-gram, its first word
 
     def answer_words(self, blobs: list[list[np.ndarray]], of_range: list[int]) -> None:
         """Global counts and numbers of the words; frequent words have small numbers."""
         self.total[1] = np.concatenate([b[0] for b in blobs]).astype(np.int64)
         self.number = np.concatenate([b[1].astype(np.int64) * self.ranges + k for b, k in zip(blobs, of_range, strict=True)])
-        self.key[1] = self.number.astype(np.uint64) * _P
+        self.key = _mixed(self.number)
 
     def grams(self, k: int, hot_count: float) -> Grams:
-        """Makes level k from the level below, whose totals are known."""
+        """Makes level k from the level below, whose totals are known.
+
+        The range goes by the history's last word; where that has more than a small part of a range, by the words before it too; and for a very frequent history by the word that follows.
+        """
         below = self.at[k - 1]
         at = np.flatnonzero(self.place >= k - 1)
         v = len(self.words)
-        keys, inverse = np.unique(below[at - 1] * v + self.local[at], return_inverse=True)
-        hist, word = keys // v, keys % v
+        keys, where, inverse = np.unique(below[at] * v + self.first[k - 1][below[at - 1]], return_index=True, return_inverse=True)
+        suffix, first, hist, word = keys // v, keys % v, below[at[where] - 1], self.local[at[where]]
+        last = self.local[at[where] - 1]
+        key = self.key[last].copy()
+        if k > 2:
+            spread = self.total[1][last] > self.total_tokens / (4 * self.ranges)
+            before = [hist[spread]]
+            for level in range(k - 1, 1, -1):
+                key[spread] = key[spread] * _P + self.key[self.first[level][before[-1]]]
+                before.append(self.levels[level].suffix[before[-1]])
         self.hot = self.total[k - 1] > hot_count
-        part, hot = self.key[k - 1][hist], self.hot[hist]
-        part = ((part ^ (part >> np.uint64(31))) % np.uint64(self.ranges)).astype(np.int64)
-        spread = self.key[1][word[hot]]
-        part[hot] = (part[hot] + ((spread ^ (spread >> np.uint64(29))) % np.uint64(self.ranges)).astype(np.int64)) % self.ranges
+        hot = self.hot[hist]
+        key[hot] = key[hot] * _P + self.key[word[hot]]
+        part = ((key ^ (key >> np.uint64(29))) % np.uint64(self.ranges)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        suffix = np.empty(len(keys), dtype=np.int64)
-        suffix[place[inverse]] = below[at]
         self.at[k] = np.full(len(self.local), -1)
         self.at[k][at] = place[inverse]
         seen = self.in_train[at]
-        self.levels[k] = out = Grams(hist[order], word[order], suffix, part[order], np.bincount(place[inverse[seen]], minlength=len(keys)))
-        mixed = (self.key[k - 1][out.hist] ^ (self.key[1][out.word] >> np.uint64(7))) * _P
-        self.key[k] = mixed ^ (mixed >> np.uint64(33))
-        return out
+        self.levels[k] = Grams(hist[order], word[order], suffix[order], first[order], part[order], np.bincount(place[inverse[seen]], minlength=len(keys)))
+        self.first[k] = first[order]
+        return self.levels[k]
 
     def spell(self, k: int, which: np.ndarray) -> list[np.ndarray]:
         """The word numbers of these n-grams, a column per word."""
         if k == 1:
             return [self.number[which]]
         level = self.levels[k]
-        return [*self.spell(k - 1, level.hist[which]), self.number[level.word[which]]]
+        return [self.number[level.first[which]], *self.spell(k - 1, level.suffix[which])]
 
     def slices(self, k: int) -> Iterator[tuple[int, slice]]:
         cut = np.searchsorted(self.levels[k].part, np.arange(self.ranges + 1))
@@ -287,15 +306,16 @@ def codes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.unique(code, return_index=True)[1]
 
 
-ANSWER = "level int, range int, chunk long, blob binary, facts array<long>"
+#: blob: the counts of a slice's n-grams; histories: what was found of its histories, which only scoring asks for.
+ANSWER = "level int, range int, chunk long, blob binary, histories binary, facts array<long>"
 
 
-def _row(level: int, range_: int, chunk: int, blob: bytes, facts=None) -> tuple:
-    return level, range_, chunk, blob, facts
+def _row(level: int, range_: int, chunk: int, blob: bytes, histories: bytes | None = None, facts=None) -> tuple:
+    return level, range_, chunk, blob, histories, facts
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["level", "range", "chunk", "blob", "facts"])
+    return pd.DataFrame(rows, columns=["level", "range", "chunk", "blob", "histories", "facts"])
 
 
 def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +329,7 @@ def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
         which = inverse[at : at + len(mine)]
         rows.append(_row(1, k, chunk, _pack(_small(counts[which]), _small(rank[which]))))
         at += len(mine)
-    rows.append(_row(1, -1, -1, b"", [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, CUT + 2))]))
+    rows.append(_row(1, -1, -1, b"", None, [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, CUT + 2))]))
     return _frame(rows)
 
 
@@ -318,38 +338,38 @@ def count_grams(k: int):
 
 
 def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The counts of one range of level k. Of a slice: its histories' words, whether they are spread, their n-grams; then each n-gram's word, count one level below and count."""
-    parts = []
-    for blob in pdf["blob"]:
-        *spelled, hot, runs, numbers, which, lower, count = _unpack(blob)
-        numbers, lower = numbers.astype(np.int64), lower.astype(np.int64)
-        if k == 2:  # a word's number and count come once a slice
-            numbers, lower = numbers[which], lower[which]
-        parts.append((spelled, hot, runs.astype(np.int64), numbers, lower, count.astype(np.int64)))
-    spelled = [np.concatenate([p[0][i] for p in parts]).astype(np.int64) for i in range(k - 1)]
-    h_at, first = codes(spelled)
-    m = len(first)
+    """The counts of one range of level k. A slice holds its suffixes' words, counts one level below and numbers of n-grams; then each n-gram's first word and count, and which are spread."""
+    parts = [[a.astype(np.int64) for a in _unpack(blob)] for blob in pdf["blob"]]
+    joined = [np.concatenate([p[i] for p in parts]) for i in range(k + 4)]
+    spelled, lower, runs, first, count, spread = joined[: k - 1], *joined[k - 1 :]
+    suffix, _ = codes(spelled)
+    hist_words = spelled[:-1]
+    of_suffix = np.repeat(np.arange(len(runs)), runs)
+    h, h_first = codes([first, *(c[of_suffix] for c in hist_words)])
+    m = len(h_first)
     hot = np.zeros(m, dtype=bool)
-    hot[h_at] = np.concatenate([p[1] for p in parts]) > 0
-    h = np.repeat(h_at, np.concatenate([p[2] for p in parts]))
-    w, lower, count = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
-    values, w = np.unique(w, return_inverse=True)
-    _, kind_first, kind = np.unique(h * len(values) + w, return_index=True, return_inverse=True)
+    hot[h] = spread > 0
+    values, dense = np.unique(first, return_inverse=True)
+    _, kind_first, kind = np.unique(suffix[of_suffix] * len(values) + dense, return_index=True, return_inverse=True)
     counts = np.bincount(kind, weights=count.astype(np.float64)).astype(np.int64)
     seen = counts > 0
-    th, tlower, c = h[kind_first][seen], lower[kind_first][seen], counts[seen]
+    th, tlower, c = h[kind_first][seen], lower[of_suffix[kind_first]][seen], counts[seen]
     tally = lambda which: np.bincount(th[which], minlength=m)
     total = np.bincount(th, weights=c.astype(np.float64), minlength=m).astype(np.int64)
     large = tlower > CUT
     beyond = np.bincount(th[large], weights=tlower[large].astype(np.float64), minlength=m).astype(np.int64)
     facts = [total, *(tally(c == r) for r in range(1, CUT + 1)), *(tally(tlower == r) for r in range(1, CUT + 1)), beyond]
-    of_gram, rows, a, b = counts[kind], [], 0, 0
+    of_gram, rows, b = counts[kind], [], 0
     for r, chunk, part in zip(pdf["range"], pdf["chunk"], parts, strict=True):
-        at, n = h_at[a : a + len(part[1])], len(part[3])
-        rows.append(_row(k, r, chunk, _pack(_small(of_gram[b : b + n]), *[_small(f[at]) for f in facts])))
-        a, b = a + len(at), b + n
-    rows.append(_row(k, -1, -1, b"", [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, CUT + 2))]))
-    rows += [_row(k, -2, -2, b"", [*(int(s[first[i]]) for s in spelled), *(int(f[i]) for f in facts)]) for i in np.flatnonzero(hot)]
+        mine = slice(b, b + len(part[k + 1]))
+        _, at = np.unique(h[mine], return_index=True)  # histories as they first come in the slice
+        at = h[mine][np.sort(at)]
+        rows.append(_row(k, r, chunk, _pack(_small(of_gram[mine])), _pack(*[_small(f[at]) for f in facts])))
+        b = mine.stop
+    rows.append(_row(k, -1, -1, b"", None, [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, CUT + 2))]))
+    for i in np.flatnonzero(hot):
+        name = [first[h_first[i]], *(w[of_suffix[h_first[i]]] for w in hist_words)]
+        rows.append(_row(k, -2, -2, b"", None, [*map(int, name), *(int(f[i]) for f in facts)]))
     return _frame(rows)
 
 
@@ -381,39 +401,34 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     hot_count = max(total_tokens / HOT, 50)
     hot: dict[int, dict[tuple, list]] = {}
 
-    def opened(pdf: pd.DataFrame, upto: int) -> tuple[Chunk, dict[int, list[list[np.ndarray]]]]:
-        """The chunk with its levels below upto and their totals; the answers by level."""
-        chunk = Chunk(folder, int(pdf["chunk"].iloc[0]), ranges)
+    def opened(pdf: pd.DataFrame, upto: int) -> Chunk:
+        """The chunk with its levels below upto and their totals."""
+        chunk = Chunk(folder, int(pdf["chunk"].iloc[0]), ranges, total_tokens)
         pdf = pdf.sort_values(["level", "range"])
         got = {k: [_unpack(b) for b in g["blob"]] for k, g in pdf.groupby("level")}
         chunk.answer_words(got[1], list(pdf.loc[pdf["level"] == 1, "range"]))
         for k in range(2, upto):
             chunk.grams(k, hot_count)
             chunk.total[k] = np.concatenate([g[0] for g in got.get(k, [])] or [np.zeros(0)]).astype(np.int64)
-        return chunk, got
+        return chunk
 
     def asking(k: int):
         def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-            chunk, _ = opened(pdf, k)
+            chunk = opened(pdf, k)
             level, rows = chunk.grams(k, hot_count), []
             lower = chunk.total[k - 1]
             for r, s in chunk.slices(k):
-                new = np.flatnonzero(np.diff(level.hist[s], prepend=-1))
-                h = level.hist[s][new]
-                w, which, below = chunk.number[level.word[s]], np.zeros(0, dtype=np.uint8), lower[level.suffix[s]]
-                if k == 2:  # a word's number and count once a slice
-                    w, first, which = np.unique(w, return_index=True, return_inverse=True)
-                    below = below[first]
-                runs = np.diff(np.append(new, s.stop - s.start))
-                blob = _pack(*map(_small, chunk.spell(k - 1, h)), chunk.hot[h].astype(np.uint8), _small(runs), _small(w), _small(which), _small(below), _small(level.count[s]))
-                rows.append((r, int(pdf["chunk"].iloc[0]), blob))
+                new = np.flatnonzero(np.diff(level.suffix[s], prepend=-1))
+                suffix, runs = level.suffix[s][new], np.diff(np.append(new, s.stop - s.start))
+                mine = [*chunk.spell(k - 1, suffix), lower[suffix], runs, chunk.number[level.first[s]], level.count[s], chunk.hot[level.hist[s]].astype(np.uint8)]
+                rows.append((r, int(pdf["chunk"].iloc[0]), _pack(*map(_small, mine))))
             return pd.DataFrame(rows, columns=["range", "chunk", "blob"])
 
         return ask
 
-    def known(upto: int) -> DataFrame:
+    def known(upto: int, *more: str) -> DataFrame:
         """The answers of the levels below upto, by chunk."""
-        return reduce(DataFrame.unionByName, [answers[k].where("chunk >= 0").select("level", "range", "chunk", "blob") for k in range(1, upto)]).groupBy("chunk")
+        return reduce(DataFrame.unionByName, [answers[k].where("chunk >= 0").select("level", "range", "chunk", "blob", *more) for k in range(1, upto)]).groupBy("chunk")
 
     for k in range(2, order + 1):
         asked = known(k).applyInPandas(asking(k), "range int, chunk long, blob binary")
@@ -423,13 +438,14 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         hot[k] = {tuple(x["h"]): list(x)[1:] for x in sums.collect()}  # fewer than HOT rows
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, got = opened(pdf, order + 1)
+        chunk = opened(pdf, order + 1)
         p = unigrams.probability(chunk.total[1])
         token_p, whole_below, suffix_below = p[chunk.local], np.full(1, unigrams.whole), None
         for k in range(2, order + 1):
             level, histories, m = chunk.levels[k], Histories.empty(len(chunk.total[k - 1])), levels[k]
-            for (_, s), answer in zip(chunk.slices(k), got.get(k, []), strict=True):
-                histories.put(level.hist[s][np.flatnonzero(np.diff(level.hist[s], prepend=-1))], answer[1:])
+            for (_, s), blob in zip(chunk.slices(k), pdf.loc[pdf["level"] == k].sort_values("range")["histories"], strict=True):
+                at = np.unique(level.hist[s], return_index=True)[1]
+                histories.put(level.hist[s][np.sort(at)], _unpack(blob))
             spread = np.flatnonzero(chunk.total[k - 1] > hot_count)
             for i, name in zip(spread, zip(*chunk.spell(k - 1, spread), strict=True), strict=True):
                 if (found := hot[k].get(tuple(map(int, name)))) is not None:
@@ -452,7 +468,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             "base_score": by_text(np.log10((counts + 1) / (total_tokens + levels[1].types + 1))[chunk.local]), "score": by_text(np.log10(token_p)),
         })
 
-    out = known(order + 1).applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = known(order + 1, "histories").applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
