@@ -288,9 +288,18 @@ class Histories:
         return Histories(np.zeros(m, dtype=np.int64), np.zeros((m, CUT), dtype=np.int64), np.zeros((m, CUT), dtype=np.int64), np.zeros(m, dtype=np.int64))
 
     def put(self, at, columns: list) -> None:
+        """columns: tokens of types seen more than CUT times, n, below, below_beyond."""
         self.total[at], self.below_beyond[at] = columns[0], columns[-1]
         for r in range(CUT):
             self.n[at, r], self.below[at, r] = columns[1 + r], columns[1 + CUT + r]
+            self.total[at] += (r + 1) * self.n[at, r]
+
+    def fill_single(self, hist: np.ndarray, lower: np.ndarray) -> None:
+        """hist, lower: of seen n-grams. Where one is all that follows its history, its count one level below is what the answer left out."""
+        single = (self.n.sum(axis=1) == 1) & (self.total == (self.n * np.arange(1, CUT + 1)).sum(axis=1))
+        hist, lower = hist[single[hist]], lower[single[hist]]
+        self.below[hist] = lower[:, None] == np.arange(1, CUT + 1)
+        self.below_beyond[hist] = np.where(lower > CUT, lower, 0)
 
 
 #: Numbers of a history in an answer.
@@ -299,11 +308,18 @@ FACTS = 2 * CUT + 2
 
 def codes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(code, first): which distinct row each row is, from 0, and where each distinct row is found first."""
-    code = np.zeros(len(columns[0]), dtype=np.int64)
-    for c in columns:
-        values, dense = np.unique(c, return_inverse=True)
-        _, code = np.unique(code * len(values) + dense, return_inverse=True)
-    return code, np.unique(code, return_index=True)[1]
+    code, top = columns[0], int(columns[0].max(initial=0)) + 1
+    for c in columns[1:]:
+        wide = int(c.max(initial=0)) + 1
+        if top * wide >= 1 << 63:
+            code = np.unique(code, return_inverse=True)[1]
+            top = len(code) + 1
+        if top * wide >= 1 << 63:
+            c = np.unique(c, return_inverse=True)[1]
+            wide = len(c) + 1
+        code, top = code * wide + c, top * wide
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
 
 
 #: blob: the counts of a slice's n-grams; histories: what was found of its histories, which only scoring asks for.
@@ -355,16 +371,22 @@ def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     seen = counts > 0
     th, tlower, c = h[kind_first][seen], lower[of_suffix[kind_first]][seen], counts[seen]
     tally = lambda which: np.bincount(th[which], minlength=m)
-    total = np.bincount(th, weights=c.astype(np.float64), minlength=m).astype(np.int64)
+    single = (np.bincount(th, minlength=m) == 1) & (np.bincount(th[c <= CUT], minlength=m) == 1)
     large = tlower > CUT
     beyond = np.bincount(th[large], weights=tlower[large].astype(np.float64), minlength=m).astype(np.int64)
-    facts = [total, *(tally(c == r) for r in range(1, CUT + 1)), *(tally(tlower == r) for r in range(1, CUT + 1)), beyond]
-    of_gram, rows, b = counts[kind], [], 0
+    tokens_beyond = np.bincount(th[c > CUT], weights=c[c > CUT].astype(np.float64), minlength=m).astype(np.int64)
+    facts = [tokens_beyond, *(tally(c == r) for r in range(1, CUT + 1)), *(tally(tlower == r) for r in range(1, CUT + 1)), beyond]
+    of_gram, rows, b, known = counts[kind], [], 0, np.zeros(m, dtype=bool)
     for r, chunk, part in zip(pdf["range"], pdf["chunk"], parts, strict=True):
         mine = slice(b, b + len(part[k + 1]))
         _, at = np.unique(h[mine], return_index=True)  # histories as they first come in the slice
         at = h[mine][np.sort(at)]
-        rows.append(_row(k, r, chunk, _pack(_small(of_gram[mine])), _pack(*[_small(f[at]) for f in facts])))
+        # a slice that holds all that follows a history knows that n-gram's count one level below
+        own = h[mine][of_gram[mine] > 0]
+        known[own] = True
+        asks = ~(known[at] & single[at])
+        known[own] = False
+        rows.append(_row(k, r, chunk, _pack(_small(of_gram[mine])), _pack(*[_small(f[at]) for f in facts[: CUT + 1]], *[_small(f[at] * asks) for f in facts[CUT + 1 :]])))
         b = mine.stop
     rows.append(_row(k, -1, -1, b"", None, [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, CUT + 2))]))
     for i in np.flatnonzero(hot):
@@ -450,13 +472,14 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for i, name in zip(spread, zip(*chunk.spell(k - 1, spread), strict=True), strict=True):
                 if (found := hot[k].get(tuple(map(int, name)))) is not None:
                     histories.put(i, found)
+            c = chunk.total[k]
+            histories.fill_single(level.hist[c > 0], chunk.total[k - 1][level.suffix[c > 0]])
             mass = m.mass(histories.n, histories.total - (histories.n * np.arange(1, CUT + 1)).sum(axis=1))
             whole = np.maximum(histories.total + (mass >= histories.total), 1)
             # what the types that follow a history have one level below, where the history is a word shorter
             seen_below = levels[k - 1].mass(histories.below, histories.below_beyond) / (whole_below[suffix_below] if suffix_below is not None else whole_below)
             with np.errstate(divide="ignore", invalid="ignore"):
                 alpha = np.where(histories.total > 0, (1 - mass / whole) / (1 - seen_below), 1.0)
-            c = chunk.total[k]
             p = np.where(c > 0, m.discounted(c) / whole[level.hist], alpha[level.hist] * p[level.suffix])
             there = chunk.at[k] >= 0
             token_p[there] = p[chunk.at[k][there]]
