@@ -154,7 +154,7 @@ def disposition_stats(spark, sf_dir):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("d") == k).alias(k) for k in ("off_topic", "incomplete", "past", "keep")])
 
 
-_KEY = "trim(" + "regexp_replace(" * len(T.KEY_STEPS) + "lower(coalesce(x, ''))" + "".join(f", '{p}', '{r}', 'g')" for p, r in T.KEY_STEPS) + ")"
+_KEY = "trim(" + "regexp_replace(" * len(T.key_steps()) + "lower(coalesce(x, ''))" + "".join(f", '{p}', '{r}', 'g')" for p, r in T.key_steps()) + ")"
 
 
 @query(f"SELECT doc_id, sha1(key) AS key_sha1, length(key) AS n FROM (SELECT doc_id, {_KEY} AS key FROM (SELECT doc_id, text AS x FROM documents))")
@@ -164,7 +164,7 @@ def normalize_key_docs(spark, sf_dir):
 
 
 @query(r"SELECT doc_id, nullif(array_to_string(list_distinct_in_order[1:4], ', '), '') AS contact FROM (SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_in_order FROM "
-       r"(SELECT doc_id, list_concat(regexp_extract_all(text, '\b(?:\(\d{3}\)\s*|\d{3}[-.\s])\d{3}[-.\s]\d{4}\b'), regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b')) AS m FROM documents))")
+       r"(SELECT doc_id, list_concat(regexp_extract_all(text, '(?:\(\d{3}\)\s*|\b\d{3}[-.\s])\d{3}[-.\s]\d{4}\b'), regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b')) AS m FROM documents))")
 def contact_extract(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.find_contact(F.col("text")).alias("contact"))
 

@@ -43,7 +43,7 @@ def ics_fields(block: Column) -> Column:
     lines = F.split(F.regexp_replace(block, r"\r?\n[ \t]", ""), r"\r?\n|\r")
     pairs = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(
         F.upper(F.trim(F.substring_index(F.substring_index(x, ":", 1), ";", 1))).alias("k"),
-        F.replace(F.replace(F.replace(F.trim(F.substr(x, F.locate(":", x) + 1)), F.lit("\\,"), F.lit(",")), F.lit("\\n"), F.lit(" ")), F.lit("\\;"), F.lit("\\;")).alias("v"),
+        F.replace(F.replace(F.replace(F.trim(F.substr(x, F.locate(":", x) + 1)), F.lit("\\,"), F.lit(",")), F.lit("\\n"), F.lit(" ")), F.lit("\\;"), F.lit(";")).alias("v"),
     ))
     pairs = F.filter(pairs, lambda p: (p.k != "") & (p.v != ""))
     keys = F.transform(pairs, lambda p: p.k)

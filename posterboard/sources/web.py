@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import vocab
 from ..functions.dates import find_dates
 
 # What counts as a container of one event, and what is no content.
@@ -197,7 +198,7 @@ def best_image(images: Column) -> Column:
         & ~((i.width > 0) & (i.height > 0) & ((i.width < 200) | (i.height < 200)))
     )
     points = lambda i: (
-        F.when(F.concat_ws(" ", name(i), F.lower(i.alt), F.lower(i["class"])).rlike("flyer|poster|handgame|stickgame|tournament|event"), 3).otherwise(0)
+        F.when(F.concat_ws(" ", name(i), F.lower(i.alt), F.lower(i["class"])).rlike("flyer|poster|tournament|event|" + T.any_of(vocab.current().strong)), 3).otherwise(0)
         + F.when((i.width > 0) & (i.height >= i.width), 2).otherwise(0)
     )
     ranked = F.transform(F.filter(images, fits), lambda i, at: F.struct(points(i).alias("p"), (-at).alias("at"), i.src.alias("src")))
@@ -206,7 +207,7 @@ def best_image(images: Column) -> Column:
 
 def link_points(label: Column) -> Column:
     return (
-        F.when(label.rlike("handgame|hand.game|stickgame|stick.game|bone.game|slahal"), 5).otherwise(0)
+        F.when(label.rlike(T.any_of(vocab.current().strong)), 5).otherwise(0)
         + F.when(label.rlike(r"\bevents?\b|calendar|tournament|powwow|pow.wow"), 3).otherwise(0)
         + F.when(label.rlike("news|announce|upcoming|community"), 1).otherwise(0)
         - F.when(label.rlike(r"login|cart|privacy|terms|careers|jobs|\.pdf$"), 5).otherwise(0)

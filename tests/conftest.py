@@ -9,6 +9,20 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
+@pytest.fixture(autouse=True)
+def vocabulary():
+    """Plans of the tests go by a vocabulary of their own."""
+    from posterboard.functions import vocab
+
+    mine = vocab.Vocabulary(
+        strong=["chess", "speed game"], support=["tournament", "tourney", "payout", "entry fee", "powwow"], negative=["video game", "fortnite"], groups=["River", "Riverside"], generic_groups=["Garden Club"],
+        towns={"lummi": "Lummi, Washington", "arlee": "Arlee, Montana", "polson": "Polson, Montana", "schurz": "Schurz, Nevada", "ft duchesne": "Fort Duchesne, Utah"},
+        synonyms=[(r"\b(?:speed|board) ?games?\b", "chess"), (r"\btourn[a-z0-9_]*\b", "tournament"), (r"\bcompetitions?\b", "tournament")],
+    )
+    with vocab.using(mine):
+        yield mine
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

@@ -94,12 +94,12 @@ def test_collapse_is_the_global_loop(spark):
 
 def test_merge_and_image_twins(spark):
     rows = [
-        record(1, title="Thin", confidence=90), record(2, title="A much fuller title here", tribe="Colville", confidence=10, source="reddit"),
+        record(1, title="Thin", confidence=90), record(2, title="A much fuller title here", tribe="Riverside", confidence=10, source="reddit"),
         record(3, title="Other", location="Arlee, MT", flyer_phash="ab" * 32, start_date=D(2026, 9, 5), confidence=5),
         record(4, title="Other", location="Arlee, MT", flyer_phash="ab" * 32, start_date=D(2027, 9, 5), confidence=4),
     ]
     out = {r.ordinal: r for r in linkage.collapse(spark.createDataFrame(rows, RECORD)).collect()}
-    assert out[2].merged_into == 1 and out[1].title == "A much fuller title here" and out[1].tribe == "Colville" and out[1].source == "webpages+reddit"
+    assert out[2].merged_into == 1 and out[1].title == "A much fuller title here" and out[1].tribe == "Riverside" and out[1].source == "webpages+reddit"
     assert out[1].warnings == ["also listed at http://x/2"] and out[4].merged_into is None
     kept = spark.createDataFrame(rows[2:], RECORD)
     assert {(r.ordinal, r.other_date) for r in linkage.image_twins(kept).collect()} == {(4, D(2026, 9, 5)), (3, D(2027, 9, 5))}
@@ -162,23 +162,23 @@ def test_reader_precedence(spark):
 
 
 def test_feeds_and_pages(spark):
-    wp = '{"events":[{"title":"Handgame &#038; Feast","description":"<p>fun</p>","start_date":"2026-09-18 10:00:00","image":{"url":"http://i/a.jpg"},"venue":{"venue":"Hall","city":"","state":"WA"}},{"title":"Bingo"}]}'
+    wp = '{"events":[{"title":"Chess &#038; Feast","description":"<p>fun</p>","start_date":"2026-09-18 10:00:00","image":{"url":"http://i/a.jpg"},"venue":{"venue":"Hall","city":"","state":"WA"}},{"title":"Bingo"}]}'
     ics = "BEGIN:VEVENT\r\nSUMMARY:Stick game \r\n tournament\\, big\r\nDTSTART;VALUE=DATE:20261212\r\nDTEND:20261214\r\nDTSTART:20200101\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:Bingo\r\nEND:VEVENT"
     bodies = lambda b: spark.createDataFrame([("http://s", b, "Site, WA", None, None), ("http://t", "junk", None, None, None)], "url string, body string, site_location string, site_tribe string, hint string")
     (a,) = feeds.from_event_json(bodies(wp)).collect()
-    assert (a.title, a.start_date, a.location, a.flyer_url) == ("Handgame & Feast", D(2026, 9, 18), "Hall, WA", "http://i/a.jpg")
+    assert (a.title, a.start_date, a.location, a.flyer_url) == ("Chess & Feast", D(2026, 9, 18), "Hall, WA", "http://i/a.jpg")
     (b,) = feeds.from_ics(bodies(ics)).collect()
     assert (b.title, b.start_date, b.end_date, b.location) == ("Stick game tournament, big", D(2026, 12, 12), D(2026, 12, 14), "Site, WA")
-    post = '{"data":{"children":[{"data":{"id":"x","title":"Handgame Sept 5, 2026 in Omak, WA","selftext":"","permalink":"/r","preview":{"images":[{"source":{"url":"http://p/a?b&amp;c"}}]}}},{"data":{"id":"y","title":"hello"}}]}}'
+    post = '{"data":{"children":[{"data":{"id":"x","title":"Chess Sept 5, 2026 in Omak, WA","selftext":"","permalink":"/r","preview":{"images":[{"source":{"url":"http://p/a?b&amp;c"}}]}}},{"data":{"id":"y","title":"hello"}}]}}'
     (p,) = feeds.from_posts(bodies(post), D(2026, 8, 12)).collect()
     assert (p.start_date, p.location, p.flyer_url) == (D(2026, 9, 5), "Omak, Washington", "http://p/a?b&c")
-    html = ('<html><nav>Handgame menu</nav><script type="application/ld+json">{"@graph":[{"@type":["Event"],"name":"Handgame","startDate":"2026-10-10T10:00","location":{"name":"Hall","address":{"addressLocality":"Omak","addressRegion":"WA"}},"image":["http://i/x.png"]}]}</script>'
-            '<script type="application/ld+json">{bad</script><article class="event"><h2>Stickgame at the hall</h2><p>May 22-25, 2027 Omak, WA</p><img src="/f/flyer.jpg" width="300" height="400"><img src="/logo.png"><a href="/e/1">more</a></article><article><p>nothing here at all, really</p></article></html>')
+    html = ('<html><nav>Chess menu</nav><script type="application/ld+json">{"@graph":[{"@type":["Event"],"name":"Chess","startDate":"2026-10-10T10:00","location":{"name":"Hall","address":{"addressLocality":"Omak","addressRegion":"WA"}},"image":["http://i/x.png"]}]}</script>'
+            '<script type="application/ld+json">{bad</script><article class="event"><h2>Speed game at the hall</h2><p>May 22-25, 2027 Omak, WA</p><img src="/f/flyer.jpg" width="300" height="400"><img src="/logo.png"><a href="/e/1">more</a></article><article><p>nothing here at all, really</p></article></html>')
     pages = spark.createDataFrame([(1, "http://s/list", html, None, None, None), (2, "http://s/x", None, None, None, None)], "page_id int, url string, html string, site_location string, site_tribe string, hint string")
     (j,) = web.from_jsonld(pages).collect()
     assert (j.start_date, j.location, j.flyer_url) == (D(2026, 10, 10), "Hall, Omak, WA", "http://i/x.png")
     (h,) = web.from_html(pages, D(2026, 8, 12)).collect()
-    assert (h.title, h.start_date, h.end_date, h.flyer_url, h.source_url, h.location) == ("Stickgame at the hall", D(2027, 5, 22), D(2027, 5, 25), "http://s/f/flyer.jpg", "http://s/e/1", "Omak, Washington")
+    assert (h.title, h.start_date, h.end_date, h.flyer_url, h.source_url, h.location) == ("Speed game at the hall", D(2027, 5, 22), D(2027, 5, 25), "http://s/f/flyer.jpg", "http://s/e/1", "Omak, Washington")
 
 
 def test_rate_limit(spark):
@@ -222,7 +222,7 @@ def test_publish_isolates_failures(spark):
 
 
 def test_whole_run(spark):
-    pages = spark.createDataFrame([("HANDGAME TOURNAMENT\nSept 4-6, 2026 Nespelem, WA\ncall 509-555-0100", "http://a"), ("Handgame July 1, 2020 Omak, WA", "http://b"), ("Bingo Sept 4, 2026", "http://c")], "raw_text string, source_url string")
+    pages = spark.createDataFrame([("CHESS TOURNAMENT\nSept 4-6, 2026 Nespelem, WA\ncall 509-555-0100", "http://a"), ("Chess July 1, 2020 Omak, WA", "http://b"), ("Bingo Sept 4, 2026", "http://c")], "raw_text string, source_url string")
     live = listings(spark, [])
     empty = spark.createDataFrame([], LEDGER)
     first = plan.run({"webpages": pages}, empty, live, D(2026, 8, 12), STAMP)
@@ -235,5 +235,5 @@ def test_whole_run(spark):
     assert s.collected == s.off_topic + s.incomplete + s.past + s.merged + s.seen + s.live + s.flagged + s.queued
     again = plan.run({"webpages": pages}, first.ledger, live, D(2026, 8, 12), STAMP).statistics.first()
     assert (again.queued, again.seen) == (0, 1)
-    site = listings(spark, [{"id": 1, "title": "Handgame tournament", "start_date": D(2026, 9, 4), "location": "Nespelem, Washington"}])
+    site = listings(spark, [{"id": 1, "title": "Chess tournament", "start_date": D(2026, 9, 4), "location": "Nespelem, Washington"}])
     assert plan.run({"webpages": pages}, empty, site, D(2026, 8, 12), STAMP).statistics.first().live == 1
