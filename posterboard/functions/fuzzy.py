@@ -92,22 +92,28 @@ def states_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(location_state(a) != location_state(b), F.lit(False))
 
 
-def similarity(a: str, b: str, title: Column | None = None, location: Column | None = None) -> Column:
-    """0 to 1 of two record structs named a and b: start_date, location, title, flyer_phash.
-
-    Parts that are missing on either side are left out and the weights of the others shared anew. title and location may be given as columns that hold the likeness.
-    """
-    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    day = date_proximity(x("start_date"), y("start_date"))
-    place = location if location is not None else location_likeness(x("location"), y("location"))
-    name = title if title is not None else title_likeness(x("title"), y("title"))
+def score(day: Column, place: Column, name: Column, same_image: Column, conflict: Column) -> Column:
+    """0 to 1 from the likeness of dates, places and titles: a mean of what is there, as missing parts are left out and the weights of the others shared anew."""
     parts = list(zip((day, place, name), WEIGHTS, strict=True))
     total = sum(F.when(p.isNotNull(), w).otherwise(0.0) for p, w in parts)
     mean = sum(F.coalesce(p, F.lit(0.0)) * w for p, w in parts) / F.nullif(total, F.lit(0.0))
     mean = F.when((day >= 0.85) & (place >= 0.85), F.greatest(mean, F.lit(SAME_DAY_AND_PLACE))).otherwise(mean)
+    return F.when(same_image, F.when(day == 0.0, 0.0).otherwise(1.0)).when((day == 0.0) | conflict, 0.0).otherwise(F.round(F.coalesce(mean, F.lit(0.0)), 3))
+
+
+def similarity(a: str, b: str) -> Column:
+    """The score of two record structs named a and b: start_date, location, title, flyer_phash."""
+    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
     same_image = F.coalesce((x("flyer_phash") == y("flyer_phash")) & (x("flyer_phash") != ""), F.lit(False))
-    return (
-        F.when(same_image, F.when(day == 0.0, 0.0).otherwise(1.0))
-        .when((day == 0.0) | states_conflict(x("location"), y("location")), 0.0)
-        .otherwise(F.round(F.coalesce(mean, F.lit(0.0)), 3))
-    )
+    return score(date_proximity(x("start_date"), y("start_date")), location_likeness(x("location"), y("location")), title_likeness(x("title"), y("title")),
+                 same_image, states_conflict(x("location"), y("location")))
+
+
+def edit_likeness(a: Column, b: Column) -> Column:
+    """A likeness that SQL has too: one less the edit distance's share of the longer key; null if either is blank."""
+    return F.when((a != "") & (b != ""), 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+
+
+def key_likeness(a: Column, b: Column) -> Column:
+    """Likeness of two keys by common subsequences and sets of words."""
+    return _likeness(a, b)

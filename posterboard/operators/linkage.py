@@ -2,46 +2,100 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fuzzy
 from ..functions.text import location_state, normalize_key, normalize_location
+from ..session import ensure_checkpoints
 
 GROUPS_A_PARTITION = 8
 FIELDS = ("start_date", "location", "title", "flyer_phash")
 
 
+def _keyed(rows: DataFrame, side: str, *keep: str) -> DataFrame:
+    """What a comparison needs of a row, made once: keys of title and place, state, date, image; each column's name starts with the side's."""
+    names = {"start": F.col("start_date"), "title": normalize_key(F.col("title")), "place": normalize_location(F.col("location")), "state": location_state(F.col("location")), "image": F.nullif("flyer_phash", F.lit(""))}
+    return rows.select(*keep, *[c.alias(f"{side}_{n}") for n, c in names.items()])
+
+
 def date_blocked_pairs(left: DataFrame, right: DataFrame, gap: int) -> DataFrame:
-    """Rows of both with dates at most gap days apart, as structs l and r: an equal join on the day, the left side spread over its neighbours."""
-    l = left.where("start_date IS NOT NULL").select(F.struct(*left.columns).alias("l"), F.explode(F.sequence(F.date_sub("start_date", gap), F.date_add("start_date", gap))).alias("day"))
-    r = right.where("start_date IS NOT NULL").select(F.struct(*right.columns).alias("r"), F.col("start_date").alias("day"))
-    return l.join(r, "day").drop("day")
+    """Keyed rows of both with dates at most gap days apart: an equal join on the day, the left side spread over its neighbours."""
+    l = left.where("l_start IS NOT NULL").withColumn("day", F.explode(F.sequence(F.date_sub("l_start", gap), F.date_add("l_start", gap))))
+    return l.join(right.where("r_start IS NOT NULL").withColumn("day", F.col("r_start")), "day").drop("day")
+
 
+def _blocks(key: str, short: bool) -> Column:
+    """Pairs of neighbouring characters of a key, its ends included; with short, also the characters of keys of up to 12."""
+    one = F.regexp_extract_all(F.col(key), F.lit("[^ ]"), F.lit(0))
+    two = F.regexp_extract_all(F.concat(F.lit(" "), F.col(key), F.lit(" ")), F.lit("(?=(..))"), F.lit(1))
+    return F.array_distinct(F.concat(two, F.when(F.length(key) <= 12, one).otherwise(F.array().cast("array<string>")) if short else one))
+
+
+def _alike_keys(left: DataFrame, right: DataFrame, name: str, likeness) -> DataFrame:
+    """l_<name>, r_<name>: the distinct keys of both sides with a likeness of LIKELY.
+
+    Two texts of n and w characters with a common subsequence of 0.36 (n + w) have 0.08 (n + w) - 1 pairs of neighbours in common, which is over 0 from 13 characters on; shorter ones have a
+    character in common. Word order doesn't matter to pairs, as spaces are the only neighbours that words share. So no alike keys are lost.
+    """
+    a, b = f"l_{name}", f"r_{name}"
+    l, r = left.select(a).where(f"{a} != ''").distinct(), right.select(b).where(f"{b} != ''").distinct()
+    meet = l.select(a, F.explode(_blocks(a, True)).alias("block")).join(r.select(b, F.explode(_blocks(b, False)).alias("block")), "block")
+    back = l.select(a, F.explode(_blocks(a, False)).alias("block")).join(r.where(F.length(b) <= 12).select(b, F.explode(_blocks(b, True)).alias("block")), "block")
+    pairs = meet.select(a, b).union(back.select(a, b)).distinct()
+    return pairs.where(likeness(F.col(a), F.col(b)) >= fuzzy.LIKELY)
 
-def best_live_match(candidates: DataFrame, live: DataFrame) -> DataFrame:
+
+def _liken(pairs: DataFrame, name: str, likeness) -> DataFrame:
+    """Adds <name>_likeness. Each distinct pair of keys is compared once, however many rows have it."""
+    a, b = f"l_{name}", f"r_{name}"
+    known = pairs.select(a, b).distinct().withColumn(f"{name}_likeness", likeness(F.col(a), F.col(b)))
+    return pairs.join(known, [a, b])
+
+
+def match_pairs(candidates: DataFrame, live: DataFrame, likeness=fuzzy.key_likeness) -> DataFrame:
+    """Every pair of keyed rows that can be LIKELY, with its score, each once: those of one image, those within POSSIBLE_GAP days, and those of which one has no date and a place or title is alike.
+
+    Without a date the score is a mean of two likenesses, so one of them is LIKELY if the score is. A pair of states that differ scores 0 and goes before anything is compared.
+    """
+    clash = F.coalesce(F.col("l_state") != F.col("r_state"), F.lit(False))
+    gap = F.abs(F.date_diff("l_start", "r_start"))
+    same_image = candidates.join(live, F.col("l_image") == F.col("r_image")).where(F.coalesce(gap <= fuzzy.NO_GAP, F.lit(True)))
+    same_image = same_image.withColumn("score", F.lit(1.0))
+    differ = F.coalesce(F.col("l_image") != F.col("r_image"), F.lit(True))
+    dated = date_blocked_pairs(candidates, live, fuzzy.POSSIBLE_GAP).where(~clash & differ)
+    undated = []
+    for l, r in ((candidates.where("l_start IS NULL"), live), (candidates.where("l_start IS NOT NULL"), live.where("r_start IS NULL"))):
+        for name in ("place", "title"):
+            undated.append(l.join(_alike_keys(l, r, name, likeness), f"l_{name}").join(r, f"r_{name}").select(*candidates.columns, *live.columns))
+    rest = dated.select(*candidates.columns, *live.columns).unionByName(reduce(DataFrame.unionByName, undated).where(~clash & differ).distinct())
+    day = fuzzy.date_proximity(F.col("l_start"), F.col("r_start"))
+    rest = _liken(rest, "title", likeness)
+    # two or three days apart, a pair needs a title that is alike, whatever its places
+    rest = rest.where(F.coalesce((gap <= 1) | (0.45 * 0.55 + 0.30 + 0.25 * F.col("title_likeness") >= fuzzy.LIKELY - 0.001), F.lit(True)))
+    rest = _liken(rest, "place", likeness)
+    rest = rest.withColumn("score", fuzzy.score(day, F.col("place_likeness"), F.col("title_likeness"), F.lit(False), F.lit(False)))
+    return same_image.unionByName(rest.drop("title_likeness", "place_likeness"))
+
+
+def best_live_match(candidates: DataFrame, live: DataFrame, likeness=fuzzy.key_likeness) -> DataFrame:
     """candidates: fingerprint and FIELDS; live: id, FIELDS, flagged. Returns fingerprint, verdict, id, score, flagged for each candidate.
 
-    Pairs over three days apart can't be possible duplicates, so they aren't scored; live rows without a date, which can be, meet all
-    candidates: they are the rare case, and are scored only if their normalised location or title shares a word with the candidate's. Ties go to the later start, then the smaller id.
+    Ties go to the later start, then the smaller id; a live row without a date comes last. A match below LIKELY is no match: its id and score are null.
     """
-    pairs = date_blocked_pairs(candidates.select("fingerprint", *FIELDS), live.select("id", "flagged", *FIELDS), fuzzy.POSSIBLE_GAP)
-    words = lambda df: F.explode(F.array_distinct(F.split(F.concat_ws(" ", normalize_location(F.col("location")), normalize_key(F.col("title"))), " ")))
-    undated = live.where("start_date IS NULL")
-    l = candidates.select(F.struct("fingerprint", *FIELDS).alias("l"), words(candidates).alias("word"))
-    r = undated.select(F.struct("id", "flagged", *FIELDS).alias("r"), words(undated).alias("word"))
-    pairs = pairs.unionByName(l.join(r, "word").where("word != ''").select("l", "r").distinct())
-    scored = pairs.withColumn("score", fuzzy.similarity("l", "r"))
-    best = scored.groupBy(F.col("l.fingerprint").alias("fingerprint")).agg(
-        F.max_by(F.struct(F.col("r.id").alias("id"), "score", F.col("r.flagged").alias("flagged")), F.struct("score", F.col("r.start_date"), -F.col("r.id"))).alias("m"))
+    ensure_checkpoints(candidates.sparkSession)
+    # keys are made once: several joins read them
+    l, r = _keyed(candidates, "l", "fingerprint").checkpoint(), _keyed(live, "r", "id", "flagged").checkpoint()
+    pairs = match_pairs(l, r, likeness).where(F.col("score") >= fuzzy.LIKELY)
+    best = pairs.groupBy("fingerprint").agg(F.max_by(F.struct("id", "score", "flagged"), F.struct("score", "r_start", -F.col("id"))).alias("m"))
     out = candidates.select("fingerprint").join(best, "fingerprint", "left")
     verdict = F.when(F.col("m.score") >= fuzzy.CERTAIN, "duplicate").when(F.col("m.score") >= fuzzy.LIKELY, "possible").otherwise("new")
-    out = out.withColumn("verdict", verdict)
-    told = lambda c: F.when(F.col("verdict") != "new", F.col(f"m.{c}")).alias(c)
-    return out.select("fingerprint", "verdict", told("id"), told("score"), told("flagged"))
+    return out.select("fingerprint", verdict.alias("verdict"), "m.id", "m.score", "m.flagged")
 
 
 def route(rows: DataFrame, matches: DataFrame, live: DataFrame) -> DataFrame:
@@ -131,21 +185,33 @@ def collapse(rows: DataFrame, schema: str | None = None) -> DataFrame:
         kept["confidence"] = max(kept["confidence"] or 0, row["confidence"] or 0)
 
     def one_island(order: list[dict]) -> None:
+        """Rows meet only kept rows that they can be CERTAIN with: within a day, without a date, or of one image. Kept rows keep their date and image, so the places where they are found stay right."""
         kept: list[dict] = []
+        places: dict[tuple, list[int]] = {}
+
+        def where(row: dict, reach: int) -> list[tuple]:
+            day = None if row["start_date"] is None else pd.Timestamp(row["start_date"]).toordinal()
+            days = [("day", day)] if day is None else [("day", day + k) for k in range(-reach, reach + 1)]
+            return days + ([("image", row["flyer_phash"])] if row["flyer_phash"] else [])
+
         for row in order:
-            best, score = None, 0.0
-            for other in kept:
-                if (s := alike(row, other)) > score:
-                    best, score = other, s
-            if best is not None and score >= fuzzy.CERTAIN:
-                row["merged_into"] = best["ordinal"]
-                merge(best, row)
+            if row["start_date"] is None:
+                near = range(len(kept))
             else:
-                twin = next((k for k in kept if row["flyer_phash"] and k["flyer_phash"] == row["flyer_phash"]), None)
-                if twin is not None and twin["start_date"] != row["start_date"]:
-                    for one, other in ((row, twin), (twin, row)):
-                        one["warnings"].append(f"same flyer image as another event in this batch ({other['start_date']}) - check which date is right")
-                kept.append(row)
+                near = sorted({i for p in [*where(row, fuzzy.DUPLICATE_GAP), ("day", None)] for i in places.get(p, ())})
+            scores = [(alike(row, kept[i]), -i) for i in near]
+            score, i = max(scores, default=(0.0, 0))
+            if score >= fuzzy.CERTAIN:
+                row["merged_into"] = kept[-i]["ordinal"]
+                merge(kept[-i], row)
+                continue
+            twins = places.get(("image", row["flyer_phash"]), [])
+            if twins and kept[twins[0]]["start_date"] != row["start_date"]:
+                for one, other in ((row, kept[twins[0]]), (kept[twins[0]], row)):
+                    one["warnings"].append(f"same flyer image as another event in this batch ({other['start_date']}) - check which date is right")
+            for p in where(row, 0):
+                places.setdefault(p, []).append(len(kept))
+            kept.append(row)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
@@ -156,7 +222,9 @@ def collapse(rows: DataFrame, schema: str | None = None) -> DataFrame:
             groups.setdefault((r["island"], r["part"]), []).append(r)
         for order in groups.values():
             one_island(order)
-        return pd.DataFrame(rows)[columns]
+        out = pd.DataFrame(rows)[columns]
+        whole = pd.array([r["merged_into"] for r in rows], dtype="Int64")  # a float column would round large ordinals
+        return out.assign(merged_into=whole)
 
     ready = ready.withColumn("key_title", normalize_key(F.col("title")))
     returned = T.StructType([*rows.schema.fields, T.StructField("merged_into", T.LongType())])

@@ -216,30 +216,34 @@ def date_proximity_join(spark, sf_dir):
     return l.join(r, ["location", "day"]).where("a < b").select("a", "b", fuzzy.date_proximity(F.col("l_start"), F.col("day")).alias("proximity"))
 
 
-@query()
-def best_live_match(spark, sf_dir):
-    """Rows only: the likeness of names has no counterpart in SQL; tests hold it against a brute-force version."""
-    rows = order_listings(spark, sf_dir).withColumn("flyer_phash", F.lit(None).cast("string"))
-    live = rows.where("id % 20 = 0").select("id", "title", "location", "start_date", "flyer_phash", (F.col("report_count") >= 3).alias("flagged"))
-    new = rows.where("id % 20 != 0").withColumn("fingerprint", F.col("id").cast("string"))
-    return linkage.best_live_match(new, live)
-
-
-def _doc_records(spark, sf_dir):
-    """Documents as records: a title of their first words, a place and an image by source, a day by id."""
+def dated_documents(spark, sf_dir):
+    """Documents as records: the likeliest title of the whole text, the source as a place, the day of the order with the same number (none where there is no such order)."""
     none = lambda k: F.lit(None).cast(k)
-    return _table(spark, sf_dir, "documents").select(
-        F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("title"), F.date_add(F.lit(AS_OF), (2 * (F.col("doc_id") % 997)).cast("int")).alias("start_date"), none("date").alias("end_date"),
-        F.concat(F.lit("Hall, "), F.element_at(F.array(*[F.lit(s) for s in ("WA", "ID", "MT", "OR")]), (F.col("doc_id") % 4 + 1).cast("int"))).alias("location"), none("string").alias("tribe"),
-        none("string").alias("details"), none("string").alias("flyer_url"), "source", F.concat(F.lit("http://example.com/"), "doc_id").alias("source_url"), none("string").alias("flyer_phash"),
+    days = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.to_date("o_orderdate").alias("start_date"))
+    docs = _table(spark, sf_dir, "documents").withColumn("title", T.guess_title(F.col("text"))).join(days, "doc_id", "left")
+    return docs.select(
+        "title", "start_date", none("date").alias("end_date"), F.concat(F.lit("Customer "), F.regexp_replace("source", "[^0-9]", ""), F.lit("00")).alias("location"), none("string").alias("tribe"), none("string").alias("details"),
+        none("string").alias("flyer_url"), "source", F.concat(F.lit("http://example.com/"), "doc_id").alias("source_url"), none("string").alias("flyer_phash"),
         (F.col("n_chars") % 100).cast("int").alias("confidence"), F.array().cast("array<string>").alias("warnings"), none("string").alias("raw_text"), F.col("doc_id").alias("ordinal"),
     )
 
 
+def _match_tables(spark, sf_dir):
+    new = dated_documents(spark, sf_dir).withColumn("fingerprint", F.col("ordinal").cast("string"))
+    live = order_listings(spark, sf_dir).select("id", "title", "location", "start_date", F.lit(None).cast("string").alias("flyer_phash"), (F.col("report_count") >= 3).alias("flagged"))
+    return new, live
+
+
+@query()
+def best_live_match(spark, sf_dir):
+    """Rows only: common subsequences have no counterpart in SQL; tests hold it against a brute-force version. best_live_match_edit is the same by edit distance, with SQL."""
+    return linkage.best_live_match(*_match_tables(spark, sf_dir))
+
+
 @query()
 def fuzzy_collapse(spark, sf_dir):
     """Rows only: greedy merging depends on its order; tests hold it against one loop over all rows."""
-    return linkage.collapse(_doc_records(spark, sf_dir)).select("ordinal", "merged_into", "title", "confidence", F.size("warnings").alias("n_warnings"))
+    return linkage.collapse(dated_documents(spark, sf_dir)).select("ordinal", "merged_into", "title", "confidence", F.size("warnings").alias("n_warnings"))
 
 
 @query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
@@ -280,11 +284,11 @@ def host_breaker(spark, sf_dir):
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS name, d.doc_id IS NOT NULL AS in_bucket,
 CASE WHEN d.doc_id IS NULL THEN 'vanished' WHEN l.doc_id IS NOT NULL AND l.quality = d.n_chars % 2 THEN 'skipped' ELSE 'added' END AS action
-FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def reconcile_inventory(spark, sf_dir):
     stamp = F.lit(STAMP)
     manifest = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("long").alias("size"), F.lit(True).alias("in_bucket"), stamp.alias("first_backed_up"), stamp.alias("last_seen"), F.lit(None).cast("timestamp").alias("gone_since"))
-    bucket = _table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("name"), (F.col("n_chars") % 2).alias("size"))
+    bucket = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), (F.col("n_chars") % 2).alias("size"))
     return reconcile.reconcile(manifest, bucket, STAMP).select("name", "in_bucket", "action")
 
 

@@ -19,4 +19,6 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Sets a folder for checkpoints only where the session has none, as in tests; a cluster names its own shared one in spark.checkpoint.dir."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
