@@ -1,4 +1,9 @@
-"""A corpus pipeline of four stages; each one's rows are written as Parquet and reread as the next one's documents."""
+"""A corpus pipeline of four stages; each one's rows are written as Parquet and reread as the next one's documents.
+
+Every stage takes what its operator takes: null or empty texts are scored by the bias, fail the rules, are classes of their own and have length 0; a null doc_id passes the first three
+stages like any other; repeated rows share their fate until the join, which leaves one of them; very long texts stay whole; further columns of documents pass through up to the packing; an
+empty table gives no rows.
+"""
 
 from __future__ import annotations
 

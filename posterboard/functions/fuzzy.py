@@ -37,13 +37,29 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text to a window of the longer; windows at the ends may be shorter."""
+    """The best ratio of the shorter text to a window of the longer; windows at the ends may be shorter.
+
+    A window that starts with a character the shorter text lacks is no better than the next one (at the left end, one that ends with such a character than the one before), so it isn't compared.
+    """
     short, long = sorted((a, b), key=len)
     n = len(short)
     if not n:
         return 0.0 if long else 100.0
-    windows = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
-    return max(ratio(short, w) for w in windows)
+    places: dict[str, int] = {}
+    for i, ch in enumerate(short):
+        places[ch] = places.get(ch, 0) | 1 << i
+    bits, full, best = [places.get(ch, 0) for ch in long], (1 << n) - 1, 0.0
+    for i in range(1 - n, len(long)):
+        start, end = max(0, i), min(i + n, len(long))
+        if not (bits[start] if i >= 0 else bits[end - 1]):
+            continue
+        row = full
+        for hit in bits[start:end]:
+            if hit:
+                both = row & hit
+                row = ((row + both) | (row - both)) & full
+        best = max(best, 200.0 * (n - row.bit_count()) / (n + end - start))
+    return best
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -61,7 +77,10 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def name_likeness(a: str, b: str) -> float | None:
-    return max(token_set_ratio(a, b), partial_ratio(a, b)) / 100 if a and b else None
+    if not a or not b:
+        return None
+    words = token_set_ratio(a, b)
+    return 1.0 if words == 100 else max(words, partial_ratio(a, b)) / 100
 
 
 def _likeness(a: Column, b: Column) -> Column:

@@ -53,7 +53,7 @@ def publish_summary(status: DataFrame) -> DataFrame:
 
 def object_names(rows: DataFrame, own_host: str) -> DataFrame:
     """fingerprint, flyer_url, object of images to mirror: known kinds, not local and not the site's own."""
-    kind = F.lower(F.regexp_extract("flyer_url", r"\.(jpe?g|png|gif|webp)(?:\?.*)?$", 1))
+    kind = F.lower(F.regexp_extract("flyer_url", r"(?i)\.(jpe?g|png|gif|webp)(?:\?.*)?$", 1))
     rows = rows.where(F.col("flyer_url").rlike(r"(?i)^https?://") & ~F.contains("flyer_url", F.lit(own_host)))
     return rows.withColumn("kind", kind).where("kind != ''").select("fingerprint", "flyer_url", F.concat_ws(".", "fingerprint", "kind").alias("object"))
 

@@ -10,10 +10,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, fuzzy, hashing
+from ..functions import dates, fuzzy, hashing, vocab
 from ..functions import text as T
-from ..operators import enrich, linkage, listing, memory, reconcile
-from ..sources import web
+from ..operators import enrich, linkage, listing, memory, publish, reconcile
+from ..sources import feeds, web
 from ..streaming import state
 
 AS_OF = dt.date(1999, 1, 1)
@@ -310,7 +310,7 @@ def page_blocks(spark, sf_dir):
     return rows.select("page_id", "b.heading", "b.link", F.length("b.text").alias("n_chars"), F.sha1(F.col("b.text").cast("binary")).alias("text_sha1"), "b.whole")
 
 
-_STRIP = "regexp_replace(" * 9 + "html" + "".join(f", '{p}', '{r}', 'g')" for p, r in (("<[^>]+>", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0?39;|&apos;|&#8217;", "''"), ("&nbsp;|&#160;", " "), ("&#8211;", "–"), ("&#0?38;|&amp;", "&"), (r"\s+", " ")))
+_STRIP = "regexp_replace(" * 11 + "html" + "".join(f", '{p}', '{r}', 'g')" for p, r in (("<[^>]+>", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&#0?39;|&apos;|&#8217;", "''"), ("&nbsp;|&#160;", " "), ("&#8211;", "–"), ("&#0?38;|&amp;?", "&"), (r"\s+", " ")))
 
 
 @query(f"SELECT page_id, sha1(trim({_STRIP})) AS text_sha1 FROM pages")
@@ -353,3 +353,150 @@ def display_ranges(spark, sf_dir):
 @query("SELECT doc_id, sha1(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS html_sha1 FROM documents")
 def escape_docs(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha1(T.escape_html(F.col("text")).cast("binary")).alias("html_sha1"))
+
+
+FEED_WORDS = vocab.Vocabulary(strong=["tournament"])
+
+
+def _bodies(rows: DataFrame, body) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return rows.select(F.concat(F.lit("http://feed.example/"), F.col("o_orderkey").cast("string")).alias("url"), body.alias("body"), none.alias("site_location"), F.lit("site").alias("site_tribe"), none.alias("hint"))
+
+
+@query("""SELECT 'Tournament, ' || o_orderpriority AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date,
+CASE WHEN o_orderkey % 4 > 0 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INTEGER) AS VARCHAR) END AS end_date, 'Hall; ' || o_custkey AS location, 'http://feed.example/' || o_orderkey AS source_url FROM orders""")
+def ics_feed(spark, sf_dir):
+    """Orders as iCal bodies with folded lines, parameters and escapes, read back."""
+    day = F.to_date("o_orderdate")
+    stamp = lambda d: F.date_format(d, "yyyyMMdd")
+    body = F.concat(
+        F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:Tournament\\, \r\n "), F.col("o_orderpriority"), F.lit("\r\nDTSTART;VALUE=DATE:"), stamp(day), F.lit("\r\nDTEND:"),
+        stamp(F.date_add(day, (F.col("o_orderkey") % 4).cast("int"))), F.lit("T120000\r\nDTSTART:20200101\r\nLOCATION:Hall\\; "), F.col("o_custkey").cast("string"),
+        F.lit("\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:Bingo\r\nDTSTART:20200101\r\nEND:VEVENT\r\nEND:VCALENDAR"))
+    with vocab.using(FEED_WORDS):
+        rows = feeds.from_ics(_bodies(_table(spark, sf_dir, "orders"), body))
+    return rows.select("title", _iso("start_date"), _iso("end_date"), "location", "source_url")
+
+
+@query("""SELECT 'Tournament & ' || o_orderpriority AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, 'Hall ' || o_custkey || ', WA' AS location, 'site' AS tribe, 'big prize' AS details,
+'http://i.example/' || o_orderkey || '.jpg' AS flyer_url, CASE WHEN o_orderkey % 2 = 0 THEN 'http://e.example/' || o_orderkey ELSE 'http://feed.example/' || o_orderkey END AS source_url FROM orders""")
+def json_feed(spark, sf_dir):
+    """Orders as event JSON, read back: entities decoded, the venue joined, the image an object or a text, off-topic events gone."""
+    k = F.col("o_orderkey").cast("string")
+    picture = F.concat(F.lit("http://i.example/"), k, F.lit(".jpg"))
+    image = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"url":"'), picture, F.lit('"}'))).otherwise(F.concat(F.lit('"'), picture, F.lit('"')))
+    url = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('"url":"http://e.example/'), k, F.lit('",'))).otherwise("")
+    body = F.concat(F.lit('{"events":[{"title":"Tournament &#038; '), F.col("o_orderpriority"), F.lit('",'), url, F.lit('"description":"<p>big <b>prize</b></p>","start_date":"'), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
+                    F.lit('","image":'), image, F.lit(',"venue":{"venue":"Hall '), F.col("o_custkey").cast("string"), F.lit('","city":"","state":"WA"}},{"title":"Bingo"}]}'))
+    with vocab.using(FEED_WORDS):
+        rows = feeds.from_event_json(_bodies(_table(spark, sf_dir, "orders"), body))
+    return rows.select("title", _iso("start_date"), "location", "tribe", "details", "flyer_url", "source_url")
+
+
+@query("""SELECT page_id, coalesce(nullif(concat_ws('; ', CASE WHEN page_id % 3 = 0 THEN 'title is missing' END, CASE WHEN page_id % 5 = 0 THEN 'start date is missing' END, CASE WHEN page_id % 4 = 1 THEN 'location is missing' END,
+CASE WHEN page_id % 5 > 0 AND page_id % 7 = 0 THEN 'ends before it starts' END, CASE WHEN NOT regexp_matches(url, '^(?i)https://[^/\\s]+/\\S+') THEN 'flyer is no https address with a path' END), ''), '') AS errors FROM pages""")
+def form_checks(spark, sf_dir):
+    k, day = F.col("page_id"), F.lit(AS_OF)
+    rows = _table(spark, sf_dir, "pages").select(
+        "page_id", F.when(k % 3 != 0, "x").otherwise(" ").alias("title"), F.when(k % 5 != 0, day).alias("start_date"), F.when(k % 4 != 1, "here").alias("location"),
+        F.when(k % 7 == 0, F.date_sub(day, 1)).otherwise(day).alias("end_date"), F.col("url").alias("flyer_url"))
+    return listing.form_errors(rows).select("page_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '^(?i)https?://') THEN url ELSE '' END AS safe, CASE WHEN page_id % 101 >= 75 THEN 'hi' WHEN page_id % 101 >= 50 THEN 'mid' ELSE 'lo' END AS badge FROM pages""")
+def safe_urls_and_badges(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", T.safe_url(F.col("url")).alias("safe"), T.confidence_badge(F.col("page_id") % 101).alias("badge"))
+
+
+@query("SELECT count(*) FILTER (event_type NOT IN ('view', 'click')) AS pending, count(*) FILTER (event_type = 'view') AS approved, count(*) FILTER (event_type = 'click') AS rejected FROM events")
+def review_tally(spark, sf_dir):
+    state_ = F.when(F.col("event_type") == "view", "approved").when(F.col("event_type") == "click", "rejected").otherwise(F.col("event_type"))
+    return listing.review_tally(_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), state_.alias("state")))
+
+
+@query(_L + """SELECT l.id, coalesce(u.approved, l.approved) AS approved FROM l LEFT JOIN (SELECT l_orderkey AS id, bool_or(l_returnflag = 'A') AS approved FROM lineitem GROUP BY 1) u ON l.id = u.id
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.id)""")
+def admin_changes(spark, sf_dir):
+    updates = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_returnflag") == "A").alias("approved"))
+    gone = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return publish.apply_admin(order_listings(spark, sf_dir), updates, gone).select("id", "approved")
+
+
+@query(_L + "SELECT id FROM l WHERE NOT (start_date < DATE '1999-01-01' - 900)")
+def ledger_prune(spark, sf_dir):
+    return memory.prune(order_listings(spark, sf_dir), AS_OF).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = o_orderkey)")
+def ledger_forget(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fingerprint"))
+    return memory.forget(rows, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fingerprint"))).select(F.col("fingerprint").alias("id"))
+
+
+@query("""WITH new AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS source, lang AS outcome FROM documents)
+SELECT CAST(coalesce(o.doc_id, n.doc_id) AS VARCHAR) AS fingerprint, coalesce(n.source, CASE WHEN o.doc_id IS NOT NULL THEN 'old' END) AS source, coalesce(n.outcome, CASE WHEN o.doc_id IS NOT NULL THEN 'queued' END) AS outcome,
+CASE WHEN o.doc_id IS NULL THEN '2026-08-12' ELSE '1999-01-01' END AS first_seen, CASE WHEN n.doc_id IS NULL THEN '1999-01-01' ELSE '2026-08-12' END AS last_seen
+FROM (SELECT DISTINCT doc_id FROM labels) o FULL JOIN new n ON o.doc_id = n.doc_id""")
+def ledger_upsert(spark, sf_dir):
+    """Labels as the ledger, documents as what is new: first_seen stays, blanks keep what was there, the outcome is replaced."""
+    none, then = F.lit(None).cast("string"), F.lit(dt.datetime(1999, 1, 1))
+    ledger = _table(spark, sf_dir, "labels").select("doc_id").distinct().select(
+        F.col("doc_id").cast("string").alias("fingerprint"), none.alias("title"), none.cast("date").alias("start_date"), none.alias("match_key"), none.alias("phash"), F.lit("old").alias("source"), none.alias("source_url"),
+        F.lit("queued").alias("outcome"), then.alias("first_seen"), then.alias("last_seen"))
+    new = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("fingerprint"), none.alias("title"), none.cast("date").alias("start_date"), none.alias("match_key"), none.alias("phash"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source"),
+        none.alias("source_url"), F.col("lang").alias("outcome"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return memory.record(ledger, new, STAMP).select("fingerprint", "source", "outcome", day("first_seen"), day("last_seen"))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || '|' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'customer ' || o_custkey END AS key FROM orders),
+g AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d') || '|customer ' || l_suppkey AS key FROM lineitem) SELECT id FROM k WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.key = k.key)""")
+def composite_key_antijoin(spark, sf_dir):
+    rows = order_listings(spark, sf_dir).select("id", hashing.match_key(F.col("start_date"), F.when(F.col("id") % 5 != 0, F.col("location"))).alias("match_key"))
+    ledger = _table(spark, sf_dir, "lineitem").select(hashing.match_key(F.to_date("l_shipdate"), F.concat(F.lit("Customer "), F.col("l_suppkey").cast("string"))).alias("match_key"))
+    return memory.unseen_key(rows, ledger).select("id")
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_custkey AS c, first_value(CAST(o_orderdate AS DATE)) OVER w AS fd, first_value(o_orderkey) OVER w AS fk FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+odd AS (SELECT * FROM f WHERE d <> fd) SELECT id AS ordinal, CAST(fd AS VARCHAR) AS other_date FROM odd UNION ALL SELECT fk, CAST(min(d) AS VARCHAR) FROM odd GROUP BY fk""")
+def image_twins(spark, sf_dir):
+    rows = order_listings(spark, sf_dir).select(F.col("id").alias("ordinal"), "start_date", F.col("location").alias("flyer_phash"), F.lit(1).alias("confidence"))
+    return linkage.image_twins(rows).select("ordinal", _iso("other_date"))
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS fingerprint, page_id || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS object FROM pages WHERE regexp_matches(url, '^(?i)https?://') AND NOT contains(url, 'example.org') AND page_id % 3 > 0""")
+def object_names(spark, sf_dir):
+    k = F.col("page_id")
+    kind = F.when(k % 3 == 0, ".exe").when(k % 2 == 0, ".JPG?x=1").otherwise(".png")
+    rows = _table(spark, sf_dir, "pages").select(k.cast("string").alias("fingerprint"), F.concat("url", F.lit("/f"), kind).alias("flyer_url"))
+    return publish.object_names(rows, "example.org").select("fingerprint", "object")
+
+
+@query(_L + "SELECT id, title, CAST(start_date AS VARCHAR) AS start_date FROM l WHERE id % 6 > 0")
+def insert_rows(spark, sf_dir):
+    """Only complete rows are published."""
+    rows = order_listings(spark, sf_dir).withColumns({"fingerprint": F.col("id"), "location": F.when(F.col("id") % 6 > 0, F.col("location")), "flyer_url": F.lit(None).cast("string")})
+    return publish.insert_rows(rows).select(F.col("fingerprint").alias("id"), "title", _iso("start_date"))
+
+
+@query("SELECT event_id AS key FROM events WHERE 1705000000000 - (epoch_us(ts) // 1000) < 43200000")
+def fresh_cache(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("fetched_ms"))
+    return state.fresh_cache(rows, 1705000000000).select("key")
+
+
+@query("""SELECT count(*) FILTER (a = 'added') AS added, count(*) FILTER (a = 'skipped') AS skipped, count(*) FILTER (a = 'vanished') AS vanished, count(*) FILTER (a = 'gone') AS gone FROM (
+SELECT CASE WHEN d.doc_id IS NULL THEN 'vanished' WHEN l.doc_id IS NOT NULL AND l.quality = d.n_chars % 2 THEN 'skipped' ELSE 'added' END AS a FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id)""")
+def inventory_summary(spark, sf_dir):
+    stamp = F.lit(STAMP)
+    manifest = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("long").alias("size"), F.lit(True).alias("in_bucket"), stamp.alias("first_backed_up"), stamp.alias("last_seen"), F.lit(None).cast("timestamp").alias("gone_since"))
+    return reconcile.summary(reconcile.reconcile(manifest, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), (F.col("n_chars") % 2).alias("size")), STAMP))
+
+
+@query("""SELECT count(*) AS collected, count(*) FILTER (d = 'past') AS past, count(*) FILTER (d = 'queued') AS queued, count(*) FILTER (d = 'seen') AS seen, count(*) FILTER (d = 'queued' AND doc_id % 2 = 0) AS needs_check
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'past' WHEN 1 THEN 'queued' ELSE 'seen' END AS d FROM documents)""")
+def run_statistics(spark, sf_dir):
+    k = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select("source", F.when(k % 3 == 0, "past").when(k % 3 == 1, "queued").otherwise("seen").alias("disposition"), F.array_repeat(F.lit("w"), F.when(k % 2 == 0, 1).otherwise(0)).alias("warnings"))
+    return enrich.run_statistics(rows).select("collected", "past", "queued", "seen", "needs_check")

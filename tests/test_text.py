@@ -128,3 +128,13 @@ def test_likeness():
         assert fuzzy.common_subsequence(a, b) == slow_lcs(a, b)
     assert fuzzy.token_set_ratio("labor day chess tournament", "chess tournament") == 100
     assert fuzzy.name_likeness("", "x") is None and fuzzy.ratio("abc", "abc") == 100
+
+
+def test_partial_ratio_is_every_window():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))) for _ in "ab")
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        want = max(fuzzy.ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(want), (a, b)
