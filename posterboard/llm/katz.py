@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, fresh_path, table, written
 
 ORDER = 3
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 1_200_000
 #: Ranges of a count table: one for so many characters of text, and so many at least.
 RANGE_CHARS = 32_000_000
 MIN_RANGES = 128
