@@ -37,6 +37,25 @@ def search(rows: DataFrame, query: str, columns=("title", "location", "tribe", "
     return rows.where(hit)
 
 
+def order(which: str) -> list[Column]:
+    """The total order of a view: upcoming by date, past the other way round, admin the newest first; undated rows come last in each."""
+    start, created = F.col("start_date"), F.col("created_at")
+    return {
+        "upcoming": [start.asc_nulls_last(), F.col("id").asc()], "past": [start.desc_nulls_last(), F.col("id").desc()], "admin": [created.desc_nulls_last(), F.col("id").desc()],
+    }[which]
+
+
+def ordered(rows: DataFrame, which: str) -> DataFrame:
+    return rows.orderBy(*order(which))
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by the columns of order (ascending, nulls first; further ties go by the other columns), all columns. Partial minima come before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    least = F.min(F.struct(*order, *rest)).alias("_row")
+    return rows.groupBy(*keys).agg(least).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+
+
 def page(rows: DataFrame, number: int, order: list[Column], size: int = PAGE_ROWS) -> DataFrame:
     """Page ``number`` (from 1) of rows in the given total order, as a limit and an offset: only the first pages' rows are ever sorted out."""
     return rows.orderBy(*order).limit(number * size).offset((number - 1) * size)
@@ -109,6 +128,12 @@ def mark_reported(listings: DataFrame, reported: DataFrame) -> DataFrame:
     return listings.join(mine, "id", "left").withColumn("reported_by_me", F.coalesce("reported_by_me", F.lit(False)))
 
 
+def review_state(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Adds state to rows (id): the latest of decisions (id, state, decided_at); pending where there is none, or one that isn't known. Decisions on rows that are gone are ignored."""
+    known = decisions.where(F.col("state").isin("approved", "rejected", "pending")).groupBy("id").agg(F.max_by("state", F.struct("decided_at", "state")).alias("_state"))
+    return rows.join(known, "id", "left").withColumn("state", F.coalesce("_state", F.lit("pending"))).drop("_state").select(*[c for c in rows.columns if c != "state"], "state")
+
+
 def review_tally(decisions: DataFrame) -> DataFrame:
     """decisions: id, state. Counts of pending, approved, rejected; an unknown state is pending."""
     state = F.when(F.col("state").isin("approved", "rejected"), F.col("state")).otherwise("pending")

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+import warnings
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..schemas import LEDGER
 
 NEAR_BITS = 12
 KEEP_DAYS = 900
+#: The file that names the version of a saved ledger that counts.
+CURRENT = "CURRENT"
 
 
 def unseen(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -52,6 +59,26 @@ def near_hash_short(left: DataFrame, right: DataFrame, key: str, other: str, has
     return pairs.select(key, other, "bits").distinct()
 
 
+def near_hash_any(left: DataFrame, right: DataFrame, key: str, other: str, hash_col: str, max_bits: int = NEAR_BITS) -> DataFrame:
+    """As near_hash_pairs, for hashes of any other length than 64 digits; only hashes of one length meet. The bits are cut into max_bits + 1 bands, whatever their number.
+
+    Hashes of so few bits that a band is empty all meet.
+    """
+    n = max_bits + 1
+
+    def banded(df: DataFrame, c: str, name: str) -> DataFrame:
+        df = df.where(F.col(hash_col).rlike("^[0-9a-fA-F]+$") & (F.length(hash_col) != 64)).select(c, F.col(hash_col).alias(name), F.length(hash_col).alias("_digits"))
+        words = F.array_join(F.transform(F.split(name, "(?!$)"), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+        df = df.withColumn("_bin", words)
+        cut = lambda k: F.floor(F.col("_digits") * 4 * k / n).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("k"), F.substr("_bin", cut(k) + 1, cut(k + 1) - cut(k)).alias("bits")))
+        return df.select(c, name, "_digits", F.col("_bin").alias(f"{name}_bin"), F.explode(parts).alias("band"))
+
+    pairs = banded(left, key, "_l").join(banded(right, other, "_r"), ["_digits", "band"]).select(key, other, "_l_bin", "_r_bin").distinct()
+    differ = F.aggregate(F.zip_with(F.split("_l_bin", ""), F.split("_r_bin", ""), lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+    return pairs.withColumn("bits", differ).where(F.col("bits") <= max_bits).select(key, other, "bits")
+
+
 def judge_image_twins(rows: DataFrame, ledger: DataFrame, max_bits: int = NEAR_BITS) -> DataFrame:
     """Adds twin_date and image_verdict to rows (fingerprint, flyer_phash, start_date, warnings): drop, warn or none.
 
@@ -59,8 +86,7 @@ def judge_image_twins(rows: DataFrame, ledger: DataFrame, max_bits: int = NEAR_B
     """
     known = ledger.where("phash IS NOT NULL").select(F.col("fingerprint").alias("twin"), F.col("phash").alias("flyer_phash"))
     pairs = near_hash_pairs(rows.select("fingerprint", "flyer_phash"), known, "fingerprint", "twin", "flyer_phash", max_bits)
-    for digits in (8, 16):
-        pairs = pairs.unionByName(near_hash_short(rows.select("fingerprint", "flyer_phash"), known, "fingerprint", "twin", "flyer_phash", min(max_bits, digits * 4 - 1), digits))
+    pairs = pairs.unionByName(near_hash_any(rows.select("fingerprint", "flyer_phash"), known, "fingerprint", "twin", "flyer_phash", max_bits))
     twin = pairs.groupBy("fingerprint").agg(F.min("twin").alias("twin"))
     dates = ledger.select(F.col("fingerprint").alias("twin"), F.col("start_date").alias("twin_date"))
     out = rows.join(twin.join(dates, "twin", "left"), "fingerprint", "left")
@@ -100,3 +126,49 @@ def outcome_histogram(ledger: DataFrame) -> DataFrame:
 
 def most_recent(ledger: DataFrame, k: int = 15) -> DataFrame:
     return ledger.orderBy(F.desc("last_seen"), "fingerprint").limit(k)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def save(ledger: DataFrame, folder: str) -> str:
+    """Writes the ledger as a new version in folder, and only then makes it the current one, by a rename. Earlier versions stay, so a plan that reads one still can. Returns the version."""
+    spark, version = ledger.sparkSession, f"v-{uuid.uuid4().hex}"
+    ledger.write.parquet(f"{folder}/{version}")
+    at, fs = _folder(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    new, current = path(at, f".current-{version}"), path(at, CURRENT)
+    out = fs.create(new, True)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(current), overwrite)
+    return version
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The current ledger; an empty one where none was saved, or where what was saved can't be read (every file's columns are looked at, and a warning says so)."""
+    empty = spark.createDataFrame([], LEDGER)
+    at, fs = _folder(spark, folder)
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, CURRENT)):
+        return empty
+    try:
+        version = spark.read.text(f"{folder}/{CURRENT}", wholetext=True).first()[0].strip()
+        found = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{version}")  # reads each file's footer
+        return found.select(*[F.col(c).cast(kind) for c, kind in (x.split(" ") for x in LEDGER.split(", "))])
+    except (PySparkException, Py4JJavaError, TypeError) as e:
+        warnings.warn(f"the ledger at {folder} can't be read, starting empty: {str(e)[:200]}", stacklevel=2)
+        return empty
+
+
+def from_json_text(texts: DataFrame) -> DataFrame:
+    """texts: text, each a whole ledger as JSON: {"entries": {fingerprint: fields}}. One that doesn't parse has no entries; fields that aren't known are ignored."""
+    kinds = [x.split(" ") for x in LEDGER.split(", ")][1:]
+    fields = ",".join(f"{c}:{'string' if kind in ('date', 'timestamp') else kind}" for c, kind in kinds)
+    rows = texts.select(F.explode(F.from_json("text", f"entries map<string,struct<{fields}>>").entries).alias("fingerprint", "e"))
+    cast = {"date": lambda c: F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), "yyyy-MM-dd"), "timestamp": lambda c: F.try_to_timestamp(c)}
+    return rows.select("fingerprint", *[cast.get(kind, lambda c: c)(F.col(f"e.{c}")).alias(c) for c, kind in kinds])

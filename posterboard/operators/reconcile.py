@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,34 @@ def reconcile(manifest: DataFrame, bucket: DataFrame, stamp: dt.datetime) -> Dat
 
 
 def summary(reconciled: DataFrame) -> DataFrame:
-    return reconciled.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("added", "skipped", "vanished", "gone")])
+    return reconciled.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("added", "skipped", "vanished", "gone", "failed")])
 
 
 def to_copy(reconciled: DataFrame) -> DataFrame:
     """Names whose bytes the append-only backup lacks; nothing is ever deleted from it."""
     return reconciled.where("action = 'added'").select("name", "size")
+
+
+def back_up(reconciled: DataFrame, copy: Callable[[str], None]) -> DataFrame:
+    """Calls copy(name) in the tasks for each name that the backup lacks; returns name, status (added or failed), error. A bad object fails alone; copy may be called twice for a name."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name in pdf["name"]:
+                try:
+                    copy(name)
+                    out.append((name, "added", None))
+                except Exception as e:  # noqa: BLE001  the others go on
+                    out.append((name, "failed", str(e)[:500]))
+            yield pd.DataFrame(out, columns=["name", "status", "error"])
+
+    return to_copy(reconciled).select("name").mapInPandas(run, "name string, status string, error string")
+
+
+def settle(reconciled: DataFrame, copied: DataFrame) -> DataFrame:
+    """The manifest after a backup: what couldn't be copied has the action failed and isn't held, so that the next run tries it again. copied: the rows of back_up, written."""
+    failed = copied.where("status = 'failed'").select("name").distinct().withColumn("_failed", F.lit(True))
+    out = reconciled.join(failed, "name", "left")
+    bad = F.coalesce("_failed", F.lit(False))
+    return out.withColumn("action", F.when(bad, "failed").otherwise(F.col("action"))).withColumn("first_backed_up", F.when(~bad, F.col("first_backed_up"))).select(*reconciled.columns)

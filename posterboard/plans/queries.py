@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, fuzzy, hashing, vocab
 from ..functions import text as T
 from ..operators import enrich, linkage, listing, memory, publish, reconcile
-from ..sources import feeds, web
+from ..sources import feeds, inbox, web
 from ..streaming import state
 
 AS_OF = dt.date(1999, 1, 1)
@@ -491,7 +491,7 @@ SELECT CASE WHEN d.doc_id IS NULL THEN 'vanished' WHEN l.doc_id IS NOT NULL AND
 def inventory_summary(spark, sf_dir):
     stamp = F.lit(STAMP)
     manifest = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("long").alias("size"), F.lit(True).alias("in_bucket"), stamp.alias("first_backed_up"), stamp.alias("last_seen"), F.lit(None).cast("timestamp").alias("gone_since"))
-    return reconcile.summary(reconcile.reconcile(manifest, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), (F.col("n_chars") % 2).alias("size")), STAMP))
+    return reconcile.summary(reconcile.reconcile(manifest, _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), (F.col("n_chars") % 2).alias("size")), STAMP)).select("added", "skipped", "vanished", "gone")
 
 
 @query("""SELECT count(*) AS collected, count(*) FILTER (d = 'past') AS past, count(*) FILTER (d = 'queued') AS queued, count(*) FILTER (d = 'seen') AS seen, count(*) FILTER (d = 'queued' AND doc_id % 2 = 0) AS needs_check
@@ -500,3 +500,155 @@ def run_statistics(spark, sf_dir):
     k = F.col("doc_id")
     rows = _table(spark, sf_dir, "documents").select("source", F.when(k % 3 == 0, "past").when(k % 3 == 1, "queued").otherwise("seen").alias("disposition"), F.array_repeat(F.lit("w"), F.when(k % 2 == 0, 1).otherwise(0)).alias("warnings"))
     return enrich.run_statistics(rows).select("collected", "past", "queued", "seen", "needs_check")
+
+
+@query(_L + """SELECT id, tribe, ((row_number() OVER (PARTITION BY tribe ORDER BY start_date DESC NULLS LAST, id DESC) - 1) // 50 + 1)::INT AS page FROM l WHERE report_count < 3 AND (start_date IS NULL OR start_date < DATE '1999-01-01')""")
+def past_pages(spark, sf_dir):
+    """The past listing the other way round: the page of each row within its group."""
+    rows = listing.past(listing.visible(order_listings(spark, sf_dir)), AS_OF)
+    return listing.page_numbers(rows, ["tribe"], listing.order("past"), 50).select("id", "tribe", "page")
+
+
+@query("""SELECT o_orderkey AS id, ((row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey DESC) - 1) // 3 + 1)::INT AS page FROM orders""")
+def admin_pages(spark, sf_dir):
+    """The administrator's order, the newest first, per customer."""
+    rows = order_listings(spark, sf_dir).withColumn("created_at", F.col("start_date").cast("timestamp"))
+    return listing.page_numbers(rows, ["location"], listing.order("admin")).select("id", "page")
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber) AS n FROM lineitem) WHERE n = 1""")
+def first_shipped(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.to_date("l_shipdate").alias("shipped"))
+    return listing.first_of(rows, ["id"], ["shipped", "line"]).select("id", "line", _iso("shipped"))
+
+
+@query("""SELECT o_orderkey AS id, coalesce(CASE d.last.f WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' END, 'pending') AS state FROM orders LEFT JOIN (
+SELECT l_orderkey, max({'n': l_linenumber, 'f': l_returnflag}) AS last FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1) d ON l_orderkey = o_orderkey""")
+def review_states(spark, sf_dir):
+    """Lines as decisions: the last that is known counts."""
+    flag = F.col("l_returnflag")
+    decisions = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(flag == "A", "approved").when(flag == "R", "rejected").otherwise("later").alias("state"), F.col("l_linenumber").alias("decided_at"))
+    return listing.review_state(order_listings(spark, sf_dir).select("id"), decisions)
+
+
+@query("""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'order ' || o_orderkey ELSE 'Order: ' || o_orderpriority END AS title, CASE WHEN o_orderkey % 3 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_date,
+CASE WHEN o_orderkey % 3 > 0 THEN 'Customer ' || o_custkey END AS location, o_orderkey % 3 = 0 AS title_provisional, 'local:///in/order_' || o_orderkey || '.JPG' AS flyer_url,
+CASE WHEN o_orderkey % 3 > 0 THEN 'title,start_date,location' ELSE '' END AS manual FROM orders""")
+def inbox_images(spark, sf_dir):
+    """Orders as images with notes, two of three; a key that stands twice goes by its last line."""
+    k = F.col("o_orderkey").cast("string")
+    orders = _table(spark, sf_dir, "orders")
+    files = orders.select(F.explode(F.array(F.concat(F.lit("/in/order_"), k, F.lit(".JPG")), F.concat(F.lit("/in/order_"), k, F.lit(".pdf")))).alias("path"))
+    text = F.concat(F.lit("title: none\nTitle: Order: "), F.col("o_orderpriority"), F.lit("\nno field\nlocation:\nDATE: "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("\nlocation: Customer "), F.col("o_custkey").cast("string"))
+    notes = orders.where("o_orderkey % 3 > 0").select(F.concat(F.lit("/in/order_"), k, F.lit(".txt")).alias("path"), text.alias("text"))
+    rows = inbox.from_images(files, notes, AS_OF)
+    return rows.select("title", _iso("start_date"), "location", "title_provisional", "flyer_url", F.array_join("manual_fields", ",").alias("manual"))
+
+
+@query("""SELECT 'https://x.example/' || o_orderkey || CASE WHEN o_orderkey % 3 = 1 THEN '.png?v=1' ELSE '' END AS source_url,
+CASE WHEN o_orderkey % 2 = 0 THEN 'note ' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'Flyer from pasted link' ELSE 'https://x.example/' || o_orderkey END AS title,
+CASE WHEN o_orderkey % 3 = 1 THEN 40 ELSE 15 END AS confidence, CASE WHEN o_orderkey % 3 = 1 THEN 0 ELSE 1 END AS n_warnings FROM orders WHERE o_orderkey % 3 > 0
+UNION ALL SELECT 'https://x.example/' || o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'note ' || o_custkey ELSE 'Tournament of ' || o_orderkey END, 35, 0 FROM orders WHERE o_orderkey % 3 = 0""")
+def inbox_links(spark, sf_dir):
+    """Orders as pasted links: images, pages that were fetched and pages that weren't, half of them with a note."""
+    k = F.col("o_orderkey")
+    url = F.concat(F.lit("https://x.example/"), k.cast("string"), F.when(k % 3 == 1, ".png?v=1").otherwise(""))
+    orders = _table(spark, sf_dir, "orders")
+    lines = orders.select(F.explode(F.array(F.concat(F.lit(" "), url, F.when(k % 2 == 0, F.concat(F.lit(" note "), F.col("o_custkey").cast("string"))).otherwise("")), F.concat(F.lit("# "), url), F.lit(""))).alias("line"))
+    pages = orders.where("o_orderkey % 3 = 0").select(url.alias("url"), F.concat(F.lit("<h1>Tournament of "), k.cast("string"), F.lit("</h1><p>welcome</p>")).alias("html"))
+    with vocab.using(FEED_WORDS):
+        return inbox.from_links(lines, pages, AS_OF).select("source_url", "title", F.col("confidence").cast("int").alias("confidence"), F.size("warnings").alias("n_warnings"))
+
+
+def _event_page(title, day):
+    return F.concat(F.lit('<script type="application/ld+json">{"@type":"Event","name":"'), title, F.lit('","startDate":"'), F.date_format(day, "yyyy-MM-dd"), F.lit('T10:00"}</script>'))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, 'Tournament ' || o_custkey AS t FROM orders)
+SELECT 'https://s' || k || '.example/' AS source_url, t AS title, d AS start_date, 'Town ' || k AS location FROM o WHERE k % 2 = 0
+UNION ALL SELECT 'https://s' || k || '.example/events', t || ' deep', d, 'Town ' || k FROM o WHERE k % 3 > 0""")
+def site_scan(spark, sf_dir):
+    """Orders as sites, half with an event on the front page, all with a link to a page of events that was fetched for two of three."""
+    k = F.col("o_orderkey")
+    title, root = F.concat(F.lit("Tournament "), F.col("o_custkey").cast("string")), F.concat(F.lit("https://s"), k.cast("string"), F.lit(".example/"))
+    none = F.lit(None).cast("string")
+    orders = _table(spark, sf_dir, "orders")
+    front = F.concat(F.lit('<a href="/events">Calendar of events</a>'), F.when(k % 2 == 0, _event_page(title, F.col("o_orderdate"))).otherwise(""))
+    sites = orders.select(root.alias("url"), front.alias("html"), F.concat(F.lit("Town "), k.cast("string")).alias("site_location"), none.alias("site_tribe"), none.alias("hint"), F.lit(True).alias("follow"))
+    fetched = orders.where("o_orderkey % 3 > 0").select(F.concat(root, F.lit("events")).alias("url"), _event_page(F.concat(title, F.lit(" deep")), F.col("o_orderdate")).alias("html"))
+    with vocab.using(FEED_WORDS):
+        rows = web.scan_sites(sites, fetched, AS_OF).where("confidence = 85")  # the structured ones
+    return rows.select("source_url", "title", _iso("start_date"), "location")
+
+
+@query("""SELECT 'https://s' || o_orderkey || '.example/' AS source_url, 'Tournament ' || o_custkey AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, CASE WHEN o_orderkey % 2 = 0 THEN 80 ELSE 50 END AS confidence FROM orders""")
+def search_found(spark, sf_dir):
+    """Orders as pages that a search found: half with a structured event, half as text."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    title = F.concat(F.lit("Tournament "), F.col("o_custkey").cast("string"))
+    text = F.concat(F.lit("<nav>menu</nav><h1>"), title, F.lit("</h1><p>tournament on "), F.date_format(day, "MMMM d, yyyy"), F.lit("</p>"))
+    pages = _table(spark, sf_dir, "orders").select(F.concat(F.lit("https://s"), k.cast("string"), F.lit(".example/")).alias("url"), F.when(k % 2 == 0, _event_page(title, day)).otherwise(text).alias("html"), F.lit("s").alias("snippet"))
+    with vocab.using(FEED_WORDS):
+        return web.from_search_pages(pages, AS_OF).select("source_url", "title", _iso("start_date"), F.col("confidence").cast("int").alias("confidence"))
+
+
+@query("""WITH h AS (SELECT 'https://' || lang || '.example/' || (doc_id // 2) AS url, doc_id, lang FROM documents), f AS (SELECT url, min(doc_id) AS pos FROM h WHERE lang <> 'de' GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY pos, url))::INT AS rank, url FROM f ORDER BY pos, url LIMIT 40""")
+def search_to_read(spark, sf_dir):
+    """Documents as hits of one query: distinct addresses, one host left out, and the 40 that a run reads."""
+    hits = _table(spark, sf_dir, "documents").select(F.lit("events 2026").alias("query"), F.col("doc_id").alias("at"), F.concat(F.lit("https://"), "lang", F.lit(".example/"), F.floor(F.col("doc_id") / 2).cast("string")).alias("url"), F.lit("tournament").alias("snippet"))
+    with vocab.using(FEED_WORDS):
+        return feeds.search_pages(["events {year}"], [2026], hits, spark.createDataFrame([("de.example",)], "host string")).select("rank", "url")
+
+
+_BITS = "SELECT vec_id, list_reduce(list_transform(embedding[1:24], lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS UBIGINT) << (24 - i) ELSE CAST(0 AS UBIGINT) END), lambda a, b: a + b) AS h FROM embeddings"
+
+
+@query(f"WITH s AS ({_BITS}) SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS bits FROM s a JOIN s b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 1")
+def near_hash_six_digits(spark, sf_dir):
+    """The signs of 24 places of a vector as a hash of six digits; pairs at most a bit apart."""
+    digit = lambda k: F.conv(F.array_join(F.transform(F.slice("embedding", 4 * k + 1, 4), lambda x: F.when(x > 0, "1").otherwise("0")), ""), 2, 16)
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.concat(*[digit(k) for k in range(6)]).alias("h"))
+    pairs = memory.near_hash_any(rows.withColumnRenamed("vec_id", "a"), rows.withColumnRenamed("vec_id", "b"), "a", "b", "h", max_bits=1)
+    return pairs.where("a < b").select("a", "b", F.col("bits").cast("long").alias("bits"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS fingerprint, source AS title FROM documents")
+def review_pages(spark, sf_dir):
+    """Documents as a queue in pages, and the rows read back out of the pages' data."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("fingerprint"), F.concat(F.col("source"), F.lit("</script>")).alias("title"))
+    pages = publish.review_pages(rows, [F.col("fingerprint")])
+    data = F.regexp_extract("html", '(?s)id="data">(.*?)</script>', 1)
+    events = pages.select(F.explode(F.from_json(data, "events array<struct<fingerprint:string,title:string>>").events).alias("e"))
+    return events.select("e.fingerprint", F.replace("e.title", F.lit("</script>"), F.lit("")).alias("title"))
+
+
+@query("""SELECT count(*) FILTER (o_orderkey % 7 > 0) AS added, count(*) FILTER (o_orderkey % 7 = 0) AS failed, count(*) FILTER (o_orderkey % 2 = 0) AS mirrored FROM orders""")
+def publish_counts(spark, sf_dir):
+    """Orders published through a site that refuses every seventh; images of every other one are mirrored."""
+
+    def send(row, approved):
+        if int(row["fingerprint"]) % 7 == 0:
+            raise ValueError("refused")
+
+    def mirror(row):
+        return "https://own.example/x" if int(row["fingerprint"]) % 2 == 0 else None
+
+    rows = order_listings(spark, sf_dir).withColumns({"fingerprint": F.col("id").cast("string"), "flyer_url": F.lit("https://x.example/a.png")})
+    status = publish.publish(rows, send, mirror=mirror)
+    return publish.publish_summary(status)
+
+
+@query("""SELECT count(*) FILTER (l.doc_id IS NULL AND d.doc_id % 5 > 0) AS added, count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS skipped, count(*) FILTER (d.doc_id IS NULL) AS vanished, count(*) FILTER (l.doc_id IS NULL AND d.doc_id % 5 = 0) AS failed
+FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+def backup_counts(spark, sf_dir):
+    """Documents as a bucket, labels as what is held of it; every fifth object can't be copied."""
+    stamp = F.lit(STAMP)
+    manifest = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("name")).distinct().select("name", F.lit(1).cast("long").alias("size"), F.lit(True).alias("in_bucket"), stamp.alias("first_backed_up"), stamp.alias("last_seen"), F.lit(None).cast("timestamp").alias("gone_since"))
+
+    def copy(name):
+        if int(name) % 5 == 0:
+            raise OSError("no copy")
+
+    found = reconcile.reconcile(manifest, _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.lit(1).cast("long").alias("size")), STAMP)
+    return reconcile.summary(reconcile.settle(found, reconcile.back_up(found, copy))).select("added", "skipped", "vanished", "failed")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -84,6 +87,32 @@ def from_posts(bodies: DataFrame, as_of, least: int = 5) -> DataFrame:
     )
 
 
+def with_site(bodies: DataFrame, sites: DataFrame) -> DataFrame:
+    """bodies (site, ...) with the fields of its source: site_location, site_tribe, hint, null where the source isn't known. sites has a row per site."""
+    return bodies.join(sites.select("site", "site_location", "site_tribe", "hint"), "site", "left")
+
+
+def forum_requests(forums: list[str], queries: list[str], spark: SparkSession) -> DataFrame:
+    """forum, query: what is to be asked, each forum with each query. Both are lists of a configuration."""
+    return spark.createDataFrame(list(product(forums, queries)), "forum string, query string")
+
+
+def search_pages(templates: list[str], years: list[int], hits: DataFrame, skip_hosts: DataFrame, least: int = 5, k: int = 40) -> DataFrame:
+    """hits: query, at, url, snippet. The first k urls to be read, with their snippets, by template, year and place among the hits: rank, url, snippet.
+
+    The host isn't skipped and the snippet is on topic. k is the number of pages that one run reads.
+    """
+    asked = {t.format(year=y): i for i, (t, y) in enumerate(product(templates, years))}
+    if not asked:
+        return hits.select(F.lit(0).alias("rank"), "url", "snippet").limit(0)
+    place = F.try_element_at(F.create_map(*[F.lit(x) for pair in asked.items() for x in pair]), F.col("query"))
+    rows = hits.withColumn("_place", place).where("_place IS NOT NULL AND url != ''")
+    rows = rows.withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))).join(skip_hosts.select("host").distinct(), "host", "left_anti")
+    rows = rows.where(T.topic_tenths(F.col("snippet")) >= least).groupBy("url").agg(F.min(F.struct("_place", "at", "snippet")).alias("f"))
+    rows = rows.select("url", "f._place", "f.at", "f.snippet").orderBy("_place", "at", "url").limit(k)
+    return rows.select(F.row_number().over(Window.orderBy("_place", "at", "url")).alias("rank"), "url", "snippet")  # k rows at most
+
+
 def search_urls(templates: DataFrame, years: list[int], hits: DataFrame, skip_hosts: DataFrame, least: int = 5) -> DataFrame:
     """hits: query, url, snippet. Distinct urls of the queries (each template with each year) whose host isn't skipped and whose snippet is on topic."""
     asked = templates.select(F.explode(F.array(*[F.format_string(f"%s {y}", "template") for y in years])).alias("query"))

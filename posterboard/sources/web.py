@@ -167,9 +167,22 @@ def parse_jsonld(html: Column) -> Column:
     return _arrays(jsonld_events, ["title", "start", "end", "location", "image", "description", "url"], NODE)(html)
 
 
-def parse_blocks(html: Column) -> Column:
+def whole_page(html: str | None) -> list[tuple]:
+    """As html_blocks, of the page itself, whatever containers it has."""
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.close()
+    b = parser.page
+    return [("\n".join(b["text"]), " ".join(b["heading"]) or None, b["link"], b["images"][:MAX_IMAGES], True)]
+
+
+def parse_page(html: Column) -> Column:
+    return parse_blocks(html, whole_page)
+
+
+def parse_blocks(html: Column, find=html_blocks) -> Column:
     image = lambda i: dict(zip(("src", "alt", "class", "width", "height"), i, strict=True))
-    blocks = lambda p: [(t, h, l, [image(i) for i in images], w) for t, h, l, images, w in html_blocks(p)]
+    blocks = lambda p: [(t, h, l, [image(i) for i in images], w) for t, h, l, images, w in find(p)]
     return _arrays(blocks, ["text", "heading", "link", "images", "whole"], BLOCK)(html)
 
 
@@ -256,3 +269,47 @@ def from_html(pages: DataFrame, as_of: dt.date, least: int = 5) -> DataFrame:
         F.coalesce(T.find_contact(F.col("text")), T.snippet(F.col("text"))).alias("details"), "flyer_url", F.when(own, F.col("to")).otherwise(F.col("url")).alias("source_url"),
         F.lit("structured").alias("extraction"), F.substr("text", F.lit(1), F.lit(3000)).alias("raw_text"), F.col("d.warnings").alias("warnings"),
     )
+
+
+def scan_sites(sites: DataFrame, fetched: DataFrame, as_of: dt.date, k: int = 25, least: int = 5) -> DataFrame:
+    """sites: url, html, site_location, site_tribe, hint, follow (null: yes); fetched: url, html of linked pages. The records of each site's page and of its k best links, one level deep.
+
+    A linked page goes by the fields of the site that links to it; one that wasn't fetched gives nothing.
+    """
+    site = ("site_location", "site_tribe", "hint")
+    front = sites.where("html != ''").withColumn("page_id", F.col("url"))
+    links = promising_links(front.where(F.coalesce("follow", F.lit(True))), k).select(F.col("page_id").alias("_site"), F.col("link").alias("url"))
+    pages = fetched.where("html != ''").groupBy("url").agg(F.min("html").alias("html"))
+    deeper = links.join(pages, "url").join(sites.select(F.col("url").alias("_site"), *site), "_site")
+    every = front.select("url", "html", *site).unionByName(deeper.select("url", "html", *site))
+    return from_jsonld(every, least).withColumn("confidence", F.lit(85)).unionByName(from_html(every, as_of, least).withColumn("confidence", F.when(F.col("start_date").isNotNull(), 60).otherwise(30)), allowMissingColumns=True)
+
+
+#: The confidence, in hundredths, above which nothing goes that a search found.
+SEARCH_CAP = 80
+
+
+def from_search_pages(pages: DataFrame, as_of: dt.date, least: int = 5) -> DataFrame:
+    """pages: url (distinct), html, snippet. The structured events of each page, or, where there are none, the page as a whole if it is on topic and has a date or an image."""
+    none = F.lit(None).cast("string")
+    rows = pages.where("html != ''").withColumns({"site_location": none, "site_tribe": none, "hint": none})
+    # the parser runs once: a page's events stay beside it
+    rows = rows.withColumn("_nodes", F.when(F.contains("html", F.lit("ld+json")), F.col("html"))).withColumn("_nodes", F.when(F.col("_nodes").isNotNull(), parse_jsonld(F.col("_nodes"))))
+    on_topic = F.filter("_nodes", lambda n: T.topic_tenths(F.concat_ws(" ", n.title, n.description)) >= least)
+    rows = rows.withColumn("_nodes", F.coalesce(on_topic, F.array().cast(f"array<{NODE}>")))
+    n = lambda f: F.col(f"n.{f}")
+    structured = rows.withColumn("n", F.explode("_nodes")).select(
+        F.coalesce(n("title"), F.lit("")).alias("title"), T.iso_prefix_date(n("start")).alias("start_date"), T.iso_prefix_date(n("end")).alias("end_date"), n("location").alias("location"),
+        T.find_tribe(F.concat_ws(" ", n("title"), n("description"))).alias("tribe"), n("description").alias("details"), n("image").alias("flyer_url"), F.coalesce(n("url"), "url").alias("source_url"),
+        F.lit("structured").alias("extraction"), F.lit(SEARCH_CAP).alias("confidence"), n("description").alias("raw_text"), F.array().cast("array<string>").alias("warnings"),
+    )
+    whole = rows.where((F.size("_nodes") == 0) & (T.topic_tenths(F.regexp_replace("html", "<[^>]+>", " ")) >= least))  # before the page is parsed
+    whole = whole.withColumn("_page", F.try_element_at(parse_page(F.col("html")), F.lit(1))).withColumn("text", F.col("_page.text")).where(T.topic_tenths(F.col("text")) >= least)
+    whole = whole.withColumn("d", find_dates(F.col("text"), as_of))
+    whole = whole.withColumn("flyer_url", url_join(F.col("url"), best_image(F.col("_page.images")))).where("d.start IS NOT NULL OR flyer_url IS NOT NULL")
+    heading = F.nullif(T.strip_html(F.regexp_extract("html", r"(?is)<h[12]\b[^>]*>(.*?)</h[12]>", 1)), F.lit(""))
+    return structured.unionByName(whole.select(
+        F.coalesce(heading, T.guess_title(F.col("text")), F.substr("snippet", F.lit(1), F.lit(80))).alias("title"), F.col("d.start").alias("start_date"), F.col("d.end").alias("end_date"),
+        T.find_location(F.col("text")).alias("location"), T.find_tribe(F.col("text")).alias("tribe"), T.find_contact(F.col("text")).alias("details"), "flyer_url", F.col("url").alias("source_url"),
+        F.lit("structured").alias("extraction"), F.when(F.col("d.start").isNotNull(), 50).otherwise(25).alias("confidence"), F.substr("text", F.lit(1), F.lit(3000)).alias("raw_text"), F.col("d.warnings").alias("warnings"),
+    ))
