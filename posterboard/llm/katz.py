@@ -274,6 +274,16 @@ class Chunk:
                 yield r, slice(cut[r], cut[r + 1])
 
 
+def _sums(group: np.ndarray, value: np.ndarray, m: int) -> np.ndarray:
+    return np.bincount(group, weights=value.astype(np.float64), minlength=m).astype(np.int64)
+
+
+def _tally(group: np.ndarray, count: np.ndarray, m: int) -> np.ndarray:
+    """Of each of m groups, how many counts are 1, 2, ... CUT: a row per group."""
+    low = count <= CUT
+    return np.bincount(group[low] * CUT + count[low] - 1, minlength=m * CUT).reshape(m, CUT)
+
+
 @dataclass
 class Histories:
     """Of each history of a level: its tokens N, how many types follow it once, twice, ... CUT times; and the same of these types' counts one level below."""
@@ -294,12 +304,15 @@ class Histories:
             self.n[at, r], self.below[at, r] = columns[1 + r], columns[1 + CUT + r]
             self.total[at] += (r + 1) * self.n[at, r]
 
-    def fill_single(self, hist: np.ndarray, lower: np.ndarray) -> None:
-        """hist, lower: of seen n-grams. Where one is all that follows its history, its count one level below is what the answer left out."""
-        single = (self.n.sum(axis=1) == 1) & (self.total == (self.n * np.arange(1, CUT + 1)).sum(axis=1))
-        hist, lower = hist[single[hist]], lower[single[hist]]
-        self.below[hist] = lower[:, None] == np.arange(1, CUT + 1)
-        self.below_beyond[hist] = np.where(lower > CUT, lower, 0)
+    def fill_complete(self, hist: np.ndarray, count: np.ndarray, lower: np.ndarray) -> None:
+        """hist, count, lower: of seen n-grams. Of a history for which the answer says nothing they are all that follows it (or nothing does), so they say it."""
+        told = self.total[hist] > 0
+        hist, count, lower = hist[~told], count[~told], lower[~told]
+        m = len(self.total)
+        self.total += _sums(hist, count, m)
+        self.n += _tally(hist, count, m)
+        self.below += _tally(hist, lower, m)
+        self.below_beyond += _sums(hist[lower > CUT], lower[lower > CUT], m)
 
 
 #: Numbers of a history in an answer.
@@ -370,23 +383,19 @@ def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     counts = np.bincount(kind, weights=count.astype(np.float64)).astype(np.int64)
     seen = counts > 0
     th, tlower, c = h[kind_first][seen], lower[of_suffix[kind_first]][seen], counts[seen]
-    tally = lambda which: np.bincount(th[which], minlength=m)
-    single = (np.bincount(th, minlength=m) == 1) & (np.bincount(th[c <= CUT], minlength=m) == 1)
-    large = tlower > CUT
-    beyond = np.bincount(th[large], weights=tlower[large].astype(np.float64), minlength=m).astype(np.int64)
-    tokens_beyond = np.bincount(th[c > CUT], weights=c[c > CUT].astype(np.float64), minlength=m).astype(np.int64)
-    facts = [tokens_beyond, *(tally(c == r) for r in range(1, CUT + 1)), *(tally(tlower == r) for r in range(1, CUT + 1)), beyond]
-    of_gram, rows, b, known = counts[kind], [], 0, np.zeros(m, dtype=bool)
+    n_types = np.bincount(th, minlength=m)
+    facts = [_sums(th[c > CUT], c[c > CUT], m), *_tally(th, c, m).T, *_tally(th, tlower, m).T, _sums(th[tlower > CUT], tlower[tlower > CUT], m)]
+    of_gram, rows, b, own = counts[kind], [], 0, np.zeros(m, dtype=np.int64)
     for r, chunk, part in zip(pdf["range"], pdf["chunk"], parts, strict=True):
         mine = slice(b, b + len(part[k + 1]))
         _, at = np.unique(h[mine], return_index=True)  # histories as they first come in the slice
         at = h[mine][np.sort(at)]
-        # a slice that holds all that follows a history knows that n-gram's count one level below
-        own = h[mine][of_gram[mine] > 0]
-        known[own] = True
-        asks = ~(known[at] & single[at])
-        known[own] = False
-        rows.append(_row(k, r, chunk, _pack(_small(of_gram[mine])), _pack(*[_small(f[at]) for f in facts[: CUT + 1]], *[_small(f[at] * asks) for f in facts[CUT + 1 :]])))
+        # a slice that holds all that follows a history knows all of this by itself (an n-gram is in a slice once)
+        seen_here = h[mine][of_gram[mine] > 0]
+        np.add.at(own, seen_here, 1)
+        asks = own[at] < n_types[at]
+        own[seen_here] = 0
+        rows.append(_row(k, r, chunk, _pack(_small(of_gram[mine])), _pack(*[_small(f[at] * asks) for f in facts])))
         b = mine.stop
     rows.append(_row(k, -1, -1, b"", None, [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, CUT + 2))]))
     for i in np.flatnonzero(hot):
@@ -473,7 +482,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if (found := hot[k].get(tuple(map(int, name)))) is not None:
                     histories.put(i, found)
             c = chunk.total[k]
-            histories.fill_single(level.hist[c > 0], chunk.total[k - 1][level.suffix[c > 0]])
+            histories.fill_complete(level.hist[c > 0], c[c > 0], chunk.total[k - 1][level.suffix[c > 0]])
             mass = m.mass(histories.n, histories.total - (histories.n * np.arange(1, CUT + 1)).sum(axis=1))
             whole = np.maximum(histories.total + (mass >= histories.total), 1)
             # what the types that follow a history have one level below, where the history is a word shorter
