@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,6 +84,31 @@ def name_likeness(a: str, b: str) -> float | None:
     return 1.0 if words == 100 else max(words, partial_ratio(a, b)) / 100
 
 
+class Likeness:
+    """name_likeness of pairs that come again, and a bound that is quickly found: no more characters can be in common than both texts have."""
+
+    def __init__(self):
+        self.known: dict[tuple[str, str], float | None] = {}
+        self.counts: dict[str, tuple[Counter, int]] = {}
+
+    def __call__(self, a: str, b: str) -> float | None:
+        if (a, b) not in self.known:
+            self.known[a, b] = name_likeness(a, b)
+        return self.known[a, b]
+
+    def _count(self, a: str) -> tuple[Counter, int]:
+        if a not in self.counts:
+            self.counts[a] = Counter(a), len(" ".join(set(a.split())))
+        return self.counts[a]
+
+    def at_most(self, a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        (x, n), (y, w) = self._count(a), self._count(b)
+        common = sum(min(k, y[ch]) for ch, k in x.items() if ch in y)
+        return 2 * common / (min(n, w) + common)
+
+
 def _likeness(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -120,6 +146,18 @@ def score(day: Column, place: Column, name: Column, same_image: Column, conflict
     return F.when(same_image, F.when(day == 0.0, 0.0).otherwise(1.0)).when((day == 0.0) | conflict, 0.0).otherwise(F.round(F.coalesce(mean, F.lit(0.0)), 3))
 
 
+def pair_score(gap: int | None, place: float | None, name: float | None, same_image: bool, conflict: bool) -> float:
+    """score for one pair of rows; gap: days between them, None where a date is missing."""
+    day = None if gap is None else next((s for most, s in ((0, 1.0), (1, 0.85), (POSSIBLE_GAP, 0.55), (NO_GAP, 0.25)) if gap <= most), 0.0)
+    if same_image or day == 0.0 or conflict:
+        return 1.0 if same_image and day != 0.0 else 0.0
+    there = [(part, w) for part, w in zip((day, place, name), WEIGHTS, strict=True) if part is not None]
+    if not there:
+        return 0.0
+    mean = sum(part * w for part, w in there) / sum(w for _, w in there)
+    return round(max(mean, SAME_DAY_AND_PLACE) if (day or 0) >= 0.85 and (place or 0) >= 0.85 else mean, 3)
+
+
 def similarity(a: str, b: str) -> Column:
     """The score of two record structs named a and b: start_date, location, title, flyer_phash."""
     x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))

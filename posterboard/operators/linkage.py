@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fuzzy
 from ..functions.text import location_state, normalize_key, normalize_location
 from ..session import ensure_checkpoints
+from .collapse import collapse  # noqa: F401  linkage inside a batch
 
-GROUPS_A_PARTITION = 8
 FIELDS = ("start_date", "location", "title", "flyer_phash")
 
 
@@ -115,124 +113,6 @@ def route(rows: DataFrame, matches: DataFrame, live: DataFrame) -> DataFrame:
     }).drop("live_title", "live_date", "verdict", "id", "score", "flagged")
 
 
-def merge_order(rows: DataFrame) -> DataFrame:
-    """Adds rank columns: richer records first, then arrival."""
-    filled = sum(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0) for c in ("end_date", "tribe", "details", "flyer_url"))
-    return rows.withColumn("filled", filled)
-
-
-def islands(rows: DataFrame) -> DataFrame:
-    """Adds island: rows of different islands can't be duplicates.
-
-    Duplicates are at most a day apart, or have one image and at most seven days between them. Days with any row are joined to neighbours within a day
-    (or within seven, where an image spans them); a run of joined days is an island. Only distinct days are sorted as a whole: their number doesn't grow with the input.
-    """
-    days = rows.where("start_date IS NOT NULL").select(F.col("start_date").alias("day")).distinct()
-    seen = Window.partitionBy("flyer_phash").orderBy("start_date")
-    spans = rows.where("flyer_phash != ''").select("flyer_phash", "start_date").distinct().withColumn("before", F.lag("start_date").over(seen))
-    spans = spans.where(F.date_diff("start_date", "before").between(2, fuzzy.NO_GAP)).select("before", "start_date").distinct()
-    covered = spans.select(F.explode(F.sequence("before", "start_date")).alias("day")).distinct()
-    every = days.withColumn("real", F.lit(True)).join(covered.withColumn("bridge", F.lit(True)), "day", "full_outer")
-    order = Window.orderBy("day")
-    every = every.withColumn("gap", F.date_diff("day", F.lag("day").over(order)))
-    every = every.withColumn("island", F.sum(F.when(F.coalesce("gap", F.lit(99)) > fuzzy.DUPLICATE_GAP, 1).otherwise(0)).over(order))
-    return rows.join(every.where("real").select(F.col("day").alias("start_date"), "island"), "start_date", "left").withColumn("island", F.coalesce("island", F.lit(-1)))
-
-
-def collapse(rows: DataFrame, schema: str | None = None) -> DataFrame:
-    """Greedy collapse of duplicates, richest first; a row joins the kept row it is most like, if that is CERTAIN, and enriches it.
-
-    rows: the record columns and ordinal. Returns them with merged_into: null for kept rows, else the ordinal of the row that took this one in. The order matters and merging may
-    change a title, so each island is gone through in one task; islands are a run of neighbouring days. Where a place's state is known, rows of
-    other states can't match, so a large island falls apart by state unless it has rows without one.
-    """
-    ready = merge_order(islands(rows)).withColumns({"key_location": normalize_location(F.col("location")), "state": location_state(F.col("location"))})
-    stateless = ready.where("state IS NULL").select("island").distinct().withColumn("mixed", F.lit(True))
-    images = ready.where("flyer_phash != ''").select("island").distinct().withColumn("pictured", F.lit(True))
-    ready = ready.join(stateless, "island", "left").join(images, "island", "left")
-    part = F.when(F.col("mixed").isNull() & F.col("pictured").isNull(), F.col("state")).otherwise("")
-    ready = ready.withColumn("part", part).drop("mixed", "pictured")
-    columns = [*rows.columns, "merged_into"]
-
-    def gap_score(a, b) -> float | None:
-        if pd.isna(a) or pd.isna(b):
-            return None
-        gap = abs((pd.Timestamp(a) - pd.Timestamp(b)).days)
-        return next((s for limit, s in ((0, 1.0), (1, 0.85), (3, 0.55), (7, 0.25)) if gap <= limit), 0.0)
-
-    def alike(a: dict, b: dict) -> float:
-        day = gap_score(a["start_date"], b["start_date"])
-        if a["flyer_phash"] and a["flyer_phash"] == b["flyer_phash"]:
-            return 0.0 if day == 0 else 1.0
-        if day == 0 or (a["state"] and b["state"] and a["state"] != b["state"]):
-            return 0.0
-        place = fuzzy.name_likeness(a["key_location"] or "", b["key_location"] or "")
-        name = fuzzy.name_likeness(a["key_title"], b["key_title"])
-        parts = [(p, w) for p, w in zip((day, place, name), fuzzy.WEIGHTS, strict=True) if p is not None]
-        score = sum(p * w for p, w in parts) / sum(w for _, w in parts) if parts else 0.0
-        return round(max(score, fuzzy.SAME_DAY_AND_PLACE) if (day or 0) >= 0.85 and (place or 0) >= 0.85 else score, 3)
-
-    def merge(kept: dict, row: dict) -> None:
-        for c in ("end_date", "location", "tribe", "details", "flyer_url", "raw_text"):
-            kept[c] = kept[c] or row[c]
-        if len(row["title"] or "") > len(kept["title"] or "") + 8:
-            kept["title"], kept["key_title"] = row["title"], row["key_title"]
-        kept["key_location"], kept["state"] = kept["key_location"] or row["key_location"], kept["state"] or row["state"]
-        if row["source"] and row["source"] not in (kept["source"] or ""):
-            kept["source"] = f"{kept['source']}+{row['source']}" if kept["source"] else row["source"]
-        if row["source_url"] and row["source_url"] != kept["source_url"]:
-            kept["warnings"] = [*kept["warnings"], f"also listed at {row['source_url']}"]
-        kept["confidence"] = max(kept["confidence"] or 0, row["confidence"] or 0)
-
-    def one_island(order: list[dict]) -> None:
-        """Rows meet only kept rows that they can be CERTAIN with: within a day, without a date, or of one image. Kept rows keep their date and image, so the places where they are found stay right."""
-        kept: list[dict] = []
-        places: dict[tuple, list[int]] = {}
-
-        def where(row: dict, reach: int) -> list[tuple]:
-            day = None if row["start_date"] is None else pd.Timestamp(row["start_date"]).toordinal()
-            days = [("day", day)] if day is None else [("day", day + k) for k in range(-reach, reach + 1)]
-            return days + ([("image", row["flyer_phash"])] if row["flyer_phash"] else [])
-
-        for row in order:
-            if row["start_date"] is None:
-                near = range(len(kept))
-            else:
-                near = sorted({i for p in [*where(row, fuzzy.DUPLICATE_GAP), ("day", None)] for i in places.get(p, ())})
-            scores = [(alike(row, kept[i]), -i) for i in near]
-            score, i = max(scores, default=(0.0, 0))
-            if score >= fuzzy.CERTAIN:
-                row["merged_into"] = kept[-i]["ordinal"]
-                merge(kept[-i], row)
-                continue
-            twins = places.get(("image", row["flyer_phash"]), [])
-            if twins and kept[twins[0]]["start_date"] != row["start_date"]:
-                for one, other in ((row, kept[twins[0]]), (kept[twins[0]], row)):
-                    one["warnings"].append(f"same flyer image as another event in this batch ({other['start_date']}) - check which date is right")
-            for p in where(row, 0):
-                places.setdefault(p, []).append(len(kept))
-            kept.append(row)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        rows.sort(key=lambda r: (-(r["confidence"] or 0), -r["filled"], r["ordinal"]))
-        groups: dict[tuple, list[dict]] = {}
-        for r in rows:
-            r["warnings"], r["merged_into"] = list(r["warnings"]) if r["warnings"] is not None else [], None
-            groups.setdefault((r["island"], r["part"]), []).append(r)
-        for order in groups.values():
-            one_island(order)
-        out = pd.DataFrame(rows)[columns]
-        whole = pd.array([r["merged_into"] for r in rows], dtype="Int64")  # a float column would round large ordinals
-        return out.assign(merged_into=whole)
-
-    ready = ready.withColumn("key_title", normalize_key(F.col("title")))
-    returned = T.StructType([*rows.schema.fields, T.StructField("merged_into", T.LongType())])
-    # islands are small and many, so several share a group
-    groups = GROUPS_A_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ready.groupBy(F.pmod(F.xxhash64("island", "part"), F.lit(groups))).applyInPandas(run, returned)
-
-
 def image_twins(kept: DataFrame) -> DataFrame:
     """ordinal, other_date: kept rows and the first other kept row with their image on another date; of rows in different islands too."""
     w = Window.partitionBy("flyer_phash").orderBy(F.desc("confidence"), "ordinal")
