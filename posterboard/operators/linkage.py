@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import fuzzy
 from ..functions.text import location_state, normalize_key, normalize_location
 from ..session import ensure_checkpoints
+from .alike import alike_pairs
 from .collapse import collapse  # noqa: F401  linkage inside a batch
 
 FIELDS = ("start_date", "location", "title", "flyer_phash")
@@ -28,27 +29,6 @@ def date_blocked_pairs(left: DataFrame, right: DataFrame, gap: int) -> DataFrame
     return l.join(right.where("r_start IS NOT NULL").withColumn("day", F.col("r_start")), "day").drop("day")
 
 
-def _blocks(key: str, short: bool) -> Column:
-    """Pairs of neighbouring characters of a key, its ends included; with short, also the characters of keys of up to 12."""
-    one = F.regexp_extract_all(F.col(key), F.lit("[^ ]"), F.lit(0))
-    two = F.regexp_extract_all(F.concat(F.lit(" "), F.col(key), F.lit(" ")), F.lit("(?=(..))"), F.lit(1))
-    return F.array_distinct(F.concat(two, F.when(F.length(key) <= 12, one).otherwise(F.array().cast("array<string>")) if short else one))
-
-
-def _alike_keys(left: DataFrame, right: DataFrame, name: str, likeness) -> DataFrame:
-    """l_<name>, r_<name>: the distinct keys of both sides with a likeness of LIKELY.
-
-    Two texts of n and w characters with a common subsequence of 0.36 (n + w) have 0.08 (n + w) - 1 pairs of neighbours in common, which is over 0 from 13 characters on; shorter ones have a
-    character in common. Word order doesn't matter to pairs, as spaces are the only neighbours that words share. So no alike keys are lost.
-    """
-    a, b = f"l_{name}", f"r_{name}"
-    l, r = left.select(a).where(f"{a} != ''").distinct(), right.select(b).where(f"{b} != ''").distinct()
-    meet = l.select(a, F.explode(_blocks(a, True)).alias("block")).join(r.select(b, F.explode(_blocks(b, False)).alias("block")), "block")
-    back = l.select(a, F.explode(_blocks(a, False)).alias("block")).join(r.where(F.length(b) <= 12).select(b, F.explode(_blocks(b, True)).alias("block")), "block")
-    pairs = meet.select(a, b).union(back.select(a, b)).distinct()
-    return pairs.where(likeness(F.col(a), F.col(b)) >= fuzzy.LIKELY)
-
-
 def _liken(pairs: DataFrame, name: str, likeness) -> DataFrame:
     """Adds <name>_likeness. Each distinct pair of keys is compared once, however many rows have it."""
     a, b = f"l_{name}", f"r_{name}"
@@ -70,7 +50,8 @@ def match_pairs(candidates: DataFrame, live: DataFrame, likeness=fuzzy.key_liken
     undated = []
     for l, r in ((candidates.where("l_start IS NULL"), live), (candidates.where("l_start IS NOT NULL"), live.where("r_start IS NULL"))):
         for name in ("place", "title"):
-            undated.append(l.join(_alike_keys(l, r, name, likeness), f"l_{name}").join(r, f"r_{name}").select(*candidates.columns, *live.columns))
+            alike = alike_pairs(l.select(F.col(f"l_{name}").alias("key")), r.select(F.col(f"r_{name}").alias("key")), fuzzy.LIKELY - 0.001, likeness)
+            undated.append(l.join(alike.select(F.col("a").alias(f"l_{name}"), F.col("b").alias(f"r_{name}")), f"l_{name}").join(r, f"r_{name}").select(*candidates.columns, *live.columns))
     rest = dated.select(*candidates.columns, *live.columns).unionByName(reduce(DataFrame.unionByName, undated).where(~clash & differ).distinct())
     day = fuzzy.date_proximity(F.col("l_start"), F.col("r_start"))
     rest = _liken(rest, "title", likeness)

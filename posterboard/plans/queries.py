@@ -236,7 +236,7 @@ def _match_tables(spark, sf_dir):
 
 @query()
 def best_live_match(spark, sf_dir):
-    """Rows only: common subsequences have no counterpart in SQL; tests hold it against a brute-force version. best_live_match_edit is the same by edit distance, with SQL."""
+    """Rows only: common subsequences have no counterpart in SQL; tests hold it against a brute-force version."""
     return linkage.best_live_match(*_match_tables(spark, sf_dir))
 
 
@@ -652,3 +652,61 @@ def backup_counts(spark, sf_dir):
 
     found = reconcile.reconcile(manifest, _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.lit(1).cast("long").alias("size")), STAMP)
     return reconcile.summary(reconcile.settle(found, reconcile.back_up(found, copy))).select("added", "skipped", "vanished", "failed")
+
+
+_HASHED = """WITH c AS (SELECT c_custkey AS id, md5(CAST(c_custkey // 3 AS VARCHAR)) AS base FROM customer),
+h AS (SELECT id, xor(xor(CAST('0x' || base[1:16] AS UBIGINT), CAST(1 AS UBIGINT) << (id % 64)), CAST(1 AS UBIGINT) << (id * 7 % 64)) AS h FROM c)
+"""
+
+
+def _image_hashes(spark, sf_dir):
+    """Customers in threes with a hash of 16 digits in common, but for one or two bits of each."""
+    first = F.conv(F.substr(F.md5(F.floor(F.col("c_custkey") / 3).cast("string").cast("binary")), F.lit(1), F.lit(16)), 16, -10).cast("long")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (k % 64).cast("int"))
+    mixed = first.bitwiseXOR(bit(F.col("c_custkey"))).bitwiseXOR(bit(F.col("c_custkey") * 7))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lower(F.lpad(F.hex(mixed), 16, "0")).alias("h"))
+
+
+@query(_HASHED + "SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS bits FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 12")
+def near_images_16(spark, sf_dir):
+    """Multi-index hashing on hashes of 16 digits, with pairs to find."""
+    rows = _image_hashes(spark, sf_dir)
+    pairs = memory.near_hash_short(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), "a", "b", "h")
+    return pairs.where("a < b").select("a", "b", F.col("bits").cast("long").alias("bits"))
+
+
+@query(_HASHED + """, w AS (SELECT h.id, h.h, sha256(CAST(h.id // 3 AS VARCHAR)) AS s FROM h)
+SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS bits FROM w a JOIN w b ON a.id < b.id AND a.s = b.s WHERE bit_count(xor(a.h, b.h)) <= 12""")
+def near_images_64(spark, sf_dir):
+    """The same on hashes of 64 digits, of which the first 16 are as above."""
+    rows = _image_hashes(spark, sf_dir).withColumn("h", F.concat("h", F.substr(F.sha2(F.floor(F.col("id") / 3).cast("string").cast("binary"), 256), F.lit(17), F.lit(48))))
+    pairs = memory.near_hash_pairs(rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b"), "a", "b", "h")
+    return pairs.where("a < b").select("a", "b", F.col("bits").cast("long").alias("bits"))
+
+
+@query("""WITH known AS (SELECT c_custkey // 3 AS g, min(c_custkey) AS twin FROM customer WHERE c_custkey % 5 = 0 GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN twin IS NULL THEN 'none' WHEN twin % 2 <> c_custkey % 2 THEN 'warn' ELSE 'drop' END AS verdict,
+CASE WHEN twin % 2 <> c_custkey % 2 THEN 1 ELSE 0 END AS n_warnings FROM customer LEFT JOIN known ON g = c_custkey // 3""")
+def image_verdicts(spark, sf_dir):
+    """Customers beside a ledger of every fifth: a near image of another date makes a warning, one of the same date drops the row."""
+    day = F.date_add(F.lit(AS_OF), (F.col("id") % 2).cast("int"))
+    rows = _image_hashes(spark, sf_dir).select(F.format_string("%08d", "id").alias("fingerprint"), F.col("h").alias("flyer_phash"), day.alias("start_date"), F.array().cast("array<string>").alias("warnings"), "id")
+    ledger = rows.where("id % 5 = 0").select("fingerprint", F.col("flyer_phash").alias("phash"), "start_date")
+    out = memory.judge_image_twins(rows, ledger)
+    return out.select("id", F.col("image_verdict").alias("verdict"), F.size("warnings").alias("n_warnings"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS site, CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'json' ELSE 'ics' END AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date FROM orders WHERE o_orderkey % 4 <> 3""")
+def feed_ladder(spark, sf_dir):
+    """Orders as sites with both feeds, one, one that keeps nothing, and none: an iCal feed counts only where no event feed has a row that is kept; of two addresses the first with events counts."""
+    k, orders = F.col("o_orderkey"), _table(spark, sf_dir, "orders")
+    json = lambda title: F.concat(F.lit('{"events":[{"title":"'), F.lit(title), F.lit('","start_date":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"}]}'))
+    ics = lambda title: F.concat(F.lit("BEGIN:VEVENT\nSUMMARY:"), F.lit(title), F.lit("\nDTSTART:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("\nEND:VEVENT"))
+    many = [(F.when(k % 4 == 1, '{"events":[]}'), "json", 0), (F.when(k % 4 <= 1, json("Tournament json")).when(k % 4 == 2, json("Bingo")), "json", 1), (F.when(k % 4 == 0, json("Tournament late")), "json", 2),
+            (F.when(k % 4 == 2, "no calendar"), "ics", 0), (F.when(k % 4 != 3, ics("Tournament ics")), "ics", 1)]
+    tried = F.explode(F.array(*[F.struct(body.alias("body"), F.lit(kind).alias("kind"), F.lit(step).alias("step")) for body, kind, step in many]))
+    none = F.lit(None).cast("string")
+    bodies = orders.select(k.cast("string").alias("site"), "o_orderdate", tried.alias("b")).select("site", "b.*", F.lit("http://e.example/").alias("url"), none.alias("site_location"), none.alias("site_tribe"), none.alias("hint"))
+    with vocab.using(FEED_WORDS):
+        rows = feeds.from_ladder(bodies)
+    return rows.select("site", F.substring_index("title", " ", -1).alias("title"), _iso("start_date"))

@@ -12,6 +12,7 @@ def get_session(name: str = "posterboard", master: str | None = None) -> SparkSe
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     builder = builder.config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    builder = builder.config("spark.sql.python.filterPushdown.enabled", "true")  # for sources.base.live_table
     return (builder.master(master) if master else builder).getOrCreate()
 
 

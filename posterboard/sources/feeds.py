@@ -21,6 +21,11 @@ def _gate(rows: DataFrame, hint: Column | None, least: int) -> DataFrame:
     return rows.where(T.topic_tenths(F.concat_ws(" ", "title", "details"), hint) >= least)
 
 
+def _site(bodies: DataFrame) -> list[str]:
+    """The site stays with a record where the bodies have it."""
+    return ["site"] if "site" in bodies.columns else []
+
+
 def from_event_json(bodies: DataFrame, least: int = 5) -> DataFrame:
     """bodies: url, body, site_location, site_tribe, hint. A record per event that is on topic; a body that doesn't parse gives none.
 
@@ -37,7 +42,7 @@ def from_event_json(bodies: DataFrame, least: int = 5) -> DataFrame:
         T.iso_prefix_date(F.coalesce(e("end_date"), e("utc_end_date"))).alias("end_date"),
         F.coalesce(F.nullif(venue, F.lit("")), "site_location").alias("location"),
         F.coalesce(T.find_tribe(F.concat_ws(" ", "title", "details", "hint")), "site_tribe").alias("tribe"),
-        "details", image.alias("flyer_url"), F.coalesce(e("url"), "url").alias("source_url"), F.lit("structured").alias("extraction"), F.col("details").alias("raw_text"),
+        "details", image.alias("flyer_url"), F.coalesce(e("url"), "url").alias("source_url"), F.lit("structured").alias("extraction"), F.col("details").alias("raw_text"), *_site(bodies),
     )
 
 
@@ -65,10 +70,24 @@ def from_ics(bodies: DataFrame, least: int = 5, rfc5545_end: bool = False) -> Da
     return rows.where("start_date IS NOT NULL").select(
         "title", "start_date", F.when(F.col("_end") != F.col("start_date"), F.col("_end")).alias("end_date"), F.coalesce(f("LOCATION"), "site_location").alias("location"),
         F.coalesce(T.find_tribe(F.concat_ws(" ", "title", "details")), "site_tribe").alias("tribe"), "details", F.lit(None).cast("string").alias("flyer_url"),
-        F.coalesce(f("URL"), "url").alias("source_url"), F.lit("structured").alias("extraction"), F.col("details").alias("raw_text"),
+        F.coalesce(f("URL"), "url").alias("source_url"), F.lit("structured").alias("extraction"), F.col("details").alias("raw_text"), *_site(bodies),
     )
 
 
+def from_ladder(bodies: DataFrame, least: int = 5, rfc5545_end: bool = False) -> DataFrame:
+    """bodies: site, kind (json or ics), step, and what from_event_json needs. The records of each site's first event feed that answers with events and, where none of those is kept, of its first iCal feed with events.
+
+    Steps are the order in which a site's addresses are tried; only the bodies that count are parsed whole. An address that gave nothing has a null body.
+    """
+    events = F.when(F.col("kind") == "json", F.from_json("body", "events array<struct<title:string>>").events)
+    answers = F.when(F.col("kind") == "json", F.size(events) > 0).otherwise(F.contains("body", F.lit("BEGIN:VEVENT")))
+    first = bodies.where(answers).groupBy("site", "kind").agg(F.min("step").alias("step"))
+    chosen = bodies.join(first, ["site", "kind", "step"], "left_semi")
+    own = from_event_json(chosen.where("kind = 'json'"), least)
+    rest = chosen.where("kind = 'ics'").join(own.select("site").distinct(), "site", "left_anti")
+    return own.unionByName(from_ics(rest, least, rfc5545_end))
+
+
 def from_posts(bodies: DataFrame, as_of, least: int = 5) -> DataFrame:
     """As from_event_json, of a forum's listing JSON: children with id, title, selftext, permalink and images. A post counts once; it needs a date or an image."""
     from ..functions.dates import find_dates

@@ -251,3 +251,23 @@ def test_whole_run(spark):
     assert (again.queued, again.seen) == (0, 1)
     site = listings(spark, [{"id": 1, "title": "Chess tournament", "start_date": D(2026, 9, 4), "location": "Nespelem, Washington"}])
     assert plan.run({"webpages": pages}, empty, site, D(2026, 8, 12), STAMP).statistics.first().live == 1
+
+
+def test_near_hashes_of_16_digits(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    hashes = [(i, f"{rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 14))):016x}") for i in range(80)] + [(90, "0" * 16), (91, "0" * 16), (92, None), (93, ""), (94, "xyz"), (95, "F" * 16), (96, "f" * 16)]
+    df = spark.createDataFrame(hashes, "a int, h string")
+    got = {(r.a, r.b): r.bits for r in memory.near_hash_short(df, df.withColumnRenamed("a", "b"), "a", "b", "h").collect()}
+    good = [(i, int(x, 16)) for i, x in hashes if x and len(x) == 16]
+    want = {(i, j): (x ^ y).bit_count() for i, x in good for j, y in good if (x ^ y).bit_count() <= 12}
+    assert got == want and len(want) > 200
+    for bits in (0, 2, 5, 13):
+        got = {(r.a, r.b) for r in memory.near_hash_short(df, df.withColumnRenamed("a", "b"), "a", "b", "h", bits).collect()}
+        assert got == {(i, j) for i, x in good for j, y in good if (x ^ y).bit_count() <= bits}
+
+
+def test_phone_numbers_keep_their_digits(spark):
+    numbers = ["206-555-1220", "206-555-1221", "206-555-1222", "206-555-1223"]
+    text = "call " + " or ".join(numbers)
+    assert spark.range(1).select(T.find_contact(F.lit(text))).first()[0] == ", ".join(numbers)

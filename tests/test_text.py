@@ -138,3 +138,33 @@ def test_partial_ratio_is_every_window():
         n = len(short)
         want = max(fuzzy.ratio(short, long[max(0, i) : i + n]) for i in range(1 - n, len(long)))
         assert fuzzy.partial_ratio(a, b) == pytest.approx(want), (a, b)
+
+
+def test_ten_thousand_names(spark):
+    """The longest of many names in one pass: as a search for each of them, longest first."""
+    import random
+    import re
+    import time
+
+    from posterboard.functions import vocab
+
+    rng = random.Random(8)
+    syllables = ["ka", "lo", "mi", "ra", "tu", "ne", "so", "wi"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))).title()
+    names = list(dict.fromkeys([" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(10_000)] + ["St. Ka", "Lo-Mi"]))
+    texts = [" ".join(rng.choice([word(), rng.choice(names), "and", "the"]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["", None, "near ST. KA now", "lo-mi"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(1)
+    with vocab.using(vocab.Vocabulary(groups=names, generic_groups=[])):
+        few = df.select("i", T.find_tribe(F.col("text")).alias("name"))
+        got = {r.i: r.name for r in few.collect()}
+    order = sorted(names, key=len, reverse=True)
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        want = next((n for n in order if n.lower() in low and re.search(rf"\b{re.escape(n.lower())}\b", low)), None)
+        assert got[i] == want, (t, got[i], want)
+    many = df.crossJoin(spark.range(50)).select(F.concat_ws(" ", "text", F.col("id").cast("string")).alias("text"))
+    with vocab.using(vocab.Vocabulary(groups=names, generic_groups=[])):
+        plan = many.select(T.find_tribe(F.col("text")).alias("name"))
+        start = time.perf_counter()
+        assert plan.where("name IS NOT NULL").count() > 1000
+        assert time.perf_counter() - start < 60
