@@ -124,3 +124,8 @@ def run_statistics(rows: DataFrame) -> DataFrame:
 
 def queue_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("start_date").asc_nulls_last(), F.desc("confidence"), "fingerprint")
+
+
+def within_budget(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first rows with an image, as many as a run may fetch, over all sources. Each task hands on its own first ones, so no task sorts all rows."""
+    return rows.where("flyer_url != ''").orderBy(*order).limit(most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 import warnings
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -157,15 +158,18 @@ def _folder(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def save(ledger: DataFrame, folder: str) -> str:
-    """Writes the ledger as a new version in folder, and only then makes it the current one, by a rename. Earlier versions stay, so a plan that reads one still can. Returns the version."""
+def save(ledger: DataFrame, folder: str, mark: str = "") -> str:
+    """Writes the ledger as a new version in folder, and only then makes it the current one, by a rename. Earlier versions stay, so a plan that reads one still can. Returns the version.
+
+    mark is kept with the version: see recorder.
+    """
     spark, version = ledger.sparkSession, f"v-{uuid.uuid4().hex}"
     ledger.write.parquet(f"{folder}/{version}")
     at, fs = _folder(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path
     new, current = path(at, f".current-{version}"), path(at, CURRENT)
     out = fs.create(new, True)
-    out.write(bytearray(version, "ascii"))
+    out.write(bytearray(f"{version}\n{mark}", "utf-8"))
     out.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
     overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -174,6 +178,31 @@ def save(ledger: DataFrame, folder: str) -> str:
     return version
 
 
+def _current(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The version that counts, and its mark."""
+    version, _, mark = spark.read.text(f"{folder}/{CURRENT}", wholetext=True).first()[0].partition("\n")
+    return version.strip(), mark.strip()
+
+
+def recorder(folder: str, stamp: Callable[[int], dt.datetime], name: str = "stream") -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: records each batch (the columns of record) in the ledger at folder. stamp gives a batch's time by its number, so that a batch says the same when it comes again.
+
+    The number of the last batch is part of what the rename makes current, so a batch that comes again after a failure changes nothing, and one whose version was written but never became current is recorded
+    once. A ledger has one such stream.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        at, fs = _folder(spark, folder)
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, CURRENT)):
+            stream, _, last = _current(spark, folder)[1].rpartition(":")
+            if stream == name and int(last) >= number:
+                return
+        save(record(load(spark, folder), batch, stamp(number)), folder, f"{name}:{number}")
+
+    return write
+
+
 def load(spark: SparkSession, folder: str) -> DataFrame:
     """The current ledger; an empty one where none was saved, or where what was saved can't be read (every file's columns are looked at, and a warning says so)."""
     empty = spark.createDataFrame([], LEDGER)
@@ -181,7 +210,7 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, CURRENT)):
         return empty
     try:
-        version = spark.read.text(f"{folder}/{CURRENT}", wholetext=True).first()[0].strip()
+        version = _current(spark, folder)[0]
         found = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{version}")  # reads each file's footer
         return found.select(*[F.col(c).cast(kind) for c, kind in (x.split(" ") for x in LEDGER.split(", "))])
     except (PySparkException, Py4JJavaError, TypeError) as e:

@@ -271,3 +271,23 @@ def test_phone_numbers_keep_their_digits(spark):
     numbers = ["206-555-1220", "206-555-1221", "206-555-1222", "206-555-1223"]
     text = "call " + " or ".join(numbers)
     assert spark.range(1).select(T.find_contact(F.lit(text))).first()[0] == ", ".join(numbers)
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    kind = "fingerprint string, title string, start_date date, match_key string, phash string, source string, source_url string, outcome string"
+    row = lambda f, title: (f, title, D(2026, 9, 1), "k", None, "s", None, "queued")
+    folder, day = f"file://{tmp_path}/ledger", lambda n: STAMP + dt.timedelta(days=n)
+    write = memory.recorder(folder, day)
+    first, second = spark.createDataFrame([row("a", "one"), row("b", "two")], kind), spark.createDataFrame([row("a", "one more"), row("c", "three")], kind)
+    write(first, 0)
+    write(second, 1)
+    said = sorted(map(tuple, memory.load(spark, folder).collect()))
+    for batch, number in ((first, 0), (second, 1)):  # as after a restart
+        memory.recorder(folder, day)(batch, number)
+    assert sorted(map(tuple, memory.load(spark, folder).collect())) == said
+    got = {r.fingerprint: r for r in memory.load(spark, folder).collect()}
+    assert got["a"].title == "one more" and got["a"].first_seen == day(0) and got["a"].last_seen == day(1) and set(got) == {"a", "b", "c"}
+    source = spark.createDataFrame([row("d", "four")], kind)
+    source.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in").writeStream.foreachBatch(memory.recorder(folder, day, "other")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert stream.awaitTermination(60) and {r.fingerprint for r in memory.load(spark, folder).collect()} == {"a", "b", "c", "d"}
