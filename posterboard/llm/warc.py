@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .common import free_name, fresh_path, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: A new archive begins after so many bytes.
@@ -72,14 +72,16 @@ def write_record(page_id, url: str | None, payload: bytes, digest: str, refers_t
 def plan_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Adds refers_to: the smallest page_id among equal payloads of at least min_bytes; null where the row is that page.
 
-    Payloads are compared by SHA-1 and length. Rows with one page_id and one payload are all responses.
+    Payloads are compared by SHA-1 and length, whole, however long they are; null is empty. Rows with one page_id and one payload are all responses. A column named refers_to is replaced, all others stay.
     """
-    pages = pages.withColumns({"_sha1": F.sha1(F.coalesce("html", F.lit("")).cast("binary")), "_bytes": F.coalesce(F.octet_length("html"), F.lit(0))})
-    firsts = pages.where(F.col("_bytes") >= min_bytes).groupBy("_sha1", "_bytes").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    pages = pages.drop("refers_to")
+    sha1, size, first = (free_name(pages, c) for c in ("_sha1", "_bytes", "_first"))
+    pages = pages.withColumns({sha1: F.sha1(F.coalesce("html", F.lit("")).cast("binary")), size: F.coalesce(F.octet_length("html"), F.lit(0))})
+    firsts = pages.where(F.col(size) >= min_bytes).groupBy(sha1, size).agg(F.min("page_id").alias(first), F.count(F.lit(1)).alias("_n"))
     firsts = firsts.where("_n > 1").drop("_n")
-    return pages.join(firsts, ["_sha1", "_bytes"], "left").withColumn(
-        "refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_first")), F.col("_first"))
-    ).drop("_sha1", "_bytes", "_first")
+    return pages.join(firsts, [sha1, size], "left").withColumn(
+        "refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col(first)), F.col(first))
+    ).drop(sha1, size, first)
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -179,7 +181,7 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
     """files: path, bytes. Returns a row per record; of a revisit the payload is null, and size and digest are the full payload's.
 
     A response's size and digest are taken from the payload that was read, and it is an error if the header's digest differs.
-    An empty list of files, or a file without members, gives no rows.
+    An empty list of files, or a file without members, gives no rows. A record is held whole while it is read, however long; other columns of files are ignored.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -215,3 +215,12 @@ def test_queries(spark, sf, name):
     want = con.execute(queries.SQL[name])
     order = [c[0] for c in want.description]
     assert sorted(map(tuple, out.select(*order).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_revisits_leave_other_columns(spark):
+    from posterboard.llm import warc
+
+    pages = spark.createDataFrame([(1, "u", "same", "mine", 7, "x", "old"), (2, "u", "same", "mine", 8, "y", "old"), (3, None, None, None, None, None, None)], "page_id long, url string, html string, _sha1 string, _bytes int, _first string, refers_to string")
+    out = {r.page_id: r for r in warc.plan_revisits(pages).collect()}
+    assert {k: r.refers_to for k, r in out.items()} == {1: None, 2: 1, 3: None}
+    assert (out[2]._sha1, out[2]._bytes, out[2]._first) == ("mine", 8, "y")
