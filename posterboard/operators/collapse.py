@@ -223,20 +223,29 @@ def decide(rows: DataFrame) -> DataFrame:
     own = in_blocks(rows).select(*_COLUMNS).checkpoint()
     concern = reach(own).checkpoint()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as blocks are few bytes and much work
-    events, before = own, None
+    through = lambda events: events.select(*_COLUMNS).repartition(parts, "block").groupBy("block").applyInPandas(_through, EVENT)
+    state, before = through(own).checkpoint(), None
     while True:
-        state = events.repartition(parts, "block").groupBy("block").applyInPandas(_through, EVENT).checkpoint()
-        said = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("role", "id", "into", *RANK, "title", "place").cast("decimal(38,0)"))).first()
-        if said == before:
-            return state.where("role = 'row'").select("id", "into", *RANK)
-        before = said
         forms = state.where("role = 'form'")
         keys = forms.select("id", F.col("block").alias("home"), F.explode(_keys_of_forms()).alias("key")).distinct()
         there = keys.join(concern, "key").where("block != home").select("id", "block").distinct()
         seen = forms.drop("role", "into_block").withColumnRenamed("block", "into_block").join(there, "id").withColumn("role", F.lit("seen"))
         joined = state.where("role = 'row' AND into_block != block").drop("id", "block", "role").withColumnsRenamed({"into": "id", "into_block": "block"})
         joined = joined.withColumns({"role": F.lit("joined"), "into": F.lit(None).cast("long"), "into_block": F.lit(None).cast("long")})
-        events = own.unionByName(seen.select(*_COLUMNS)).unionByName(joined.select(*_COLUMNS))
+        foreign = seen.select(*_COLUMNS).unionByName(joined.select(*_COLUMNS)).checkpoint()
+        # a block says the same again if it hears the same, so only others are gone through
+        heard = foreign.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*_COLUMNS).cast("decimal(38,0)")).alias("sum")).checkpoint()
+        if before is None:
+            changed = heard.select("block")
+        else:
+            old = before.select("block", F.col("n").alias("_n"), F.col("sum").alias("_sum"))
+            changed = heard.join(old, "block", "full_outer").where("NOT (n <=> _n AND sum <=> _sum)").select("block")
+        changed = changed.checkpoint()
+        if changed.isEmpty():
+            return state.where("role = 'row'").select("id", "into", *RANK)
+        again = own.unionByName(foreign).join(changed, "block", "left_semi")
+        state = state.join(changed, "block", "left_anti").select(*_COLUMNS).unionByName(through(again)).checkpoint()
+        before = heard
 
 
 def collapse(rows: DataFrame) -> DataFrame:
