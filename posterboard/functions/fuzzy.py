@@ -171,6 +171,30 @@ def edit_likeness(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Edits that make b of a, with one bit per character of a for where a column of the table of distances rises or falls."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    if not a:
+        return len(b)
+    full, last, out = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    rise, fall = full, 0
+    for ch in b:
+        hit = places.get(ch, 0)
+        level = (((hit & rise) + rise) ^ rise) | hit
+        up, down = (fall | ~(level | rise)) & full, rise & level
+        out += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        rise, fall = (down | ~(hit | fall | up)) & full, up & (hit | fall)
+    return out
+
+
+def edit_share(a: str, b: str) -> float | None:
+    """edit_likeness of two keys."""
+    return 1 - edit_distance(a, b) / max(len(a), len(b)) if a and b else None
+
+
 def key_likeness(a: Column, b: Column) -> Column:
     """Likeness of two keys by common subsequences and sets of words."""
     return _likeness(a, b)

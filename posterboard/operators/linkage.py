@@ -2,80 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import fuzzy
-from ..functions.text import location_state, normalize_key, normalize_location
-from ..session import ensure_checkpoints
-from .alike import alike_pairs
 from .collapse import collapse  # noqa: F401  linkage inside a batch
-
-FIELDS = ("start_date", "location", "title", "flyer_phash")
-
-
-def _keyed(rows: DataFrame, side: str, *keep: str) -> DataFrame:
-    """What a comparison needs of a row, made once: keys of title and place, state, date, image; each column's name starts with the side's."""
-    names = {"start": F.col("start_date"), "title": normalize_key(F.col("title")), "place": normalize_location(F.col("location")), "state": location_state(F.col("location")), "image": F.nullif("flyer_phash", F.lit(""))}
-    return rows.select(*keep, *[c.alias(f"{side}_{n}") for n, c in names.items()])
-
-
-def date_blocked_pairs(left: DataFrame, right: DataFrame, gap: int) -> DataFrame:
-    """Keyed rows of both with dates at most gap days apart: an equal join on the day, the left side spread over its neighbours."""
-    l = left.where("l_start IS NOT NULL").withColumn("day", F.explode(F.sequence(F.date_sub("l_start", gap), F.date_add("l_start", gap))))
-    return l.join(right.where("r_start IS NOT NULL").withColumn("day", F.col("r_start")), "day").drop("day")
-
-
-def _liken(pairs: DataFrame, name: str, likeness) -> DataFrame:
-    """Adds <name>_likeness. Each distinct pair of keys is compared once, however many rows have it."""
-    a, b = f"l_{name}", f"r_{name}"
-    known = pairs.select(a, b).distinct().withColumn(f"{name}_likeness", likeness(F.col(a), F.col(b)))
-    return pairs.join(known, [a, b])
-
-
-def match_pairs(candidates: DataFrame, live: DataFrame, likeness=fuzzy.key_likeness) -> DataFrame:
-    """Every pair of keyed rows that can be LIKELY, with its score, each once: those of one image, those within POSSIBLE_GAP days, and those of which one has no date and a place or title is alike.
-
-    Without a date the score is a mean of two likenesses, so one of them is LIKELY if the score is. A pair of states that differ scores 0 and goes before anything is compared.
-    """
-    clash = F.coalesce(F.col("l_state") != F.col("r_state"), F.lit(False))
-    gap = F.abs(F.date_diff("l_start", "r_start"))
-    same_image = candidates.join(live, F.col("l_image") == F.col("r_image")).where(F.coalesce(gap <= fuzzy.NO_GAP, F.lit(True)))
-    same_image = same_image.withColumn("score", F.lit(1.0))
-    differ = F.coalesce(F.col("l_image") != F.col("r_image"), F.lit(True))
-    dated = date_blocked_pairs(candidates, live, fuzzy.POSSIBLE_GAP).where(~clash & differ)
-    undated = []
-    for l, r in ((candidates.where("l_start IS NULL"), live), (candidates.where("l_start IS NOT NULL"), live.where("r_start IS NULL"))):
-        for name in ("place", "title"):
-            alike = alike_pairs(l.select(F.col(f"l_{name}").alias("key")), r.select(F.col(f"r_{name}").alias("key")), fuzzy.LIKELY - 0.001, likeness)
-            undated.append(l.join(alike.select(F.col("a").alias(f"l_{name}"), F.col("b").alias(f"r_{name}")), f"l_{name}").join(r, f"r_{name}").select(*candidates.columns, *live.columns))
-    rest = dated.select(*candidates.columns, *live.columns).unionByName(reduce(DataFrame.unionByName, undated).where(~clash & differ).distinct())
-    day = fuzzy.date_proximity(F.col("l_start"), F.col("r_start"))
-    rest = _liken(rest, "title", likeness)
-    # two or three days apart, a pair needs a title that is alike, whatever its places
-    rest = rest.where(F.coalesce((gap <= 1) | (0.45 * 0.55 + 0.30 + 0.25 * F.col("title_likeness") >= fuzzy.LIKELY - 0.001), F.lit(True)))
-    rest = _liken(rest, "place", likeness)
-    rest = rest.withColumn("score", fuzzy.score(day, F.col("place_likeness"), F.col("title_likeness"), F.lit(False), F.lit(False)))
-    return same_image.unionByName(rest.drop("title_likeness", "place_likeness"))
-
-
-def best_live_match(candidates: DataFrame, live: DataFrame, likeness=fuzzy.key_likeness) -> DataFrame:
-    """candidates: fingerprint and FIELDS; live: id, FIELDS, flagged. Returns fingerprint, verdict, id, score, flagged for each candidate.
-
-    Ties go to the later start, then the smaller id; a live row without a date comes last. A match below LIKELY is no match: its id and score are null.
-    """
-    ensure_checkpoints(candidates.sparkSession)
-    # keys are made once: several joins read them
-    l, r = _keyed(candidates, "l", "fingerprint").checkpoint(), _keyed(live, "r", "id", "flagged").checkpoint()
-    pairs = match_pairs(l, r, likeness).where(F.col("score") >= fuzzy.LIKELY)
-    best = pairs.groupBy("fingerprint").agg(F.max_by(F.struct("id", "score", "flagged"), F.struct("score", "r_start", -F.col("id"))).alias("m"))
-    out = candidates.select("fingerprint").join(best, "fingerprint", "left")
-    verdict = F.when(F.col("m.score") >= fuzzy.CERTAIN, "duplicate").when(F.col("m.score") >= fuzzy.LIKELY, "possible").otherwise("new")
-    return out.select("fingerprint", verdict.alias("verdict"), "m.id", "m.score", "m.flagged")
-
+from .live_match import best_live_match  # noqa: F401  linkage to the live table
 
 def route(rows: DataFrame, matches: DataFrame, live: DataFrame) -> DataFrame:
     """Adds disposition and outcome: duplicates are dropped, as live or as flagged by the community; possible ones are queued with a warning."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fuzzy, hashing, vocab
 from ..functions import text as T
-from ..operators import enrich, linkage, listing, memory, publish, reconcile
+from ..operators import enrich, linkage, listing, live_match, memory, publish, reconcile
 from ..sources import feeds, inbox, web
 from ..streaming import state
 
@@ -240,6 +240,33 @@ def best_live_match(spark, sf_dir):
     return linkage.best_live_match(*_match_tables(spark, sf_dir))
 
 
+#: A likeness by edits, and a pair's score, as SQL says them.
+_EDIT = "CASE WHEN c.{0} <> '' AND l.{0} <> '' THEN 1 - levenshtein(c.{0}, l.{0}) / CAST(greatest(length(c.{0}), length(l.{0})) AS DOUBLE) END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE lower(c_mktsegment[1:2]) || CASE c_nationkey % 4 WHEN 0 THEN 'ed widget' WHEN 1 THEN 'all rings' WHEN 2 THEN 'ue bolts' ELSE 'een gear' END END AS title,
+  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'lane ' || c_nationkey END AS place, CASE WHEN c_custkey % 20 > 0 THEN DATE '1995-01-01' + CAST(c_custkey * 7 % 500 AS INTEGER) END AS day, CASE WHEN c_custkey % 5 = 0 THEN 'i' || c_custkey % 400 END AS image FROM customer),
+l AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS title, 'lane ' || p_size AS place, CASE WHEN p_partkey % 25 > 0 THEN DATE '1995-01-01' + CAST(p_partkey % 500 AS INTEGER) END AS day, CASE WHEN p_partkey % 40 = 0 THEN 'i' || p_partkey % 400 END AS image FROM part),
+p AS (SELECT c.id AS c_id, l.id, l.day, abs(c.day - l.day) AS gap, c.image = l.image AS twin, {_EDIT.format("title")} AS t, {_EDIT.format("place")} AS p FROM c JOIN l ON c.day IS NULL OR l.day IS NULL OR abs(c.day - l.day) <= 7),
+d AS (SELECT *, CASE gap WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.85::DOUBLE WHEN 2 THEN 0.55::DOUBLE WHEN 3 THEN 0.55::DOUBLE ELSE CASE WHEN gap IS NOT NULL THEN 0.25::DOUBLE END END AS d FROM p),
+m AS (SELECT *, (coalesce(0.45::DOUBLE * d, 0) + coalesce(0.30::DOUBLE * p, 0) + coalesce(0.25::DOUBLE * t, 0)) / nullif(CASE WHEN d IS NULL THEN 0 ELSE 0.45::DOUBLE END + CASE WHEN p IS NULL THEN 0 ELSE 0.30::DOUBLE END + CASE WHEN t IS NULL THEN 0 ELSE 0.25::DOUBLE END, 0) AS mean FROM d),
+s AS (SELECT *, CASE WHEN twin THEN 1.0::DOUBLE ELSE CAST(round(CAST(coalesce(CASE WHEN d >= 0.85 AND p >= 0.85 THEN greatest(mean, 0.92::DOUBLE) ELSE mean END, 0) AS DECIMAL(18, 12)), 3) AS DOUBLE) END AS score FROM m),
+b AS (SELECT c_id, id, score FROM s WHERE score >= 0.72 QUALIFY row_number() OVER (PARTITION BY c_id ORDER BY score DESC, day DESC NULLS LAST, id) = 1)
+SELECT CAST(c.id AS VARCHAR) AS fingerprint, b.id, b.score, CASE WHEN b.score >= 0.9 THEN 'duplicate' WHEN b.score >= 0.72 THEN 'possible' ELSE 'new' END AS verdict FROM c LEFT JOIN b ON c.id = b.c_id""")
+def best_live_match_edit(spark, sf_dir):
+    """best_live_match by edit distance, which SQL has: customers as candidates, parts as the site, a part of both without a day, title or place, and images in common."""
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    day = lambda ok, n: F.when(ok, F.date_add(F.lit("1995-01-01").cast("date"), (n % 500).cast("int")))
+    ends = F.array(*[F.lit(x) for x in ("ed widget", "all rings", "ue bolts", "een gear")])
+    new = _table(spark, sf_dir, "customer").select(
+        k.cast("string").alias("fingerprint"), F.when(k % 11 != 0, F.concat(F.substr("c_mktsegment", F.lit(1), F.lit(2)), F.get(ends, (F.col("c_nationkey") % 4).cast("int")))).alias("title"),
+        F.when(k % 13 != 0, F.concat(F.lit("Lane "), F.col("c_nationkey").cast("string"))).alias("location"), day(k % 20 > 0, k * 7).alias("start_date"), F.when(k % 5 == 0, F.concat(F.lit("i"), (k % 400).cast("string"))).alias("flyer_phash"))
+    live = _table(spark, sf_dir, "part").select(
+        p.alias("id"), F.when(p % 17 != 0, F.col("p_name")).alias("title"), F.concat(F.lit("Lane "), F.col("p_size").cast("string")).alias("location"), day(p % 25 > 0, p).alias("start_date"),
+        F.when(p % 40 == 0, F.concat(F.lit("i"), (p % 400).cast("string"))).alias("flyer_phash"), F.lit(False).alias("flagged"))
+    return live_match.best_live_match(new, live, live_match.EDITS).select("fingerprint", "id", "score", "verdict")
+
+
 @query()
 def fuzzy_collapse(spark, sf_dir):
     """Rows only: greedy merging depends on its order; tests hold it against one loop over all rows."""

@@ -124,6 +124,45 @@ def test_best_match_is_brute_force(spark):
         assert r.verdict == "new" or (abs(r.score - b.s) < 1e-9 and r.id == b.id)
 
 
+def _best_by_all_pairs(c, l):
+    every = c.select(F.struct(*c.columns).alias("l")).crossJoin(l.select(F.struct(*l.columns).alias("r"))).withColumn("s", fuzzy.similarity("l", "r"))
+    order = F.struct("s", F.col("r.start_date"), -F.col("r.id"))
+    return {r.f: r for r in every.groupBy(F.col("l.fingerprint").alias("f")).agg(F.max("s").alias("s"), F.max_by("r.id", order).alias("id")).collect()}
+
+
+def test_best_match_on_a_hot_day(spark):
+    """Most rows on one day and many of one image, in blocks of 16 profiles: the same as all pairs; nulls, repeats, clashing names and empty tables."""
+    rng = random.Random(7)
+    words = "quilt night harbour run supper spring fair omak garden river mill song dance".split()
+    name = lambda n: " ".join(rng.choices(words, k=n)) + rng.choice(["", "s", "x"])
+    day = lambda: rng.choice([D(2026, 9, 1)] * 8 + [D(2026, 9, 2), D(2026, 9, 4), None])
+    made = [(i, rng.choice([None, *[name(3)] * 8]), rng.choice([None, *[name(2) + rng.choice([", WA", ", ID", ""])] * 8]), day(), rng.choice(["aa", *[None] * 12])) for i in range(260)]
+    kind = "id int, title string, location string, start_date date, flyer_phash string"
+    l = spark.createDataFrame(made[:140] + [(900, *made[0][1:])], kind).withColumn("flagged", F.col("id") % 7 == 0)
+    c = spark.createDataFrame(made[140:] + [(901, *made[3][1:]), (902, *made[3][1:]), (903, "zebra", "quay", D(2031, 1, 1), None)], kind).withColumn("fingerprint", F.col("id").cast("string")).withColumns({"cell": F.lit(1), "m": F.lit(2)})
+    best = _best_by_all_pairs(c, l)
+    for block in (16, 1024):
+        got = linkage.best_live_match(c, l, block=block).collect()
+        assert len(got) == 123 and {r.verdict for r in got} == {"duplicate", "possible", "new"}
+        for r in got:
+            b = best[r.fingerprint]
+            assert (r.score, r.id) == ((b.s, b.id) if b.s >= 0.72 else (None, None)), (r, b)
+    assert linkage.best_live_match(c.limit(0), l).count() == 0
+    assert {r.verdict for r in linkage.best_live_match(c, l.limit(0)).collect()} == {"new"}
+
+
+def test_edit_distance():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab c", k=rng.randint(0, 9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        assert fuzzy.edit_distance(a, b) == row[-1]
+
+
 def test_merged_into_is_whole(spark):
     """Ordinals beyond 2 ** 53 come out whole; a run of neighbouring days without states is gone through."""
     big = 104916390988172875
