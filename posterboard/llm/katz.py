@@ -27,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh_path, table, written
+from .common import crc_mod, fresh_path, remove, table, write_fresh, written
 
 ORDER = 3
 CHUNK_TOKENS = 1_200_000
 #: Ranges of a count table: one for so many characters of text, and so many at least.
 RANGE_CHARS = 32_000_000
 MIN_RANGES = 128
+#: Counting goes through the ranges, and scoring through the chunks, in so many parts: no more than one part of what is asked or answered is in an exchange beside the tables, and what was asked goes once it is answered.
+PARTS = 4
 #: Counts up to CUT are discounted.
 CUT = 5
 #: A history with over 1/HOT of all training tokens is very frequent; there are fewer than HOT of them.
@@ -438,7 +440,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(MIN_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
     folder = fresh_path(spark, "chunks")
-    answers = {1: written(_chunks(docs, folder, ranges).groupBy("range").applyInPandas(count_words, ANSWER), "counts-1")}
+
+    def kept(found: DataFrame, k: int) -> DataFrame:
+        part = F.when(F.col("chunk") >= 0, F.pmod(F.xxhash64("chunk"), F.lit(PARTS))).otherwise(-1).cast("int")
+        return written(found.withColumn("part", part), f"counts-{k}", "part")
+
+    answers = {1: kept(_chunks(docs, folder, ranges).groupBy("range").applyInPandas(count_words, ANSWER), 1)}
 
     def facts_of(k: int) -> Level:
         sums = answers[k].where("chunk = -1").agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(CUT + 3)]).first()
@@ -479,13 +486,18 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         return ask
 
-    def known(upto: int, *more: str) -> DataFrame:
-        """The answers of the levels below upto, by chunk."""
-        return reduce(DataFrame.unionByName, [answers[k].where("chunk >= 0").select("level", "range", "chunk", "blob", *more) for k in range(1, upto)]).groupBy("chunk")
+    def known(upto: int, *more: str, parts: list[int] = [*range(PARTS)]) -> DataFrame:
+        """The answers of the levels below upto to the chunks of some parts, by chunk."""
+        return reduce(DataFrame.unionByName, [answers[k].where(F.col("part").isin(parts)).select("level", "range", "chunk", "blob", *more) for k in range(1, upto)]).groupBy("chunk")
 
     for k in range(2, order + 1):
-        asked = known(k).applyInPandas(asking(k), "range int, chunk long, blob binary")
-        answers[k] = written(asked.groupBy("range").applyInPandas(count_grams(k), ANSWER), f"counts-{k}")
+        asked = known(k).applyInPandas(asking(k), "range int, chunk long, blob binary").withColumn("part", F.pmod(F.xxhash64("range"), F.lit(PARTS)).cast("int"))
+        path, found = write_fresh(asked, f"asked-{k}", "part"), []
+        for i in range(PARTS):
+            mine = spark.read.schema(asked.schema).parquet(path).where(F.col("part") == i)
+            found.append(kept(mine.groupBy("range").applyInPandas(count_grams(k), ANSWER), k))
+            remove(spark, f"{path}/part={i}")
+        answers[k] = reduce(DataFrame.unionByName, found)
         levels[k] = facts_of(k)
         sums = answers[k].where("chunk = -2").groupBy(F.slice("facts", 1, k - 1).alias("h")).agg(*[F.sum(F.col("facts")[i]).alias(f"f{i}") for i in range(k - 1, k - 1 + FACTS)])
         hot[k] = {tuple(x["h"]): list(x)[1:] for x in sums.collect()}  # fewer than HOT rows
@@ -522,8 +534,9 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             "base_score": by_text(np.log10((counts + 1) / (total_tokens + levels[1].types + 1))[chunk.local]), "score": by_text(np.log10(token_p)),
         })
 
-    out = known(order + 1, "histories").applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    scores = "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = [written(known(order + 1, "histories", parts=[i]).applyInPandas(score, scores), f"scores-{i}") for i in range(PARTS)]
+    return reduce(DataFrame.unionByName, out).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -531,7 +531,7 @@ def test_chat(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_is_its_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "pages", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     want = con.execute(queries.SQL[name])
