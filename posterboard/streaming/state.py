@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-MAX_ACCEPTED, WINDOW_MS = 3, 3_600_000
-#: Stretches of a client's attempts that one group goes through.
-BREAKS_A_GROUP = 1_000
+from .limiter import MAX_ACCEPTED, WINDOW_MS, rate_limited  # noqa: F401  the batch form
+
 BREAK_AT, MAX_DELAY, MAX_RETRY_AFTER = 3, 30.0, 60.0
 
 
@@ -36,29 +35,8 @@ def accept(times: list[int], recent: list[int], most: int = MAX_ACCEPTED, window
     return out, recent
 
 
-def rate_limited(attempts: DataFrame, most: int = MAX_ACCEPTED, window: int = WINDOW_MS) -> DataFrame:
-    """attempts: client, ms, seq. Adds accepted. Only accepted attempts count against later ones, so each depends on all before it.
-
-    A client's attempts over a window apart can't meet: attempts are parted where a gap of a window or more lies before them, so that a busy client's work
-    falls into many groups.
-    """
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("client").orderBy("ms", "seq")
-    gap = F.col("ms") - F.lag("ms").over(order)
-    breaks = F.sum(F.when(gap >= window, 1).otherwise(0)).over(order)
-    rows = attempts.select("client", "ms", "seq").withColumn("part", F.floor(breaks / BREAKS_A_GROUP))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ms", "seq"])
-        return pdf[["client", "ms", "seq"]].assign(accepted=accept([int(t) for t in pdf["ms"]], [], most, window)[0])
-
-    kind = dict(attempts.dtypes)["client"]
-    return rows.groupBy("client", "part").applyInPandas(run, f"client {kind}, ms long, seq long, accepted boolean")
-
-
 def rate_limited_stream(attempts: DataFrame, most: int = MAX_ACCEPTED, window: int = WINDOW_MS) -> DataFrame:
-    """The same for a stream; state per client is the accepted times of the last window, dropped when the client is silent for one."""
+    """rate_limited for a stream; state per client is the accepted times of the last window, dropped when the client is silent for one."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
