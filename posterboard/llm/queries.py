@@ -10,6 +10,7 @@ QUERIES = {
     "op3_katz": katz.op3_katz,
     "op4_warc": warc.op4_warc,
     "op5_spotsigs": spotsigs.op5_spotsigs,
+    "spotsigs_classes": spotsigs.spotsigs_classes,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_packing": packing.op8_packing,
