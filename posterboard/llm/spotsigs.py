@@ -10,6 +10,7 @@ alike enough, within partitions by set length, where a set meets its own class a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,8 @@ def _prefix_tree(words: list[str]) -> str:
 
 _ANY = _prefix_tree(sorted(set(ANCHORS)))
 _DROPPED = ".,;:!?\"'()[]"
+#: A character of a word.
+_CONTENT = "[^ \t\n\x0b\x0c\r" + re.escape(_DROPPED) + "]"
 #: Sets that meet all others of one signature and length class in one place.
 SALT_ROWS = 512
 #: Percent: near duplicates are at least so alike.
@@ -108,7 +111,7 @@ def links(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     A pair is found under the rarest signature that both are indexed by, and compared there, so none is found twice and none is carried on unless it is a link.
     """
-    index = _index(sets, threshold).withColumn("cls", length_class(F.col("n"), threshold / 100))
+    index = written(_index(sets, threshold).withColumn("cls", length_class(F.col("n"), threshold / 100)), "spot-index")  # read twice
     side = lambda df, x: df.select("cls", "sig", "salt", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "weight", "sigs", "owners", "at")])
     shorter = index.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).withColumn("cls", F.explode(F.array("cls", F.col("cls") + 1)))
     longer = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -134,7 +137,7 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         raise ValueError("threshold is over 0 and under 100 percent")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.expr("CAST(array() AS array<int>)")
-    sets = docs.select("doc_id", F.when(F.trim(normal_text(F.col("text"))) == "", none).otherwise(signatures(F.col("text"))).alias("sigs"))
+    sets = docs.select("doc_id", F.when(F.rlike("text", F.lit(_CONTENT)), signatures(F.col("text"))).otherwise(none).alias("sigs"))
     sets = sets.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sigs", F.size("sigs").alias("n"), F.xxhash64("sigs").alias("d1"), F.xxhash64(F.lit(1), F.col("sigs")).alias("d2"))
     sets = written(sets, "spot-sets")
     copies = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("weight"))
@@ -158,15 +161,17 @@ def similarity_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
 def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], payload: list[str]) -> DataFrame:
     """docs: doc_id, text (not null). Applies derive, and adds next_<column> for each payload column: the values of the next row, descending doc_id.
 
-    After the last row comes the first. Rows with the same doc_id go by a hash of the text, and null ids come last. The first payload
+    After the last row comes the first. Rows with the same doc_id go by a hash of the text, and null ids come last (beside the smallest long, where that is an id). The first payload
     column is never null. No window holds all rows: ids are dealt into cells of about CELL_ROWS neighbours, and the last row of a cell gets the
     first row of the next cell that has any.
     """
     facts = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = (facts["lo"] or 0) - 1, facts["hi"] or 0
+    lo, hi = max((facts["lo"] or 0) - 1, -(2**63)), facts["hi"] or 0
     width = max(1, (hi - lo + 1) * CELL_ROWS // max(1, facts["n"]))
     docs = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(lo)), "_h": F.xxhash64("text")})
-    cell = F.floor((F.col("_key") - lo) / F.lit(width)).cast("long")
+    wide = hi - lo >= 2**63  # a difference of ids may be no long
+    width = min(max(width, 2 if wide else 1), 2**63 - 1)
+    cell = F.floor((F.col("_key").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)") if wide else (F.col("_key") - lo) / F.lit(width)).cast("long")
 
     # the first row of each cell, and which cell comes next
     firsts = docs.withColumn("_cell", cell).groupBy("_cell").agg(F.max(F.struct("_key", "_h")).alias("first")).withColumn("block", F.floor(F.col("_cell") / CELL_ROWS))

@@ -73,3 +73,10 @@ def test_length_classes(spark):
         rows = spark.range(1, 3000).select("id", spotsigs.length_class(F.col("id"), threshold / 100).alias("c")).collect()
         cls = {r.id: r.c for r in rows}
         assert all(0 <= cls[n] - cls[-(-n * threshold // 100)] <= 1 for n in cls)
+
+
+def test_next_at_both_ends(spark):
+    """Ids at both ends of a long have a next one too."""
+    ids = [2**63 - 1, 2**63 - 2, 5, 4, 0, -7, -(2**63) + 1, -(2**63)]
+    rows = spotsigs.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string"), lambda d: d, ["text"])
+    assert {r.doc_id: r.next_text for r in rows.collect()} == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
