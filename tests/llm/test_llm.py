@@ -449,6 +449,21 @@ def test_pack_lengths(spark, monkeypatch):
         packing.pack(docs.withColumnRenamed("rows", "batch"), "batch", F.col("n"))
 
 
+def test_pack_does_not_depend_on_how_many_lengths_there_are(spark, monkeypatch):
+    """Lengths that stay in a table get the bounds that the driver would choose; few buckets of many lengths, many of few, ties (evenly spaced lengths), and a length that most rows have."""
+    rng = random.Random(5)
+    odd = [rng.randint(0, 100_000) for _ in range(160)]
+    for lengths, k, limit in ((odd + [70_001] * 90, 5, 20), ([n for n in range(4_090, 4_290, 5) for _ in range(2)], 4, 7), ([9_000, 9_001, 70_000], 16, 1)):
+        docs = spark.createDataFrame(list(enumerate(lengths)), "rows long, n long")
+        monkeypatch.setattr(packing, "MAX_LENGTHS", 65_536)
+        one = sorted(packing.pack(docs, "rows", F.col("n"), k, 300_000).collect())
+        counts = collections.Counter(lengths)
+        bounds = packing.optimal_bounds(np.array(sorted(counts)), np.array([counts[n] for n in sorted(counts)]), k)
+        assert sorted({r.bucket_len for r in one}) == bounds
+        monkeypatch.setattr(packing, "MAX_LENGTHS", limit)
+        assert sorted(packing.pack(docs, "rows", F.col("n"), k, 300_000).collect()) == one
+
+
 def plain_ftrl(rows, epochs):
     """FTRL-proximal as published, a weight at a time; rows are dictionaries of values by place."""
     z, n = collections.defaultdict(float), collections.defaultdict(float)
