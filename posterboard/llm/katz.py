@@ -72,6 +72,15 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
+def vocabulary(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, place): the distinct hashes, sorted, and each token's place among them. Only the distinct ones are sorted."""
+    number, words = pd.factorize(found)
+    order = np.argsort(words)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return words[order], place[number]
+
+
 @dataclass(frozen=True)
 class Level:
     """What the whole training text says of one level: tokens, types, and the discount of each count."""
@@ -85,7 +94,7 @@ class Level:
 
     def mass(self, by_count: np.ndarray, beyond: np.ndarray) -> np.ndarray:
         """Discounted count of types of which by_count[:, r - 1] were seen r times, and the others beyond times together."""
-        return (by_count * (self.discount[1 : CUT + 1] * np.arange(1, CUT + 1))).sum(axis=1) + beyond
+        return by_count @ (self.discount[1 : CUT + 1] * np.arange(1, CUT + 1)) + beyond
 
     @staticmethod
     def of(total: int, types: int, n: list[int]) -> Level:
@@ -150,7 +159,7 @@ def _chunks(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
         ids, train, found, size = [], [], [], 0
 
         def rows() -> pd.DataFrame:
-            words, local = np.unique(np.concatenate(found), return_inverse=True)
+            words, local = vocabulary(np.concatenate(found))
             lengths, flags = np.array([len(f) for f in found]), np.array(train, dtype=np.uint8)
             often = np.argsort(-np.bincount(local), kind="stable")  # frequent words have small numbers in the file
             rank = np.empty_like(often)
@@ -232,7 +241,7 @@ class Chunk:
         order = np.argsort(words)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.words, self.local = words[order], place[local]
+        self.words, self.local = words[order], place[local].astype(np.int32)  # places in 32 bits: what is gathered from at random should be small
         self.ranges, self.total_tokens, self.lengths, self.train = ranges, total_tokens, lengths.astype(np.int64), train > 0
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.place = np.arange(len(self.local)) - np.repeat(self.starts, self.lengths)  # in its text
@@ -248,36 +257,37 @@ class Chunk:
         self.number = np.concatenate([b[1].astype(np.int64) * self.ranges + k for b, k in zip(blobs, of_range, strict=True)])
         self.key = _mixed(self.number)
 
-    def grams(self, k: int, hot_count: float) -> Grams:
-        """Makes level k from the level below, whose totals are known.
+    def parts(self, k: int, at: np.ndarray, hist: np.ndarray) -> np.ndarray:
+        """The ranges of the n-grams of level k that end at these tokens.
 
         The range goes by the history's last word; where that has more than a small part of a range, by the words before it too; and for a very frequent history by the word that follows.
         """
-        below = self.at[k - 1]
-        at = np.flatnonzero(self.place >= k - 1)
-        v = len(self.words)
-        keys, where, inverse = _distinct(below[at] * v + self.first[k - 1][below[at - 1]])
-        suffix, first, hist, word = keys // v, keys % v, below[at[where] - 1], self.local[at[where]]
-        last = self.local[at[where] - 1]
-        key = self.key[last].copy()
+        last = self.local[at - 1]
+        key = self.key[last]
         if k > 2:
-            spread = self.total[1][last] > self.total_tokens / (4 * self.ranges)
-            before = [hist[spread]]
-            for level in range(k - 1, 1, -1):
-                key[spread] = key[spread] * _P + self.key[self.first[level][before[-1]]]
-                before.append(self.levels[level].suffix[before[-1]])
+            spread = np.flatnonzero((self.total[1] > self.total_tokens / (4 * self.ranges))[last])
+            for back in range(k - 1, 1, -1):
+                key[spread] = key[spread] * _P + self.key[self.local[at[spread] - back]]
+        hot = np.flatnonzero(self.hot[hist])
+        key[hot] = key[hot] * _P + self.key[self.local[at[hot]]]
+        return (key ^ (key >> np.uint64(29))) % np.uint64(self.ranges)
+
+    def grams(self, k: int, hot_count: float) -> Grams:
+        """Makes level k from the level below, whose totals are known. One sort puts the n-grams in order: the range is made for each token, in the order of the text."""
+        below, at = self.at[k - 1], np.flatnonzero(self.place >= k - 1)
+        suffix, hist, first = below[at], below[at - 1], self.local[at - (k - 1)]  # of each token's n-gram
         self.hot = self.total[k - 1] > hot_count
-        hot = self.hot[hist]
-        key[hot] = key[hot] * _P + self.key[word[hot]]
-        part = ((key ^ (key >> np.uint64(29))) % np.uint64(self.ranges)).astype(np.int64)
-        order = np.argsort(_small(part), kind="stable")  # of narrow numbers, no comparisons are needed
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.at[k] = np.full(len(self.local), -1)
-        self.at[k][at] = place[inverse]
-        seen = self.in_train[at]
-        self.levels[k] = Grams(hist[order], word[order], suffix[order], first[order], part[order], np.bincount(place[inverse[seen]], minlength=len(keys)))
-        self.first[k] = first[order]
+        low = (len(self.words) - 1).bit_length()
+        keys, bits = (suffix.astype(np.int64) << low) | first, (len(self.total[k - 1]) - 1).bit_length() + low
+        if bits + (self.ranges - 1).bit_length() > 64:
+            values, _, keys = _distinct(keys)
+            bits = (len(values) - 1).bit_length()
+        keys, where, inverse = _distinct((self.parts(k, at, hist) << np.uint64(bits)) | keys.astype(np.uint64))
+        self.at[k] = np.full(len(self.local), -1, dtype=np.int32)
+        self.at[k][at] = inverse
+        count = np.bincount(inverse[self.in_train[at]], minlength=len(keys))
+        self.first[k] = first[where]
+        self.levels[k] = Grams(hist[where], self.local[at[where]], suffix[where], self.first[k], (keys >> np.uint64(bits)).astype(np.int64), count)
         return self.levels[k]
 
     def spell(self, k: int, which: np.ndarray) -> list[np.ndarray]:
@@ -317,17 +327,18 @@ class Histories:
     def empty(m: int) -> Histories:
         return Histories(np.zeros(m, dtype=np.int64), np.zeros((m, CUT), dtype=np.int64), np.zeros((m, CUT), dtype=np.int64), np.zeros(m, dtype=np.int64))
 
-    def put(self, at, columns: list) -> None:
-        """columns: tokens of types seen more than CUT times, n, below, below_beyond."""
-        self.total[at], self.below_beyond[at] = columns[0], columns[-1]
-        for r in range(CUT):
-            self.n[at, r], self.below[at, r] = columns[1 + r], columns[1 + CUT + r]
-            self.total[at] += (r + 1) * self.n[at, r]
+    def put(self, at: np.ndarray, columns: list[np.ndarray]) -> None:
+        """columns: tokens of types seen more than CUT times, n, below, below_beyond. Rows without tokens say nothing and are left out."""
+        told = np.flatnonzero(reduce(np.logical_or, columns[: CUT + 1]))
+        at, columns = at[told], [c[told] for c in columns]
+        n = np.stack(columns[1 : CUT + 1], axis=1).astype(np.int64)
+        self.n[at], self.below[at] = n, np.stack(columns[CUT + 1 : -1], axis=1)
+        self.total[at], self.below_beyond[at] = n @ ONCE + columns[0].astype(np.int64), columns[-1]
 
     def fill_complete(self, hist: np.ndarray, count: np.ndarray, lower: np.ndarray) -> None:
         """hist, count, lower: of seen n-grams. Of a history for which the answer says nothing they are all that follows it (or nothing does), so they say it."""
-        told = self.total[hist] > 0
-        hist, count, lower = hist[~told], count[~told], lower[~told]
+        untold = ~(self.total > 0)[hist]
+        hist, count, lower = hist[untold], count[untold], lower[untold]
         m = len(self.total)
         self.total += _sums(hist, count, m)
         self.n += _tally(hist, count, m)
@@ -337,6 +348,7 @@ class Histories:
 
 #: Numbers of a history in an answer.
 FACTS = 2 * CUT + 2
+ONCE = np.arange(1, CUT + 1)
 
 
 def codes(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -396,8 +408,7 @@ def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     of_suffix = np.repeat(np.arange(len(runs)), runs)
     h, h_first = codes([first, *(c[of_suffix] for c in hist_words)])
     m = len(h_first)
-    hot = np.zeros(m, dtype=bool)
-    hot[h] = spread > 0
+    hot = np.unique(h[spread > 0])
     wide = int(first.max(initial=0)) + 1
     if (int(suffix.max(initial=0)) + 1) * wide >= 1 << 63:
         values, _, first_dense = _distinct(first)
@@ -409,8 +420,8 @@ def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     seen = counts > 0
     th, tlower, c = h[kind_first][seen], lower[of_suffix[kind_first]][seen], counts[seen]
     n_types = np.bincount(th, minlength=m)
-    facts = [_sums(th[c > CUT], c[c > CUT], m), *_tally(th, c, m).T, *_tally(th, tlower, m).T, _sums(th[tlower > CUT], tlower[tlower > CUT], m)]
-    of_gram, rows, b, own, scratch = counts[kind], [], 0, np.zeros(m, dtype=np.int64), np.empty(m, dtype=np.int64)
+    facts = [*map(_small, (_sums(th[c > CUT], c[c > CUT], m), *_tally(th, c, m).T, *_tally(th, tlower, m).T, _sums(th[tlower > CUT], tlower[tlower > CUT], m)))]
+    of_gram, rows, b, own, scratch = _small(counts)[kind], [], 0, np.zeros(m, dtype=np.int64), np.empty(m, dtype=np.int64)
     for r, chunk, part in zip(pdf["range"], pdf["chunk"], parts, strict=True):
         mine = slice(b, b + len(part[k + 1]))
         at = _first_seen(h[mine], scratch)  # histories as they first come in the slice
@@ -422,7 +433,7 @@ def _count_grams(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
         rows.append(_row(k, r, chunk, _pack(_small(of_gram[mine])), _pack(*[_small(f[at] * asks) for f in facts])))
         b = mine.stop
     rows.append(_row(k, -1, -1, b"", None, [int(c.sum()), len(c), *(int((c == r).sum()) for r in range(1, CUT + 2))]))
-    for i in np.flatnonzero(hot):
+    for i in hot:
         name = [first[h_first[i]], *(w[of_suffix[h_first[i]]] for w in hist_words)]
         rows.append(_row(k, -2, -2, b"", None, [*map(int, name), *(int(f[i]) for f in facts)]))
     return _frame(rows)
@@ -457,7 +468,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     levels = {1: facts_of(1)}
     total_tokens = levels[1].total
     by_count = np.array([numbers[1][:CUT]])
-    unigrams = Unigrams(levels[1], float(levels[1].mass(by_count, total_tokens - (by_count * np.arange(1, CUT + 1)).sum())[0]))
+    unigrams = Unigrams(levels[1], float(levels[1].mass(by_count, total_tokens - by_count @ ONCE)[0]))
     hot_count = max(total_tokens / HOT, 50)
     hot: dict[int, dict[tuple, list]] = {}
 
@@ -514,15 +525,16 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             spread = np.flatnonzero(chunk.total[k - 1] > hot_count)
             for i, name in zip(spread, zip(*chunk.spell(k - 1, spread), strict=True), strict=True):
                 if (found := hot[k].get(tuple(map(int, name)))) is not None:
-                    histories.put(i, found)
+                    histories.put(np.array([i]), [np.array([x]) for x in found])
             c = chunk.total[k]
             histories.fill_complete(level.hist[c > 0], c[c > 0], chunk.total[k - 1][level.suffix[c > 0]])
-            mass = m.mass(histories.n, histories.total - (histories.n * np.arange(1, CUT + 1)).sum(axis=1))
-            whole = np.maximum(histories.total + (mass >= histories.total), 1)
+            total = histories.total
+            mass = m.mass(histories.n, total - histories.n @ ONCE)
+            whole = np.maximum(total + (mass >= total), 1)
             # what the types that follow a history have one level below, where the history is a word shorter
             seen_below = levels[k - 1].mass(histories.below, histories.below_beyond) / (whole_below[suffix_below] if suffix_below is not None else whole_below)
             with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.where(histories.total > 0, (1 - mass / whole) / (1 - seen_below), 1.0)
+                alpha = np.where(total > 0, (1 - mass / whole) / (1 - seen_below), 1.0)
             p = np.where(c > 0, m.discounted(c) / whole[level.hist], alpha[level.hist] * p[level.suffix])
             there = chunk.at[k] >= 0
             token_p[there] = p[chunk.at[k][there]]

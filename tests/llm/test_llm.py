@@ -226,6 +226,36 @@ def test_katz(spark, awkward, monkeypatch, chunk, order):
         assert r.score == pytest.approx(s, rel=1e-9) and r.base_score == pytest.approx(b, rel=1e-9)
 
 
+@pytest.mark.parametrize("ranges", [5, 1 << 61])
+def test_katz_sorts_a_level_once(monkeypatch, ranges):
+    """A chunk's n-grams by plain Python, ordered by range, suffix and first word; one sort of tokens a level (two where a key doesn't fit 64 bits)."""
+    texts = [[1, 2, 1, 2, 1, 0], [0], [2, 1, 2, 3, 0], [1, 2, 0]]
+    chunk = katz.Chunk.__new__(katz.Chunk)
+    chunk.words, chunk.local = np.arange(4, dtype=np.uint64), np.array(sum(texts, []), dtype=np.int32)
+    chunk.ranges, chunk.total_tokens, chunk.number, chunk.key = ranges, 20, np.arange(4), katz._mixed(np.arange(4))
+    chunk.place, chunk.in_train = np.array([i for t in texts for i in range(len(t))]), np.array([n != 2 for n, t in enumerate(texts) for _ in t])
+    chunk.levels, chunk.at, chunk.total, chunk.first = {}, {1: chunk.local}, {1: np.bincount(chunk.local)}, {1: np.arange(4)}
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(katz.np, "argsort", lambda a, *b, **c: (sorts.append(len(a)), argsort(a, *b, **c))[1])
+    for k in (2, 3):
+        sorts.clear()
+        level = chunk.grams(k, 4)
+        assert len(sorts) == (1 if ranges == 5 else 2)
+        spelled = list(zip(*(map(int, c) for c in chunk.spell(k, np.arange(len(level.word)))), strict=True))
+        seen = collections.Counter(tuple(t[i : i + k]) for n, t in enumerate(texts) if n != 2 for i in range(len(t) - k + 1))
+        every = [tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)]
+        assert sorted(spelled) == sorted(set(every)) and level.count.tolist() == [seen[g] for g in spelled]
+        assert [spelled[i] for i in chunk.at[k] if i >= 0] == every
+        assert [g[-1] for g in spelled] == level.word.tolist()
+        assert (order := list(zip(level.part.tolist(), level.suffix.tolist(), level.first.tolist(), strict=True))) == sorted(order)
+        chunk.total[k] = level.count + 1
+
+
+def test_katz_vocabulary():
+    words, place = katz.vocabulary(np.array([7, 1 << 63, 7, 2, 1 << 63, 7], dtype=np.uint64))
+    assert words.tolist() == [2, 7, 1 << 63] and place.tolist() == [1, 2, 1, 0, 2, 1]
+
+
 def test_katz_without_training(spark, nothing):
     docs = spark.createDataFrame([(1, "a b", False), (2, None, None)], "doc_id long, text string, train boolean")
     assert {(r.doc_id, r.score, r.train_tokens) for r in katz.score_documents(docs).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
