@@ -332,3 +332,14 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     source.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in").writeStream.foreachBatch(memory.recorder(folder, day, "other")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     assert stream.awaitTermination(60) and {r.fingerprint for r in memory.load(spark, folder).collect()} == {"a", "b", "c", "d"}
+
+
+def test_image_verdicts_beside_hashes_that_are_near_by_chance(spark, tmp_path):
+    """The first 16 digits of 9082 and 64280 are 12 bits apart, and they are of no three."""
+    import duckdb
+
+    from posterboard.plans.queries import QUERIES, SQL
+
+    spark.createDataFrame([(k,) for k in (9081, 9082, 9083, 64280, 5, 4, 3)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    want = duckdb.connect().execute(SQL["image_verdicts"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in QUERIES["image_verdicts"](spark, str(tmp_path)).collect()) == sorted(want)
