@@ -11,7 +11,7 @@ from itertools import combinations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing
@@ -34,16 +34,45 @@ def unseen_key(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return rows.join(known, "match_key", "left_anti")
 
 
+#: Bits of the bands of a hash of 64 digits: place among the 256, and number.
+_BAND_PLACES = [(4 * sum(hashing.BANDS[:k]), 4 * n) for k, n in enumerate(hashing.BANDS)]
+
+
+def _words(h: Column, digits: int) -> list[Column]:
+    """A hash as numbers of 64 bits."""
+    return [F.conv(F.substr(h, F.lit(at), F.lit(16)), 16, -10).cast("long") for at in range(1, digits + 1, 16)]
+
+
+def _first_shared(x: list[Column]) -> Column:
+    """The first band that two hashes share, by the words of their xor."""
+    out = F.lit(None).cast("int")
+    for k in reversed(range(len(_BAND_PLACES))):
+        at, n = _BAND_PLACES[k]
+        mask = ((1 << n) - 1) << 256 - at - n
+        words = [(i, mask >> 64 * (3 - i) & (1 << 64) - 1) for i in range(4)]
+        same = [x[i].bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) == 0 for i, m in words if m]
+        out = F.when(reduce(Column.__and__, same), k).otherwise(out)
+    return out
+
+
 def near_hash_pairs(left: DataFrame, right: DataFrame, key: str, other: str, hash_col: str, max_bits: int = NEAR_BITS) -> DataFrame:
     """key, other, bits for hashes of 64 digits at most max_bits (12) apart: of 13 bands two such hashes share one.
 
+    Hashes are made numbers before they are banded, and a pair counts under the first band that it shares. Bands are many times the rows, which a plan can't know: the join is a sort merge, never a broadcast.
     For shorter hashes see near_hash_short.
     """
-    long = F.length(hash_col) == 64
-    l = left.where(long).select(key, F.col(hash_col).alias("_l"), F.explode(hashing.bands(F.col(hash_col))).alias("band"))
-    r = right.where(long).select(other, F.col(hash_col).alias("_r"), F.explode(hashing.bands(F.col(hash_col))).alias("band"))
-    pairs = l.join(r, "band").withColumn("bits", hashing.hamming(F.col("_l"), F.col("_r"))).where(F.col("bits") <= max_bits)
-    return pairs.select(key, other, "bits").distinct()
+
+    def banded(df: DataFrame, c: str, side: str) -> DataFrame:
+        words = [w.alias(f"_{side}{i}") for i, w in enumerate(_words(F.col("_h"), 64))]
+        df = df.select(c, F.col(hash_col).alias("_h")).where(F.col("_h").rlike("^[0-9a-fA-F]{64}$"))
+        # spread, as rows are few bytes and their bands much work; bands are made after the explode, else a filter on all of them is pushed under it
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h").select(c, "_h", *words).withColumn("_k", F.explode(F.lit(list(range(len(hashing.BANDS))))))
+        digits = F.substr("_h", F.col("_k") * hashing.BANDS[0] + 1, F.lit(hashing.BANDS[0]))  # the last has one less
+        return df.select(c, *[f"_{side}{i}" for i in range(4)], (F.conv(digits, 16, 10).cast("long") + F.shiftleft(F.col("_k").cast("long"), 20)).alias("band"))
+
+    x = [F.col(f"_l{i}").bitwiseXOR(F.col(f"_r{i}")) for i in range(4)]
+    pairs = banded(left, key, "l").hint("merge").join(banded(right, other, "r").hint("merge"), "band").withColumn("bits", reduce(Column.__add__, [F.bit_count(w) for w in x])).where(F.col("bits") <= max_bits)
+    return pairs.where(_first_shared(x) == F.shiftright("band", 20)).select(key, other, "bits").distinct()
 
 
 #: Hashes of 16 digits are cut into bands of so many bits.

@@ -343,3 +343,17 @@ def test_image_verdicts_beside_hashes_that_are_near_by_chance(spark, tmp_path):
     spark.createDataFrame([(k,) for k in (9081, 9082, 9083, 64280, 5, 4, 3)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     want = duckdb.connect().execute(SQL["image_verdicts"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in QUERIES["image_verdicts"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_bands_are_never_broadcast(spark, tmp_path):
+    """A table small enough to be sent to all tasks isn't, once each row is 13; a pair that shares several bands comes once."""
+    rng = random.Random(6)
+    base = rng.getrandbits(256)
+    at = [i * 20 for i in range(13)]
+    hashes = [(0, f"{base:064x}"), (1, f"{base ^ sum(1 << 255 - b for b in at[:12]):064X}"), (2, f"{base ^ sum(1 << 255 - b for b in at):064x}"), (3, f"{base ^ 1:064x}"), (4, f"{base:063x}"[:63]), (5, None), (6, "g" * 64)]
+    spark.createDataFrame(hashes, "a int, h string").write.parquet(f"{tmp_path}/h")
+    df = spark.read.parquet(f"{tmp_path}/h")
+    pairs = memory.near_hash_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", "h")
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    good = [(i, int(h, 16)) for i, h in hashes[:4]]
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j, (x ^ y).bit_count()) for i, x in good for j, y in good if (x ^ y).bit_count() <= 12)
