@@ -7,7 +7,6 @@ import uuid
 import warnings
 from collections.abc import Callable
 from functools import reduce
-from itertools import combinations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..schemas import LEDGER
+from .near_hashes import near_hashes
 
 NEAR_BITS = 12
 KEEP_DAYS = 900
@@ -75,39 +75,12 @@ def near_hash_pairs(left: DataFrame, right: DataFrame, key: str, other: str, has
     return pairs.where(_first_shared(x) == F.shiftright("band", 20)).select(key, other, "bits").distinct()
 
 
-#: Hashes of 16 digits are cut into bands of so many bits.
-BAND_BITS = 16
-
-
-def _radii(bands: int, max_bits: int) -> list[int]:
-    """A radius for each band, so that hashes up to max_bits apart are within the radius in one band at least: else they were radius + 1 apart in each, which is max_bits + 1 in all. -1 leaves a band out."""
-    spare = max_bits + 1
-    return [spare // bands + (k < spare % bands) - 1 for k in range(bands)]
-
-
-def near_hashes(left: DataFrame, right: DataFrame, max_bits: int = NEAR_BITS) -> DataFrame:
-    """left, right: h, hashes of 16 hex digits. Returns l, r, bits for distinct hashes at most max_bits apart.
-
-    Multi-index hashing: each hash of the right is looked up by its bands of 16 bits, and each of the left asks, in each band, for all codes within that band's radius. For 12 bits the radii are 3, 2, 2 and 2:
-    1,108 codes of a hash, which meet 1.7 % of random hashes.
-    """
-    bands = 64 // BAND_BITS
-    code = lambda k: F.conv(F.substr("h", F.lit(1 + 4 * k), F.lit(4)), 16, 10).cast("int")
-    flips = [[sum(1 << b for b in chosen) for n in range(radius + 1) for chosen in combinations(range(BAND_BITS), n)] for radius in _radii(bands, max_bits)]
-    around = lambda k: lambda m: F.struct(F.lit(k).alias("band"), code(k).bitwiseXOR(m).alias("code"))
-    asked = F.concat(*[F.transform(F.lit(masks), around(k)) for k, masks in enumerate(flips) if masks])
-    held = F.array(*[F.struct(F.lit(k).alias("band"), code(k).alias("code")) for k in range(bands)])
-    whole = lambda df: df.where(F.col("h").rlike("^[0-9a-fA-F]{16}$")).select("h").distinct()
-    l = whole(left).select(F.col("h").alias("l"), F.explode(asked).alias("at"))
-    r = whole(right).select(F.col("h").alias("r"), F.explode(held).alias("at"))
-    pairs = l.join(r, "at").withColumn("bits", hashing.hamming(F.col("l"), F.col("r"), 16)).where(F.col("bits") <= max_bits)
-    return pairs.select("l", "r", "bits").distinct()
-
-
 def near_hash_short(left: DataFrame, right: DataFrame, key: str, other: str, hash_col: str, max_bits: int = NEAR_BITS) -> DataFrame:
     """As near_hash_pairs, for hashes of 16 hex digits. Hashes that many rows have are compared once."""
-    near = near_hashes(left.select(F.col(hash_col).alias("h")), right.select(F.col(hash_col).alias("h")), max_bits)
-    l, r = left.select(key, F.col(hash_col).alias("l")), right.select(other, F.col(hash_col).alias("r"))
+    whole = lambda df, c: df.where(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$")).select(c, _words(F.col(hash_col), 16)[0].alias("h"))
+    l, r = whole(left, key), whole(right, other)
+    near = near_hashes(l, r, max_bits)
+    l, r = (df.withColumnRenamed("h", name) for df, name in ((l, "l"), (r, "r")))
     return near.join(l, "l").join(r, "r").select(key, other, "bits").distinct()
 
 
