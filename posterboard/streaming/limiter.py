@@ -9,6 +9,8 @@ isn't known yet. What comes in can only shift how many are accepted by `most`, s
    before has gone) or none in its last (nothing it accepts matters later).
 2. One pass over the spans of a client in order, read batch by batch, looks up what comes into each.
 3. Each span, with that known, decides its attempts.
+
+Spans go through tasks in their order, many at a time, so that a client of few attempts costs no more than its rows. A span of which nothing reaches into the next isn't passed on.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,44 +72,94 @@ def _function(times: np.ndarray, heads: int, most: int, window: int) -> np.ndarr
         kept.append(table)
 
 
-def _sum_up(pdf: pd.DataFrame, most: int, window: int, length: int) -> pd.DataFrame:
-    times = np.sort(pdf["ms"].to_numpy(np.int64))
-    start = int(pdf["span"].iloc[0]) * length
-    heads = times[times < start + window]
-    facts = pdf.iloc[:1][["client", "span"]]
-    if times[-1] < start + length - window:
-        return facts.assign(heads=[heads], last=[[]], ways=[[]])
-    if not len(heads):
-        last = times[_accepted(_after(times, window), _firsts(times, [], most, window))][-most:]
-        return facts.assign(heads=[heads], last=[last], ways=[[]])
-    return facts.assign(heads=[heads], last=[[]], ways=[_function(times, len(heads), most, window).ravel()])
+def _whole_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows in the order of key and span as tables of whole spans, many to a table; where each span starts and ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def table() -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        out = pa.Table.from_batches(held).combine_chunks()
+        starts = np.flatnonzero(_changes(out))
+        return out, starts, np.append(starts[1:], out.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = _changes(batch)
+        new[0] = (batch["key"][0].as_py(), batch["span"][0].as_py()) != last
+        last = batch["key"][-1].as_py(), batch["span"][-1].as_py()
+        at = np.flatnonzero(new)
+        if len(at):
+            end = int(at[-1])
+            held += [batch.slice(0, end)] if end else []
+            if held:
+                yield table()
+            held = [batch.slice(end)]
+        else:
+            held.append(batch)
+    if held:
+        yield table()
+
+
+def _changes(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """True where a row's key or span isn't that of the row before."""
+    key, span = rows["key"].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows["key"].to_numpy(), rows["span"].to_numpy()
+    out = np.ones(len(span), bool)
+    out[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
+    return out
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch], most: int, window: int, length: int) -> Iterator[pa.RecordBatch]:
+    """key, span, heads, last, ways of the spans of which something reaches into the next."""
+    for rows, starts, ends in _whole_spans(batches):
+        ms, span = rows["ms"].to_numpy(), rows["span"].to_numpy()
+        begin = span * length
+        n_heads = np.add.reduceat((ms < begin + window).astype(np.int64), starts)
+        reach = np.flatnonzero(ms[ends - 1] >= begin[starts] + length - window)
+        out = []
+        for i in reach:
+            times, n = ms[starts[i] : ends[i]], int(n_heads[i])
+            if n:
+                out.append((times[:n], [], _function(times, n, most, window).ravel()))
+            else:
+                out.append(([], times[_accepted(_after(times, window), _firsts(times, [], most, window))][-most:], []))
+        if out:
+            heads, last, ways = (pa.array(list(c), pa.list_(pa.int64())) for c in zip(*out, strict=True))
+            first = pa.array(starts[reach])
+            yield pa.RecordBatch.from_arrays([rows["key"].take(first).combine_chunks(), rows["span"].take(first).combine_chunks(), heads, last, ways], names=["key", "span", "heads", "last", "ways"])
 
 
 def _walk(batches: Iterator[pd.DataFrame], most: int, window: int) -> Iterator[pd.DataFrame]:
-    """Spans by client and order; recent: the accepted times that reach into the span."""
-    client, before, left = object(), -1, []
+    """Spans that reach into the next, by key and order; recent: the accepted times that reach into the span it is given for."""
+    key, before, left = None, -1, []
     for pdf in batches:
         out = []
-        for c, span, heads, last, ways in zip(pdf["client"], pdf["span"], pdf["heads"], pdf["last"], pdf["ways"]):
-            same = (c == client or (pd.isna(c) and pd.isna(client))) and span == before + 1
-            recent = left if same else []
-            out.append((c, span, recent))
-            client, before, left = c, span, list(last)
+        for k, span, heads, last, ways in zip(pdf["key"], pdf["span"], pdf["heads"], pdf["last"], pdf["ways"], strict=True):
+            recent = left if k == key and span == before + 1 else []
+            key, before, left = k, span, [int(t) for t in last]
             if len(ways):
                 heads = np.asarray(heads)
                 firsts = _firsts(heads, recent, most, window)
                 table = np.asarray(ways).reshape(-1, most, len(heads) + most)
                 ends = np.max([table[:, j, p] for j, p in enumerate(firsts)], axis=0)
                 left = [int(t) for t in ends if t < NEVER][-most:]
-        yield pd.DataFrame(out, columns=["client", "span", "recent"])
+            if left:
+                out.append((k, span + 1, left))
+        yield pd.DataFrame(out, columns=["key", "span", "recent"])
 
 
-def _decide(pdf: pd.DataFrame, most: int, window: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ms", "seq"])
-    times, recent = pdf["ms"].to_numpy(np.int64), pdf["recent"].iloc[0]
-    ok = np.zeros(len(pdf), bool)
-    ok[_accepted(_after(times, window), _firsts(times, [int(t) for t in recent], most, window))] = True
-    return pdf[["client", "ms", "seq"]].assign(accepted=ok)
+def _decide(batches: Iterator[pa.RecordBatch], most: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Spans of no more attempts than may be accepted, into which nothing reaches, need no look."""
+    for rows, starts, ends in _whole_spans(batches):
+        ms, ok = rows["ms"].to_numpy(), np.ones(rows.num_rows, bool)
+        recents = rows["recent"].take(pa.array(starts))
+        hears = recents.is_valid().to_numpy()
+        for i in np.flatnonzero((ends - starts > most) | hears):
+            start, end = starts[i], ends[i]
+            times, recent = ms[start:end], recents[int(i)].as_py() or []
+            ok[start:end] = False
+            ok[start + np.array(_accepted(_after(times, window), _firsts(times, recent, most, window)), np.int64)] = True
+        yield from rows.select(["client", "ms", "seq"]).append_column("accepted", pa.array(ok)).to_batches()
 
 
 def rate_limited(attempts: DataFrame, most: int = MAX_ACCEPTED, window: int = WINDOW_MS, windows: int = SPAN_WINDOWS) -> DataFrame:
@@ -120,12 +173,13 @@ def rate_limited(attempts: DataFrame, most: int = MAX_ACCEPTED, window: int = WI
     length = window * windows
     kinds = dict(attempts.dtypes)
     rows = attempts.select("client", F.col("ms").cast("long").alias("ms"), "seq")
-    timed = rows.where("ms IS NOT NULL").withColumn("span", F.floor(F.col("ms") / F.lit(length)).cast("long"))
-    spans = timed.groupBy("client", "span").applyInPandas(
-        lambda pdf: _sum_up(pdf, most, window, length), f"client {kinds['client']}, span long, heads array<long>, last array<long>, ways array<long>")
-    inward = spans.repartition("client").sortWithinPartitions("client", "span").mapInPandas(
-        lambda batches: _walk(batches, most, window), f"client {kinds['client']}, span long, recent array<long>")
-    inward = inward.select(F.col("client").alias("_client"), F.col("span").alias("_span"), "recent")
-    known = timed.join(inward, timed["client"].eqNullSafe(inward["_client"]) & (timed["span"] == inward["_span"])).drop("_client", "_span")
-    out = known.groupBy("client", "span").applyInPandas(lambda pdf: _decide(pdf, most, window), f"client {kinds['client']}, ms long, seq {kinds['seq']}, accepted boolean")
+    # a text for each client, as its column can have any type, and nulls
+    text = F.hex("client") if kinds["client"] == "binary" else F.to_json(F.struct("client")) if kinds["client"].startswith(("struct", "array")) else F.col("client").cast("string")
+    timed = rows.where("ms IS NOT NULL").withColumns({"key": F.coalesce(F.concat(F.lit("="), text), F.lit("")), "span": F.floor(F.col("ms") / F.lit(length)).cast("long")})
+    parts = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as a span's table is few bytes and much work
+    spans = timed.select("key", "span", "ms").repartition(parts, "key", "span").sortWithinPartitions("key", "span", "ms").mapInArrow(
+        lambda batches: _sum_up(batches, most, window, length), "key string, span long, heads array<long>, last array<long>, ways array<long>")
+    inward = spans.repartition(parts, "key").sortWithinPartitions("key", "span").mapInPandas(lambda batches: _walk(batches, most, window), "key string, span long, recent array<long>")
+    known = timed.hint("merge").join(inward.hint("merge"), ["key", "span"], "left").repartition(parts, "key", "span").sortWithinPartitions("key", "span", "ms", "seq")
+    out = known.mapInArrow(lambda batches: _decide(batches, most, window), f"client {kinds['client']}, ms long, seq {kinds['seq']}, accepted boolean")
     return out.unionAll(rows.where("ms IS NULL").withColumn("accepted", F.lit(False)))

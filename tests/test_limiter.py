@@ -58,3 +58,30 @@ def test_rate_limited_edges(spark):
     assert sorted(r.accepted for r in limiter.rate_limited(same).collect()) == [False, False, True, True, True]
     with pytest.raises(ValueError):
         limiter.rate_limited(same, most=0)
+
+
+def test_many_clients_of_few_attempts(spark):
+    """Spans go through tasks many at a time, not one by one; ids past the doubles and a null stay as they are."""
+    rng = random.Random(9)
+    rows = [(2**60 + c if c else None, rng.randint(0, 2000), 10 * c + i) for c in range(3000) for i in range(rng.choice([1, 2, 6]))]
+    df = limiter.rate_limited(spark.createDataFrame(rows, "client long, ms long, seq long"), 3, 100, 2)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for c in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == c)
+        want |= {(c, i): ok for (_, i), ok in zip(mine, loop([t for t, _ in mine], 3, 100))}
+    assert {(r.client, r.seq): r.accepted for r in df.collect()} == want and not all(want.values())
+
+
+def test_spans_that_batches_cut(spark):
+    """A span's rows come in several Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(3)
+        rows = [("a", rng.randint(0, 900), i) for i in range(200)] + [("b", rng.randint(0, 900), 1000 + i) for i in range(5)]
+        got = {r.seq: r.accepted for r in limiter.rate_limited(spark.createDataFrame(rows, "client string, ms long, seq long"), 3, 100, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in "ab":
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == c)
+        assert [got[i] for _, i in mine] == loop([t for t, _ in mine], 3, 100)
