@@ -5,7 +5,7 @@ Rows with the same day, title, place and state are one profile, and a candidate
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -19,8 +19,10 @@ from ..functions.text import location_state, normalize_key, normalize_location
 from ..session import ensure_checkpoints
 from .alike import alike_pairs
 
-#: Profiles of either side that a task compares.
-BLOCK = 1_024
+#: Profiles of the right that a task compares at once; so many times that of the left, and of the right in all.
+BLOCK, LEFT_BLOCKS, RIGHT_BLOCKS = 1_024, 4, 64
+#: Likenesses that a task remembers.
+MEMO = 1 << 20
 #: Days of a cell; a candidate looks into the cells that its days up to POSSIBLE_GAP away fall into, two at most.
 CELL_DAYS = 2 * fuzzy.POSSIBLE_GAP + 1
 _BINS = 64
@@ -45,9 +47,12 @@ EDITS = Measure(fuzzy.edit_likeness, fuzzy.edit_share, len, lambda c, n, w: c /
 
 
 class _Keys:
-    """The distinct keys of both sides of a block, what each pair can have at most, and the likenesses worked out so far."""
+    """The distinct keys of both sides of a block, what each pair can have at most, and the likenesses worked out so far, here and in the blocks before."""
 
-    def __init__(self, left: pd.Series, right: pd.Series, measure: Measure):
+    def __init__(self, left: pd.Series, right: pd.Series, measure: Measure, memo: dict[tuple[str, str], float]):
+        self.memo = memo
+        if len(memo) > MEMO:
+            memo.clear()
         (self.l, a), (self.r, b) = pd.factorize(left), pd.factorize(right)
         self.a, self.b, self.exact = list(a), list(b), measure.exact
         x, y = self._letters(self.a), self._letters(self.b)
@@ -81,9 +86,25 @@ class _Keys:
         if np.isnan(self.most[p]):
             return None
         if self.known[p] < 0:
-            self.known[p] = self.exact(self.a[p[0]], self.b[p[1]])
+            self.known[p] = self._exact(*p)
         return self.known[p]
 
+    def _exact(self, a: int, b: int) -> float:
+        pair = self.a[a], self.b[b]
+        found = self.memo.get(pair)
+        if found is None:
+            found = self.memo[pair] = self.exact(*pair)
+        return found
+
+    def row(self, i: int, some: np.ndarray) -> np.ndarray:
+        """The likenesses of a row of the left and some of the right; nan where a key is blank."""
+        a = self.l[i]
+        known, most = self.known[a], self.most[a]
+        for b in np.unique(self.r[some]):
+            if known[b] < 0 and not np.isnan(most[b]):
+                known[b] = self._exact(a, b)
+        return np.where(np.isnan(most), np.nan, known)[self.r[some]]
+
 
 def _mean(day: float, place: float | None, title: float | None) -> float:
     """The score before it is rounded, for rows that have a day, no image in common and no states that differ."""
@@ -100,50 +121,127 @@ def _thousandths(mean: float) -> int:
     return int(Decimal(repr(float(mean))).quantize(Decimal("0.001"), ROUND_HALF_UP).scaleb(3))
 
 
-def best_of_block(l: pd.DataFrame, r: pd.DataFrame, measure: Measure) -> pd.DataFrame:
-    """l: day, title, place, state; r: the same, id, flagged. The best likely row of r for each of l that has one, of those up to POSSIBLE_GAP days apart.
-
-    Each row of l looks at those of r by falling bound, ties in their order, and stops at the first that can't be better than what it has.
-    """
-    r = r.iloc[np.lexsort((r["id"].to_numpy(), -r["day"].to_numpy()))].reset_index(drop=True)
-    titles, places = _Keys(l["title"], r["title"], measure), _Keys(l["place"], r["place"], measure)
-    gap = np.abs(l["day"].to_numpy()[:, None] - r["day"].to_numpy()[None, :])
-    day = np.select([gap == 0, gap <= 1, gap <= fuzzy.POSSIBLE_GAP], [1.0, 0.85, 0.55], 0.0)
-    a, b = l["state"].to_numpy()[:, None], r["state"].to_numpy()[None, :]
-    apart = (day == 0) | ((a != b) & (a != "") & (b != ""))
+def _most(day: np.ndarray, place: np.ndarray, title: np.ndarray) -> np.ndarray:
+    """Thousandths that scores are at most, by what their parts are at most; nan is a part that is blank."""
     total, value = np.full(day.shape, fuzzy.WEIGHTS[0]), day * fuzzy.WEIGHTS[0]
-    place = places.bound()
-    for part, weight in ((place, fuzzy.WEIGHTS[1]), (titles.bound(), fuzzy.WEIGHTS[2])):
+    for part, weight in ((place, fuzzy.WEIGHTS[1]), (title, fuzzy.WEIGHTS[2])):
         total += np.where(np.isnan(part), 0.0, weight)
         value += np.nan_to_num(part) * weight
     mean = value / total
     mean = np.where((day >= 0.85) & (np.nan_to_num(place) >= 0.85 - 1e-9), np.maximum(mean, fuzzy.SAME_DAY_AND_PLACE), mean)
-    most = np.where(apart, -1, np.floor(mean * 1000 + 0.5 + 1e-6)).astype(np.int64)
+    return np.floor(mean * 1000 + 0.5 + 1e-6).astype(np.int64)
+
+
+def _nearness(gap: np.ndarray) -> np.ndarray:
+    return np.select([gap == 0, gap <= 1, gap <= fuzzy.POSSIBLE_GAP], [1.0, 0.85, 0.55], 0.0)
+
+
+#: What a pair of such days can score at most, with equal keys or blank ones.
+_CAPS = {day: int(max(_most(np.array([day] * 4), np.array([1.0, np.nan] * 2), np.array([1.0, 1.0, np.nan, np.nan])))) for day in (1.0, 0.85, 0.55)}
+
+
+def best_of_block(l: pd.DataFrame, r: pd.DataFrame, measure: Measure, floor: np.ndarray, memos: tuple[dict, dict]) -> list[tuple[int, int, int]]:
+    """l: day, title, place, state; r: the same, id, flagged, by falling day, then id. Place in l, thousandths and place in r of the best likely row of r for each of l that has one over its floor, of those up to POSSIBLE_GAP days apart.
+
+    Each row of l looks at those of r by falling bound, ties in their order, and stops at the first that can't be better than what it has. Its likenesses to the titles there, which are often few, are worked out
+    before the bounds that it goes by; titles are as many as rows where all differ, and are then looked at one by one.
+    """
+    days, r_days = l["day"].to_numpy(), r["day"].to_numpy()
+    apart_by = np.maximum(np.maximum(r_days.min() - days, days - r_days.max()), 0)
+    cap = np.select([apart_by == 0, apart_by <= 1, apart_by <= fuzzy.POSSIBLE_GAP], [_CAPS[1.0], _CAPS[0.85], _CAPS[0.55]], -1)
+    rows = np.flatnonzero(cap > floor)
+    if not len(rows):
+        return []
+    l, floor = l.iloc[rows], floor[rows]
+    titles, places = _Keys(l["title"], r["title"], measure, memos[0]), _Keys(l["place"], r["place"], measure, memos[1])
+    day = _nearness(np.abs(l["day"].to_numpy()[:, None] - r_days[None, :]))
+    a, b = l["state"].to_numpy()[:, None], r["state"].to_numpy()[None, :]
+    apart = (day == 0) | ((a != b) & (a != "") & (b != ""))
+    place = places.bound()
+    most = np.where(apart, -1, _most(day, place, titles.bound()))
     found = []
-    for i in range(len(l)):
-        able = np.flatnonzero(most[i] >= _LIKELY)
-        best, at = _LIKELY - 1, -1
-        for j in able[np.argsort(-most[i, able], kind="stable")]:
-            if (most[i, j], -j) < (best, -at):
+    for i in np.flatnonzero(most.max(1) > floor):
+        able = np.flatnonzero(most[i] > floor[i])
+        few = len(able) > 32 and 8 * len(np.unique(titles.r[able])) <= len(able)
+        bound = _most(day[i, able], place[i, able], titles.row(i, able)) if few else most[i, able]
+        best, at = floor[i], -1
+        for n in np.argsort(-bound, kind="stable"):
+            j = able[n]
+            if (bound[n], -j) < (best, -at):
                 break
             title = titles.like(i, j)
-            if np.floor(_mean(day[i, j], places.at_most(i, j), title) * 1000 + 0.5 + 1e-6) < best:
+            if not few and np.floor(_mean(day[i, j], places.at_most(i, j), title) * 1000 + 0.5 + 1e-6) < best:
                 continue
             k = _thousandths(_mean(day[i, j], places.like(i, j), title))
             if (k, -j) > (best, -at) and k >= _LIKELY:
                 best, at = k, j
         if at >= 0:
-            found.append((i, best / 1000, at))
-    rows, scores, ats = zip(*found, strict=True) if found else ((), (), ())
-    out = l.iloc[list(rows)][["day", *PROFILE]].reset_index(drop=True)
-    hit = r.iloc[list(ats)].reset_index(drop=True)
-    return out.assign(score=np.array(scores, np.float64), r_day=hit["day"], id=hit["id"], flagged=hit["flagged"])
+            found.append((int(rows[i]), int(best), int(at)))
+    return found
+
+
+_UNIT = ["cell", "at_l", "part_r"]
+_FOUND = ["day", *PROFILE, "score", "r_day", "id", "flagged"]
+
+
+def _through(batches: Iterator[pd.DataFrame], measure: Measure, block: int) -> Iterator[pd.DataFrame]:
+    """Units in order: a block of the left, then rows of the right, which go by in blocks. What a row of the left has found is a floor for the blocks that follow."""
+    memos: tuple[dict, dict] = ({}, {})
+    unit, left, right, l = None, [], [], None
+    best, hits = None, {}
+
+    def meet() -> None:
+        nonlocal l, best, right
+        if l is None:
+            l = pd.concat(left, ignore_index=True) if left else pd.DataFrame()
+            best = np.full(len(l), _LIKELY - 1, np.int64)
+        r, right = pd.concat(right, ignore_index=True), []
+        if not len(l):
+            return
+        for start in range(0, len(r), block):
+            some = r.iloc[start : start + block]
+            for i, k, j in best_of_block(l, some, measure, best, memos):
+                best[i] = k
+                hits[i] = some.iloc[j]
+
+    def done() -> pd.DataFrame | None:
+        nonlocal left, right, l, hits
+        if right:
+            meet()
+        out = None
+        if hits:
+            at = list(hits)
+            out = l.iloc[at][["day", *PROFILE]].reset_index(drop=True).assign(
+                score=best[at] / 1000, r_day=[int(h["day"]) for h in hits.values()], id=[h["id"] for h in hits.values()], flagged=[h["flagged"] for h in hits.values()])
+        left, right, l, hits = [], [], None, {}
+        return out
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = pdf[[*_UNIT, "side"]].to_numpy()
+        starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1)
+        for start, end in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            *at, side = keys[start]
+            if tuple(at) != unit:
+                if (out := done()) is not None:
+                    yield out[_FOUND]
+                unit = tuple(at)
+            (right if side else left).append(pdf.iloc[start:end])
+            if side and sum(map(len, right)) >= block:
+                meet()
+    if (out := done()) is not None:
+        yield out[_FOUND]
 
 
 def _keyed(rows: DataFrame, *keep: str) -> DataFrame:
-    """What a comparison needs of a row, made once. Blank keys and states are '', a day is a number, or null."""
-    state = F.coalesce(location_state(F.col("location")), F.lit(""))
-    return rows.select(*keep, F.unix_date("start_date").alias("day"), normalize_key(F.col("title")).alias("title"), normalize_location(F.col("location")).alias("place"), state.alias("state"), F.nullif("flyer_phash", F.lit("")).alias("image"))
+    """What a comparison needs of a row, made once, and for each distinct text once. Blank keys and states are '', a day is a number, or null."""
+    state = F.coalesce(location_state(F.col("_location")), F.lit(""))
+    rows = rows.select(*keep, F.unix_date("start_date").alias("day"), F.col("title").alias("_title"), F.col("location").alias("_location"), F.nullif("flyer_phash", F.lit("")).alias("image"))
+    titles = rows.select("_title").distinct().select(F.col("_title").alias("_t"), normalize_key(F.col("_title")).alias("title"))
+    places = rows.select("_location").distinct().select(F.col("_location").alias("_p"), normalize_location(F.col("_location")).alias("place"), state.alias("state"))
+    rows = rows.join(titles, F.col("_title").eqNullSafe(F.col("_t"))).join(places, F.col("_location").eqNullSafe(F.col("_p")))
+    return rows.select(*keep, "day", "title", "place", "state", "image")
 
 
 def _first(rows: DataFrame, *by: str) -> DataFrame:
@@ -169,23 +267,27 @@ def _same_image(l: DataFrame, r: DataFrame) -> DataFrame:
 
 
 def _near_days(l: DataFrame, r: DataFrame, measure: Measure, block: int) -> DataFrame:
-    """fingerprint, m: of rows up to POSSIBLE_GAP days apart. The profiles of a cell of days are dealt into blocks; each pair of blocks is a task's work and gives a row for a candidate profile at most."""
+    """fingerprint, m: of rows up to POSSIBLE_GAP days apart. The profiles of a cell of days are dealt into blocks of the left and parts of the right; each pair of them is a unit, which gives a row for a candidate profile at most."""
     gap, key = fuzzy.POSSIBLE_GAP, ["day", *PROFILE]
     cell_of = lambda day: F.floor(day / CELL_DAYS).cast("int")
     asked = l.where("day IS NOT NULL").select(*key).distinct().withColumn("cell", F.explode(F.array_distinct(F.array(cell_of(F.col("day") - gap), cell_of(F.col("day") + gap)))))
     there = _first(r.where("day IS NOT NULL"), *key).select(*key, "r.id", "r.flagged").withColumn("cell", cell_of(F.col("day")))
-    parts = lambda rows, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    parts = lambda rows, most, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     # a row for seven days: as dates have four digits for the year, 522 thousand rows at most
-    cells = F.broadcast(parts(asked, "n_l").join(parts(there, "n_r"), "cell"))
-
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        at = F.pmod(F.xxhash64(*key), F.col(f"n_{own}")).cast("int").alias(f"at_{own}")
-        return rows.join(cells, "cell").select(*rows.columns, at, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"at_{other}"))
-
-    groups = ["cell", "at_l", "at_r"]
+    cells = F.broadcast(parts(asked, LEFT_BLOCKS * block, "n_l").join(parts(there, RIGHT_BLOCKS * block, "n_r"), "cell"))
     kind = dict(r.dtypes)
-    found = dealt(asked, "l", "r").groupBy(*groups).cogroup(dealt(there, "r", "l").groupBy(*groups)).applyInPandas(
-        lambda a, b: best_of_block(a, b, measure), f"day int, title string, place string, state string, score double, r_day int, id {kind['id']}, flagged boolean")
+
+    def dealt(rows: DataFrame, own: str, own_at: str, other: str, other_at: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*key), F.col(own)).cast("int").alias(own_at)
+        return rows.join(cells, "cell").select(*rows.columns, at, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_at))
+
+    columns = [*_UNIT, "side", *key, "id", "flagged"]
+    # no nulls in numbers, which pandas would make doubles
+    own = dealt(asked, "n_l", "at_l", "n_r", "part_r").withColumns({"side": F.lit(0), "id": F.lit(0).cast(kind["id"]), "flagged": F.lit(False)})
+    units = own.select(*columns).unionByName(dealt(there, "n_r", "part_r", "n_l", "at_l").withColumn("side", F.lit(1)).select(*columns))
+    # a stated number of partitions, as units are few bytes and much work; the order is the one that ties go by
+    units = units.repartition(int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_UNIT).sortWithinPartitions(*_UNIT, "side", F.desc("day"), "id")
+    found = units.mapInPandas(lambda batches: _through(batches, measure, block), f"day int, title string, place string, state string, score double, r_day int, id {kind['id']}, flagged boolean")
     best = found.select(*key, F.struct("score", "r_day", (-F.col("id")).alias("back"), "id", "flagged").alias("m")).groupBy(*key).agg(F.max("m").alias("m"))
     return l.join(best, key).select("fingerprint", "m")
 
@@ -214,7 +316,7 @@ def best_live_match(candidates: DataFrame, live: DataFrame, measure: Measure = N
 
     Ties go to the later start, then the smaller id; a live row without a date comes last. A match below LIKELY is no match: its id and score are null. Nulls and blanks count as missing; a
     pair of states that differ is no match unless the images are the same; repeated rows and empty tables are fine; other columns are ignored. A day with many rows is dealt into
-    blocks: the work on it is still a product of its distinct profiles, less what the bounds spare, but no task holds more than two blocks and no pair leaves one.
+    blocks: the work on it is still a product of its distinct profiles, less what the bounds spare, but no task holds more than a block of either side at once and no pair leaves one.
     """
     ensure_checkpoints(candidates.sparkSession)
     # keys are made once: several searches read them
