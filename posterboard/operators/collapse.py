@@ -257,9 +257,13 @@ def collapse(rows: DataFrame) -> DataFrame:
     ranked = rank_columns(rows)
     day = F.date_diff("start_date", F.lit("1970-01-01").cast("date"))
     none = F.lit(None).cast("long")
-    fate = decide(ranked.select(
-        F.lit("own").alias("role"), F.col("ordinal").cast("long").alias("id"), none.alias("into"), none.alias("into_block"), *RANK, day.alias("day"), normalize_key(F.col("title")).alias("title"),
-        F.length(F.coalesce("title", F.lit(""))).alias("chars"), normalize_location(F.col("location")).alias("place"), location_state(F.col("location")).alias("state"), F.nullif("flyer_phash", F.lit("")).alias("image"),
+    # keys are made once for each distinct text
+    titles = ranked.select("title").distinct().select(F.col("title").alias("_t"), normalize_key(F.col("title")).alias("_title"))
+    places = ranked.select("location").distinct().select(F.col("location").alias("_p"), normalize_location(F.col("location")).alias("_place"), location_state(F.col("location")).alias("_state"))
+    keyed = ranked.select("ordinal", *RANK, "start_date", "title", "location", "flyer_phash").join(titles, F.col("title").eqNullSafe(F.col("_t"))).join(places, F.col("location").eqNullSafe(F.col("_p")))
+    fate = decide(keyed.select(
+        F.lit("own").alias("role"), F.col("ordinal").cast("long").alias("id"), none.alias("into"), none.alias("into_block"), *RANK, day.alias("day"), F.col("_title").alias("title"),
+        F.length(F.coalesce("title", F.lit(""))).alias("chars"), F.col("_place").alias("place"), F.col("_state").alias("state"), F.nullif("flyer_phash", F.lit("")).alias("image"),
     ))
     ranked = ranked.join(fate.select(F.col("id").alias("ordinal"), F.col("into").alias("merged_into")), "ordinal").withColumn("rank", F.struct(*RANK)).drop(*RANK).checkpoint()
     kept, lost = ranked.where("merged_into IS NULL"), ranked.where("merged_into IS NOT NULL")

@@ -108,3 +108,11 @@ def test_alike_pairs_lose_none(spark, least):
     got = {(r.a, r.b) for r in alike.alike_pairs(left, right, least).collect()}
     want = {(a, b) for a in keys[::2] for b in {*keys[1::2], *keys[:10]} if fuzzy.name_likeness(a, b) >= least}
     assert got == want and want
+
+
+def test_keys_are_made_once_for_each_text(spark, monkeypatch):
+    """Titles and places are many times their distinct texts, and their patterns are most of what a row costs before the run."""
+    seen, decide = [], collapse.decide
+    monkeypatch.setattr(collapse, "decide", lambda rows: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or decide(rows))
+    rows = spark.createDataFrame([record(k, title=["Game night", "Open day", None][k % 3], location=[None, "Omak, WA"][k % 2]) for k in range(12)], RECORD)
+    assert collapse.collapse(rows).count() == 12 and "Aggregate [title" in seen[0] and "Aggregate [location" in seen[0]
